@@ -5,19 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import langid, mixing, warc
+from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(prepare(spark), sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    model = langid.train(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op3_mixing": op3_mixing,
+    "op10_langid": op10_langid,
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_mixing": op3_mixing}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
