@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, warc
+from tessera.llm import langid, mixing, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -22,6 +22,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; workers open it by the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_round_trip(table(prepare(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.train(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
@@ -31,6 +42,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
+    "op8_tokens": op8_tokens,
     "op10_langid": op10_langid,
 }
 
