@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, simhash, tokens, warc
+from tessera.llm import langid, mixing, quality, simhash, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(prepare(spark), sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     """A vocabulary file of the installed public tokenizers; workers open it by the same path."""
     import public_tokenizers
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op8_tokens": op8_tokens,
     "op10_langid": op10_langid,
 }
