@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, quality, simhash, tokens, warc
+from tessera.llm import classifier, langid, mixing, quality, simhash, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -30,6 +30,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(prepare(spark), sf_dir, "documents"))
 
 
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
+    return classifier.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def tokenizer_file(name: str) -> str:
     """A vocabulary file of the installed public tokenizers; workers open it by the same path."""
     import public_tokenizers
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_classifier": op6_classifier,
     "op8_tokens": op8_tokens,
     "op10_langid": op10_langid,
 }
