@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, langid, mixing, quality, simhash, tokens, warc
+from tessera.llm import classifier, langid, mixing, pii, quality, simhash, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(prepare(spark), sf_dir, "pages"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
