@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, langid, mixing, pii, quality, simhash, tokens, warc
+from tessera.llm import avi, classifier, langid, mixing, pii, quality, simhash, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -46,6 +46,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.media_round_trip(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(prepare(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_classifier": op6_classifier,
+    "op7_avi": op7_avi,
     "op8_tokens": op8_tokens,
     "op10_langid": op10_langid,
 }
