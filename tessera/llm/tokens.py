@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ SEGMENT_IDS = 1_000_000
 LEVEL = 1
 END_ID = 1
 #: Words whose ids a Python worker remembers.
-CACHE = 300_000
+CACHE = 400_000
 
 
 def _planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -85,26 +87,51 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never looks across ASCII blanks and line feeds, one distinct word at a time.
 
     Such tokenizers drop white space before they merge, so the ids of a text are those of its blank-separated words one
-    after the other. Unknown words of a batch are encoded together by the library; up to ``cache`` words are remembered.
+    after the other. They also lower-case, so A-Z is lowered first (except in texts that may spell a special token).
+    Unknown words of a batch are encoded together by the library. Words are remembered in two generations of at most
+    ``cache`` each: when the young one is full it becomes the old one, and words that come again move back.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.seen = Tokenizer.from_file(path), cache, {}
+        self.library, self.most = Tokenizer.from_file(path), cache
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        seen = self.seen
-        new = list({w for ws in split for w in ws if w not in seen})
-        if len(seen) + len(new) > self.most:
-            seen.clear()
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        split = []
+        for text in texts:
+            raw = text.encode().replace(b"\n", b" ")
+            split.append((raw if b"<|" in raw else raw.lower()).split(b" "))
+        new = set(chain.from_iterable(split)).difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {}
+            new = set(chain.from_iterable(split))
+        young, old = self.young, self.old
+        missing = []
+        for word in new:
+            known = old.get(word)
+            if known is None:
+                missing.append(word)
+            else:
+                young[word] = known
+        for at in range(0, len(missing), 5_000):
+            part = missing[at : at + 5_000]
+            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            young.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
         for words in split:
-            yield np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
+            yield np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4")
+
+
+#: Encoders of this Python worker, by path: loading one takes longer than many tasks.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 SEGMENT_SCHEMA = "part int, segment int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, data binary"
@@ -121,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         part, segment = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         held: list[np.ndarray] = []
