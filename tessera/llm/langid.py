@@ -9,8 +9,8 @@ those grams. A document's score is the sum over its words.
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -112,6 +112,10 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
+#: The last scorer of this Python worker: its word vectors serve all tasks of a query.
+_SCORERS: dict[str, Scorer] = {}
+
+
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """labelled (doc_id, text, lang), lang not null -> model from per_language documents of each language.
 
@@ -147,8 +151,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(shared.value)
+        scorer = _SCORERS[key]
         for batch in batches:
             got = [scorer.score(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
