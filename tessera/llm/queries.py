@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import avi, classifier, langid, mixing, pii, quality, simhash, tokens, warc
+from tessera.llm import avi, classifier, langid, mixing, pii, quality, simhash, spm, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -54,6 +54,11 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(prepare(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_spm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return spm.encode(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.train(docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op6_classifier": op6_classifier,
     "op7_avi": op7_avi,
     "op8_tokens": op8_tokens,
+    "op9_spm": op9_spm,
     "op10_langid": op10_langid,
 }
 
