@@ -1 +1,16 @@
+"""The engine's named queries and their SQL."""
 
+from __future__ import annotations
+
+from tessera.plans import search
+from tessera.plans.registry import QUERIES, SQL, Query
+
+__all__ = ["oracle_sql", "queries", "search"]
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
