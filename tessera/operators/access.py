@@ -11,7 +11,7 @@ PRIVATE_PREFIX = "PRIVATE_"
 
 def split_tags(tags: Column) -> Column:
     """A comma-separated list as an array without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ancestors(tags: DataFrame, levels: int = 100) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import search
+from tessera.plans import access, documents, scalars, search
 from tessera.plans.registry import QUERIES, SQL, Query
 
-__all__ = ["oracle_sql", "queries", "search"]
+__all__ = ["access", "documents", "oracle_sql", "queries", "scalars", "search"]
 
 
 def queries() -> dict[str, Query]:
