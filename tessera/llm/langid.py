@@ -144,11 +144,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held columns of docs, lang_pred and score for each row of docs (text and further slim columns).
 
-    Null texts and texts without a letter give ``und`` and 0. Ties go to the first language in code point order.
+    Null texts and texts without a letter give ``und`` and 0. Ties go to the first language in code point order. Columns
+    of docs that are named like ours are replaced; repeated rows give a row each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
 
     key = uuid.uuid4().hex

@@ -109,18 +109,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     follows the text. Documents without words are never taken.
     """
     names = docs.columns
-    slim = with_keys(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).select("_key", "_bucket", "size")
-    plan = mix_plan(slim)
-    rows = with_keys(docs.withColumn("size", word_count(F.col("text"))))
-    rows = apply_plan(rows, plan).where(F.col("size") > 0)
+    size = word_count(F.col("text")).alias("size")
+    plan = mix_plan(with_keys(docs.select("doc_id", "source", size)).select("_key", "_bucket", "size"))
+    # the row travels as one struct, so no column of docs can clash with ours
+    rows = apply_plan(with_keys(docs.select(F.struct(*names).alias("_row"), "doc_id", "source", size)), plan).where(F.col("size") > 0)
     full = F.array_repeat(F.col("size"), (F.col("whole") + (F.col("part") == F.col("size")).cast("long")).cast("int"))
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_take", F.explode(F.concat(full, cut)))
-    head = F.array_join(F.slice(F.array_remove(F.split("text", SPACE), ""), F.lit(1), F.col("_take").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("size"), head).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*names)
+    rows = rows.select("_row", "size", F.explode(F.concat(full, cut)).alias("_take"))
+    head = F.array_join(F.slice(F.array_remove(F.split("_row.text", SPACE), ""), F.lit(1), F.col("_take").cast("int")), " ")
+    rows = rows.withColumn("_text", F.when(F.col("_take") < F.col("size"), head).otherwise(F.col("_row.text")))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in names])
 
 
 #: The same rows in DuckDB.

@@ -310,9 +310,9 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     docs (text and others); the other columns are kept. round_trip tells whether decoding the ids gives the text again,
     which fails only for texts that hold the blank mark U+2581 itself. A null or empty text has no ids. Rows that repeat a
-    text have equal ids; an empty table gives no rows.
+    text have equal ids; an empty table gives no rows. Columns of docs that are named like ours are replaced.
     """
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_crc32", "round_trip", "ids")]
     schema = docs.select(*rest).schema.add("n_tokens", "long").add("ids_crc32", "long").add("round_trip", "boolean")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
