@@ -43,11 +43,11 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(analyze(F.col("text"))).cast("long").alias("dl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """chunks (chunk_id, text), queries (query_id, query_text) -> (query_id, chunk_id, score), rounded to 9 decimals.
 
     Postings are pruned to query terms before anything is shuffled; document frequencies and mean length cover all chunks,
-    also where ``allowed`` (query_id, chunk_id) restricts the candidates.
+    also where ``permitted_hits`` restricts the candidates afterwards.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query_text")))).alias("term"))
     terms = asked.select("term").distinct()
@@ -58,8 +58,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(totals)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = tf.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    scored = weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return scored if allowed is None else scored.join(allowed, ["query_id", "chunk_id"], "left_semi")
+    return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
+
+
+def permitted_hits(scored: DataFrame, files: DataFrame, principals: DataFrame) -> DataFrame:
+    """Hits that the asker may see: own, public, or tagged with one of the asker's effective tags.
+
+    files (chunk_id, owner_id, is_public, org_tag), principals (query_id, user_id, tags): no table of visible pairs is
+    built, only hits are joined with the columns that decide.
+    """
+    rows = scored.join(files.select("chunk_id", "owner_id", "is_public", "org_tag"), "chunk_id").join(principals, "query_id")
+    may = F.col("is_public") | (F.col("owner_id") == F.col("user_id")) | F.coalesce(F.array_contains("tags", F.col("org_tag")), F.lit(False))
+    return rows.where(may).select(*scored.columns)
 
 
 def top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_id") -> DataFrame:
@@ -68,20 +78,25 @@ def top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL, permissions: bool = False) -> DataFrame:
     """vectors (chunk_id, vector), queries (query_id, vector) -> (query_id, chunk_id, score, rank), exact cosine.
 
     A matrix product per Arrow batch keeps k candidates per query; only those are shuffled. Queries are collected in
-    blocks of QUERY_BLOCK. Vectors of length 0 or of another dimension have no neighbours.
+    blocks of QUERY_BLOCK. Vectors of length 0 or of another dimension have no neighbours. With permissions, vectors also
+    have owner_id, is_public and org_tag, and queries user_id and tags: the filter applies before the k best are taken.
     """
     schema = "query_id long, chunk_id long, score double"
     total = queries.count()
     found = None
+    asked = ["query_id", "vector"] + (["user_id", "tags"] if permissions else [])
+    held = ["chunk_id", "vector"] + (["owner_id", "is_public", "org_tag"] if permissions else [])
     for block in range(max(1, -(-total // QUERY_BLOCK))):
         part = queries if total <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // QUERY_BLOCK))) == block)
-        rows = [(r[0], np.asarray(r[1], dtype=np.float64)) for r in part.select("query_id", "vector").collect()]
-        ids, dims = [r[0] for r in rows], {len(r[1]) for r in rows}
-        scored = vectors.select("chunk_id", "vector").mapInPandas(_nearest(ids, np.array([r[1] for r in rows]), k) if len(dims) == 1 else _nothing, schema)
+        rows = part.select(*asked).collect()
+        dims = {len(r["vector"]) for r in rows}
+        who = [(r["user_id"], frozenset(r["tags"])) for r in rows] if permissions else None
+        matrix = np.array([r["vector"] for r in rows], dtype=np.float64) if len(dims) == 1 else None
+        scored = vectors.select(*held).mapInPandas(_nothing if matrix is None else _nearest([r["query_id"] for r in rows], matrix, k, who), schema)
         found = scored if found is None else found.unionByName(scored)
     return top(found.withColumn("score", F.round("score", 9)), k)
 
@@ -91,11 +106,12 @@ def _nothing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
 
 
-def _nearest(ids: list[int], matrix: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _nearest(ids: list[int], matrix: np.ndarray, k: int, who: list[tuple] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     norms = np.linalg.norm(matrix, axis=1)
     good = norms > 0
     unit = matrix[good] / norms[good, None]
     kept = np.array(ids)[good]
+    principals = [w for w, g in zip(who, good, strict=True) if g] if who else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,13 +120,19 @@ def _nearest(ids: list[int], matrix: np.ndarray, k: int) -> Callable[[Iterator[p
                 continue
             v = np.stack(fits["vector"].to_numpy()).astype(np.float64)
             size = np.linalg.norm(v, axis=1)
-            v, chunk = v[size > 0] / size[size > 0, None], fits["chunk_id"].to_numpy()[size > 0]
+            fits, v = fits[size > 0], v[size > 0] / size[size > 0, None]
+            chunk = fits["chunk_id"].to_numpy()
             score = unit @ v.T
+            if principals:
+                owner, public, tag = (fits[c].to_numpy() for c in ("owner_id", "is_public", "org_tag"))
             for q in range(len(kept)):
-                row = score[q]
-                at = np.arange(len(row))
-                if len(row) > k:  # all ties of the k-th are kept, so that the order by id decides among them
-                    at = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-9)
+                row, at = score[q], np.arange(len(chunk))
+                if principals:
+                    user, tags = principals[q]
+                    may = public.astype(bool) | (owner == user) | np.fromiter((t in tags for t in tag), bool, len(tag))
+                    at = np.flatnonzero(may)
+                if len(at) > k:  # all ties of the k-th are kept, so that the order by id decides among them
+                    at = at[row[at] >= np.partition(row[at], -k)[-k] - 1e-9]
                 yield pd.DataFrame({"query_id": kept[q], "chunk_id": chunk[at], "score": row[at]})
 
     return run
@@ -133,6 +155,21 @@ def fuse(keyword: DataFrame, vector: DataFrame, keyword_weight: float, vector_we
     return fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= max(k, 0)).drop("seen")
 
 
+def fuse_variants(keyword: DataFrame, vector: DataFrame, variants: dict[str, tuple[float, float]], k: int) -> DataFrame:
+    """Several fusions of the same two lists in one pass: (method, query_id, chunk_id, rrf, rank).
+
+    A weight of 0 leaves a list out, so (1, 0) and (0, 1) are the lists themselves.
+    """
+    n = 1_000_000_000
+    weights = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(a)).alias("wk"), F.lit(float(b)).alias("wv")) for m, (a, b) in variants.items()])
+    both = keyword.select("query_id", "chunk_id", "rank", F.lit(True).alias("_kw")).unionByName(vector.select("query_id", "chunk_id", "rank", F.lit(False).alias("_kw")))
+    wide = both.select("query_id", "chunk_id", "rank", "_kw", F.inline(weights)).withColumn("w", F.when(F.col("_kw"), F.col("wk")).otherwise(F.col("wv"))).where("w > 0")
+    seen = F.when(F.col("_kw"), F.col("rank")).otherwise(n + F.col("rank"))
+    fused = wide.groupBy("method", "query_id", "chunk_id").agg(F.round(F.sum(F.col("w") / (RRF_K + F.col("rank"))), 9).alias("rrf"), F.min(seen).alias("seen"))
+    order = Window.partitionBy("method", "query_id").orderBy(F.col("rrf").desc(), "seen", "chunk_id")
+    return fused.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("seen")
+
+
 def fusion_limit(k: int, reranked: bool) -> int:
     return max(k, RERANK_WINDOW) if reranked else k
 

@@ -74,12 +74,16 @@ def rrf_rerank_candidates(spark: S, sf: str) -> DataFrame:
     return _fused(spark, sf, R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT, R.fusion_limit(10, True))
 
 
-def _allowed(spark: S, sf: str) -> DataFrame:
-    """(query_id, chunk_id) that the asker of a query may see."""
+def _principals(spark: S, sf: str) -> DataFrame:
+    """(query_id, user_id, tags): who asks each query, with the effective tags."""
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20 + 1).alias("user_id"))
-    who = X.users(spark, sf).join(F.broadcast(asked.select("user_id").distinct()), "user_id", "left_semi")
-    seen = A.visible(X.files(spark, sf), who, X.tags(spark, sf))
-    return asked.join(seen, "user_id").select("query_id", F.col("file_id").alias("chunk_id"))
+    who = X.users(spark, sf).join(asked.select("user_id").distinct(), "user_id", "left_semi")
+    held = A.effective_tags(who, X.tags(spark, sf)).groupBy("user_id").agg(F.collect_set("tag").alias("tags"))
+    return asked.join(held, "user_id", "left").select("query_id", "user_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def _chunk_access(spark: S, sf: str) -> DataFrame:
+    return X.files(spark, sf).select(F.col("file_id").alias("chunk_id"), "file_name", "owner_id", "is_public", "org_tag")
 
 
 _ALLOWED_SQL = f"""{X.FILES}, {X.USERS}, {X.TAGS}, {X.CLOSURE}, {X.EFFECTIVE},
@@ -95,12 +99,12 @@ SELECT query_id, chunk_id, rrf, rank, '《doc-' || chunk_id || '》｜原文片
 FROM fused JOIN (SELECT doc_id AS chunk_id, trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10)) AS t FROM documents) USING (chunk_id)""")
 def hybrid_search_topk(spark: S, sf: str) -> DataFrame:
     """Permission-filtered BM25 and cosine top 100, weighted fusion, top 10, with source labels."""
-    allowed = _allowed(spark, sf)
-    keyword = R.top(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf), allowed), R.RECALL)
-    asked = X.vector_queries(spark, sf)
-    scored = R.knn(X.vectors(spark, sf), asked, 10**9).drop("rank").join(allowed, ["query_id", "chunk_id"], "left_semi")
-    fused = R.fuse(keyword, R.top(scored, R.RECALL), R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT, 10)
-    names = X.files(spark, sf).select(F.col("file_id").alias("chunk_id"), "file_name")
+    access, principals = _chunk_access(spark, sf), _principals(spark, sf)
+    keyword = R.top(R.permitted_hits(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf)), access, principals), R.RECALL)
+    asked = X.vector_queries(spark, sf).join(principals, "query_id")
+    vector = R.knn(X.vectors(spark, sf).join(access, "chunk_id"), asked, R.RECALL, permissions=True)
+    fused = R.fuse(keyword, vector, R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT, 10)
+    names = access.select("chunk_id", "file_name")
     rows = fused.join(X.chunks(spark, sf), "chunk_id").join(names, "chunk_id")
     none = F.lit(None).cast("int")
     return rows.select("query_id", "chunk_id", "rrf", "rank", T.source_label(F.col("file_name"), F.lit(None).cast("string"), none, none, F.col("text")).alias("source_label"))
@@ -113,8 +117,8 @@ def hybrid_search_unfiltered(spark: S, sf: str) -> DataFrame:
 
 @query("text_only_min_score", f"WITH RECURSIVE {_ALLOWED_SQL}, {X.ANALYZED} SELECT * FROM {X.ranked_sql('bm', 10, _MAY + ' WHERE score >= 0.3')}")
 def text_only_min_score(spark: S, sf: str) -> DataFrame:
-    scored = R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf), _allowed(spark, sf)).where(F.col("score") >= R.MIN_SCORE)
-    return R.top(scored, 10).select("query_id", "chunk_id", "score", "rank")
+    scored = R.permitted_hits(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf)), _chunk_access(spark, sf), _principals(spark, sf))
+    return R.top(scored.where(F.col("score") >= R.MIN_SCORE), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("vector_dimension_check", "SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
@@ -139,13 +143,8 @@ def qrels(spark: S, sf: str) -> DataFrame:
 
 
 def _runs(spark: S, sf: str) -> DataFrame:
-    keyword, vector = _keyword(spark, sf), _vector(spark, sf)
-    variants = [("rrf_1_1", 1.0, 1.0), ("rrf_3_7", 0.3, 0.7), ("rrf_1_9", 0.1, 0.9)]
-    rows = keyword.where("rank <= 10").select(F.lit("bm25").alias("method"), "query_id", "chunk_id", "rank")
-    rows = rows.unionByName(vector.where("rank <= 10").select(F.lit("vector").alias("method"), "query_id", "chunk_id", "rank"))
-    for name, wk, wv in variants:
-        rows = rows.unionByName(R.fuse(keyword, vector, wk, wv, 10).select(F.lit(name).alias("method"), "query_id", "chunk_id", "rank"))
-    return rows
+    variants = {"bm25": (1, 0), "vector": (0, 1), "rrf_1_1": (1, 1), "rrf_3_7": (0.3, 0.7), "rrf_1_9": (0.1, 0.9)}
+    return R.fuse_variants(_keyword(spark, sf), _vector(spark, sf), variants, 10)
 
 
 def _runs_sql() -> str:
