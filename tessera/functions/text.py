@@ -25,6 +25,7 @@ TITLE_JOINT = "｜"
 DEFAULT_TITLE = "新对话"
 UNKNOWN_FILE = "未知文件"
 UNKNOWN_SOURCE = "未知来源"
+UNKNOWN_TIME = "未知时间"
 # ---------------------------------------------------------------------------------
 
 
@@ -251,6 +252,13 @@ def lenient_timestamp(text: Column) -> Column:
     return F.when(shape, F.to_timestamp_ntz(F.substring(padded, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
 
 
+def in_time_range(stamp: Column, start: Column, end: Column) -> Column:
+    """Inclusive; a null bound is open. Stamps that cannot be read pass, the mark for an unknown time fails any bound."""
+    at, bound = lenient_timestamp(stamp), start.isNotNull() | end.isNotNull()
+    inside = F.coalesce(at >= start, F.lit(True)) & F.coalesce(at <= end, F.lit(True))
+    return F.when(F.coalesce(stamp == UNKNOWN_TIME, F.lit(False)), ~bound).otherwise(inside)
+
+
 def sse_payloads(chunk: Column) -> Column:
     """Data payloads of server-sent event lines, without the end mark; bare JSON lines count as payloads."""
     lines = F.transform(F.split(chunk, "\r?\n"), strip)

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tessera.plans import access, documents, scalars, search
 from tessera.plans.registry import QUERIES, SQL, Query
+from tessera.session import prepare
 
 __all__ = ["access", "documents", "oracle_sql", "queries", "scalars", "search"]
 
 
+def _prepared(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(prepare(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {name: _prepared(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

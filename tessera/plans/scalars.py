@@ -208,6 +208,13 @@ def lenient_timestamp(spark: S, sf: str) -> DataFrame:
     return X.values(spark, _STAMPS).select("s", T.lenient_timestamp(F.col("s")).alias("t"))
 
 
+@query("time_range_filter", f"SELECT s FROM {_STAMPS.replace('STRING', 'VARCHAR')} WHERE s IS NULL OR (s <> '未知时间' AND (NOT regexp_matches(s, '^\\d{{4}}-\\d\\d-\\d\\d') OR substr(rpad(s, 19, '0'), 1, 13) >= '2024-01-02T03'))")
+def time_range_filter(spark: S, sf: str) -> DataFrame:
+    """Open at the end; texts that are no stamps pass, and so does a missing stamp."""
+    start, end = F.lit("2024-01-02T03:00:00").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    return X.values(spark, _STAMPS).where(T.in_time_range(F.col("s"), start, end))
+
+
 @query("tag_list_membership", f"WITH {X.USERS} SELECT user_id, list_contains(string_split(org_tags, ','), 'FRANCE') AS member, CAST(len(string_split(org_tags, ',')) AS INTEGER) AS n FROM users")
 def tag_list_membership(spark: S, sf: str) -> DataFrame:
     held = A.split_tags(F.col("org_tags"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import engine
 from tessera.functions import text as T
 from tessera.operators import access as A
 from tessera.operators import conversation as C
@@ -121,6 +122,19 @@ def text_only_min_score(spark: S, sf: str) -> DataFrame:
     return R.top(scored.where(F.col("score") >= R.MIN_SCORE), 10).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("text_only_unfiltered", f"WITH {X.ANALYZED} SELECT query_id, chunk_id, rank FROM {X.ranked_sql('bm', 10)}")
+def text_only_unfiltered(spark: S, sf: str) -> DataFrame:
+    """Without vectors the search degrades to text only."""
+    return engine.hybrid_search(X.chunks(spark, sf), X.text_queries(spark, sf), 10)
+
+
+@query("engine_hybrid_search", f"SELECT query_id, chunk_id, rank FROM ({_fusion_sql(0.1, 0.9, 10)})")
+def engine_hybrid_search(spark: S, sf: str) -> DataFrame:
+    chunks = X.chunks(spark, sf).join(X.vectors(spark, sf), "chunk_id", "left")
+    asked = X.text_queries(spark, sf).join(X.vector_queries(spark, sf), "query_id")
+    return engine.hybrid_search(chunks, asked, 10)
+
+
 @query("vector_dimension_check", "SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
 def vector_dimension_check(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
