@@ -34,6 +34,8 @@ BLOCK_IDS = 65_536
 SEGMENT_IDS = 1_000_000
 LEVEL = 1
 END_ID = 1
+#: A control character that stands between words which are encoded together.
+MARK = b"\x01"
 #: Words whose ids a Python worker remembers.
 CACHE = 400_000
 
@@ -88,7 +90,7 @@ class WordEncoder:
 
     Such tokenizers drop white space before they merge, so the ids of a text are those of its blank-separated words one
     after the other. They also lower-case, so A-Z is lowered first (except in texts that may spell a special token).
-    Unknown words of a batch are encoded together by the library. Words are remembered in two generations of at most
+    Unknown words of a batch are encoded by the library as one text. Words are remembered in two generations of at most
     ``cache`` each: when the young one is full it becomes the old one, and words that come again move back.
     """
 
@@ -96,6 +98,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), cache
+        alone = self.library.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -116,14 +120,28 @@ class WordEncoder:
                 missing.append(word)
             else:
                 young[word] = known
-        for at in range(0, len(missing), 5_000):
-            part = missing[at : at + 5_000]
-            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            young.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        young.update(self._encoded(missing))
         for words in split:
             yield np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4")
 
 
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids. Many words are encoded as one text, with a mark between them that is one token."""
+        odd = [w for w in words if MARK in w or self.mark is None]
+        for word in odd:
+            yield word, array("I", self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        plain = words if not odd else [w for w in words if MARK not in w and self.mark is not None]
+        for at in range(0, len(plain), 5_000):
+            part = plain[at : at + 5_000]
+            ids = np.array(self.library.encode((b" " + MARK + b" ").join(part).decode(), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep the mark between words")
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
+            yield from ((w, raw[a:z]) for w, a, z in zip(part, starts, ends, strict=True))
+
+
 #: Encoders of this Python worker, by path: loading one takes longer than many tasks.
 _ENCODERS: dict[str, WordEncoder] = {}
 
