@@ -1,6 +1,7 @@
 """Every named query against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera import plans
@@ -18,7 +19,7 @@ def duck():
 
 
 def _cell(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x is pd.NaT or x != x:
         return "null"
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
