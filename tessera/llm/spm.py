@@ -26,9 +26,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 #: Encoded units that a Python worker remembers, in each of two generations.
-CACHE = 400_000
+CACHE = 200_000
 #: Texts are taken together up to so many characters.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
+#: Distinct units are indexed together up to so many characters: the lattice takes some 500 bytes for each.
+INDEX_CHARS = 200_000
 _FAR = np.int64(1) << 40
 
 
@@ -276,7 +278,13 @@ class Encoder:
                 self.young[unit] = known
         if missing:
             missing.sort()
-            self.young.update(zip(missing, encode_units(missing, self.vocab), strict=True))
+            at = size = 0
+            for k, unit in enumerate(missing):
+                size += len(unit) + 1
+                if size >= INDEX_CHARS or k == len(missing) - 1:
+                    part = missing[at : k + 1]
+                    self.young.update(zip(part, encode_units(part, self.vocab), strict=True))
+                    at, size = k + 1, 0
         get = self.young.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
