@@ -44,11 +44,12 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], spread:
     """big LEFT JOIN small on keys (small unique by keys), where a key may hold any share of big.
 
     Rows of big are dealt over ``salts`` copies of each key by ``spread``, so a hot key is read by that many tasks;
-    small is repeated ``salts`` times.
+    small is repeated ``salts`` times. The join is a sort-merge join: estimates of a repeated table come from before the
+    repetition, and would let it be broadcast at any size.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column) -> DataFrame:
