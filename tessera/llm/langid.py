@@ -122,11 +122,15 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int
     The documents are those with the smallest seeded hash of the id, so reruns agree and the sample spreads over the
     table. Counting is distributed; at most max_words + 4 * max_grams entries per language reach the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("langid"), "doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    last = ids.groupBy("lang").agg(F.max(F.xxhash64(F.lit("langid"), "doc_id")).alias("_last"))
-    last = last.orderBy("lang").limit(MAX_LANGUAGES)
-    sample = labelled.join(F.broadcast(last), "lang").where(F.xxhash64(F.lit("langid"), "doc_id") <= F.col("_last"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 1)
+    # a share of each language that holds per_language rows almost surely is drawn first, so the window stays small
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy("lang").limit(MAX_LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(per_language + 6 * per_language**0.5) / F.col("_n"))
+    drawn = labelled.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(draw <= share * F.lit(float(2**63)))
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    picked = drawn.select("doc_id", "lang", F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_language)
+    last = picked.groupBy("lang").agg(F.max(draw).alias("_last"))
+    sample = labelled.join(F.broadcast(last), "lang").where(draw <= F.col("_last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
