@@ -26,6 +26,12 @@ DEFAULT_TITLE = "新对话"
 UNKNOWN_FILE = "未知文件"
 UNKNOWN_SOURCE = "未知来源"
 UNKNOWN_TIME = "未知时间"
+UNKNOWN_ERROR = "未知处理错误"
+UNNAMED_OBJECT = "document"
+#: Extensions that are previewed as text.
+PREVIEWED = ("txt", "md", "doc", "docx", "pdf", "html", "htm", "xml", "json", "csv", "log", "java", "js", "ts", "py", "cpp", "c", "h", "css", "scss", "less", "sql", "yml", "yaml", "properties", "conf", "config")
+PREVIEW_CUT = "... (内容已截断，仅显示前10KB)"
+PREVIEW_CARD = "文件名: %s\n文件大小: %s\n文件类型: %s\n上传时间: %s\n\n此文件类型不支持预览，请下载后查看。"
 # ---------------------------------------------------------------------------------
 
 
@@ -146,8 +152,38 @@ def session_title(message: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """A name that is safe as part of an object key."""
-    return F.regexp_replace(name, r"[\\/\x00-\x1F]", "_")
+    """A name that is safe as part of an object key; a blank one gets a name of its own."""
+    safe = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"[\\/\x00-\x1F\x7F]", "_"))
+    return F.when(safe == "", F.lit(UNNAMED_OBJECT)).otherwise(safe)
+
+
+def error_description(kind: Column, message: Column, most: int = 4000) -> Column:
+    """Kind of the root cause and its message, at most ``most`` characters; an unknown error has a text of its own."""
+    told = F.when(message.isNull(), kind).otherwise(F.concat(kind, F.lit(": "), message))
+    return F.substring(F.when(told.isNull() | (strip(told) == ""), F.lit(UNKNOWN_ERROR)).otherwise(told), 1, most)
+
+
+def preview(name: Column, text: Column, size: Column, created: Column, most: int = 10_240) -> Column:
+    """The lines that begin within the first ``most`` bytes, with a notice if they fill them; a card for other formats."""
+    split = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    lines = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n"))
+
+    def step(state: Column, line: Column) -> Column:
+        more = F.struct((state["bytes"] + F.octet_length(line) + 1).alias("bytes"), (state["n"] + 1).alias("n"))
+        return F.when(state["bytes"] < most, more).otherwise(state)
+
+    def shown(pair: Column) -> Column:
+        # a line takes a byte at least, so no line after the first ``most`` is ever shown
+        return F.concat(
+            F.when(pair["got"]["n"] > 0, F.concat(F.array_join(F.slice(pair["lines"], F.lit(1), pair["got"]["n"]), "\n"), F.lit("\n"))).otherwise(""),
+            F.when(pair["got"]["bytes"] >= most, F.lit("\n" + PREVIEW_CUT)).otherwise(""),
+        )
+
+    counted = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.aggregate(F.slice(x, 1, most), start, step).alias("got")))
+    ext = F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]*)$", 1)
+    card = F.format_string(PREVIEW_CARD, name, human_size(size), F.upper(ext), created)
+    return F.when(F.lower(ext).isin(*PREVIEWED), F.get(F.transform(counted, shown), 0)).otherwise(card)
 
 
 def unquote(text: Column) -> Column:

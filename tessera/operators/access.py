@@ -149,3 +149,14 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     window = Window.partitionBy(key).orderBy(F.col(order).desc())
     return rows.withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
+
+
+def find_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of files that equal a row of wanted in all columns of wanted: point lookups for many keys at once."""
+    return files.join(wanted.distinct(), wanted.columns, "left_semi").select(*files.columns)
+
+
+def active_tokens(tokens: DataFrame, now: Column) -> DataFrame:
+    """tokens (user_id, token_id, expires_at) -> (user_id, active): distinct tokens that have not expired."""
+    live = tokens.where(F.col("expires_at") > now)
+    return live.groupBy("user_id").agg(F.count_distinct("token_id").alias("active"))

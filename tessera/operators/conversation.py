@@ -81,3 +81,13 @@ def messages_of(rules: str, history: DataFrame, contexts: DataFrame) -> DataFram
     one = lambda role, body: F.array(F.struct(F.lit(role).alias("role"), body.alias("content")))
     empty = F.expr("cast(array() as array<struct<role:string,content:string>>)")
     return joined.select("query_id", F.concat(one("system", F.lit(rules)), F.coalesce("_past", empty), one("system", F.col("prompt")), one("user", F.col("question"))).alias("messages"))
+
+
+def owned_sessions(index: DataFrame, metas: DataFrame, most: int = 100) -> DataFrame:
+    """index (user_id, conv_id, updated), metas (conv_id, owner_id, title) -> the newest sessions of each user.
+
+    Entries among the newest ``most`` whose session is gone or belongs to somebody else are left out, not replaced.
+    """
+    order = Window.partitionBy("user_id").orderBy(F.desc("updated"), F.desc("conv_id"))
+    newest = index.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+    return newest.join(metas, "conv_id").where(F.col("owner_id") == F.col("user_id")).select("user_id", "conv_id", "title", "updated")

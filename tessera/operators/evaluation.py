@@ -48,3 +48,8 @@ def selected_corpus(claims: DataFrame, corpus: DataFrame, distractors: int) -> D
     chosen = corpus.join(evidence, "doc_id", "left_semi").withColumn("evidence", F.lit(True))
     others = corpus.join(evidence, "doc_id", "left_anti").orderBy("position").limit(distractors).withColumn("evidence", F.lit(False))
     return chosen.unionByName(others)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report or manifest as JSON lines; reports have a row per method or corpus, so one file holds them."""
+    report.coalesce(1).write.mode("overwrite").json(path)

@@ -187,6 +187,38 @@ def rerank(hits: DataFrame, k: int, score: Callable[[Column, Column], Column] |
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("_n", "_s")
 
 
+def rerank_by_answers(hits: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """hits (query_id, rank, ...), answers (query_id, seq, position, score) of a rerank service -> k hits per query.
+
+    position counts from 0 along the ranks; the first answer for a position counts. Queries with at most k candidates,
+    with a position out of bounds, or with fewer than k positions answered keep their order. The score of a hit that was
+    reranked is the answer's, and null otherwise.
+    """
+    sizes = hits.groupBy("query_id").agg(F.count("*").alias("_n"))
+    first = answers.groupBy("query_id", "position").agg(F.min_by("score", "seq").alias("_score"), F.min("seq").alias("_seq"))
+    bounded = first.join(sizes, "query_id")
+    inside = (F.col("position") >= 0) & (F.col("position") < F.col("_n"))
+    usable = bounded.groupBy("query_id", "_n").agg(F.count("*").alias("_m"), F.bool_and(inside).alias("_in")).where(f"_in and _m >= {int(k)} and _n > {int(k)}")
+    scored = bounded.join(usable.select("query_id"), "query_id", "left_semi").select("query_id", (F.col("position") + 1).cast("long").alias("rank"), "_score", "_seq")
+    rows = hits.join(usable.select("query_id", F.lit(True).alias("_used")), "query_id", "left").join(scored, ["query_id", "rank"], "left")
+    rows = rows.where(F.col("_used").isNull() | F.col("_score").isNotNull())
+    order = Window.partitionBy("query_id").orderBy(F.col("_score").desc(), F.col("_seq"), "rank")
+    rows = rows.withColumn("_k", F.row_number().over(order).cast("long")).where(F.col("_k") <= k)
+    return rows.withColumns({"rank": F.col("_k"), "score": F.col("_score")}).drop("_k", "_score", "_seq", "_used")
+
+
+def fill_file_names(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """hits (file_id, file_name, ...) with missing names taken from files (file_id, file_name); other names stay."""
+    named = files.select("file_id", F.col("file_name").alias("_name"))
+    return hits.join(named, "file_id", "left").withColumn("file_name", F.coalesce("file_name", "_name")).drop("_name")
+
+
+def index_rows(chunks: DataFrame, files: DataFrame, version: str) -> DataFrame:
+    """chunks (file_id, ordinal, text) with the columns of their file that searches filter on, and a deterministic id."""
+    rows = chunks.join(files.select("file_id", "file_name", "md5", "owner_id", "org_tag", "is_public"), "file_id")
+    return rows.withColumn("index_id", F.concat_ws(":", F.col("file_id").cast("string"), F.lit(version), F.col("ordinal").cast("string")))
+
+
 def unique_ranks(ranked: DataFrame, key: str) -> DataFrame:
     """The first row of each key per query; later repeats do not take a rank."""
     first = ranked.groupBy("query_id", key).agg(F.min("rank").alias("_first"))

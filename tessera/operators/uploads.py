@@ -96,3 +96,14 @@ def final_status(events: DataFrame) -> DataFrame:
 def uploaded_view(files: DataFrame, tags: DataFrame) -> DataFrame:
     """Files with the name of their tag, or the tag itself where it has none."""
     return files.join(tags.select(F.col("tag_id").alias("org_tag"), F.col("name").alias("_name")), "org_tag", "left").withColumn("org_tag_name", F.coalesce("_name", "org_tag")).drop("_name")
+
+
+def without_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table (with file_id) without the rows of the files in gone (file_id): files, sections, chunks and index."""
+    ids = gone.select("file_id").distinct()
+    return {name: rows.join(ids, "file_id", "left_anti") for name, rows in tables.items()}
+
+
+def to_reindex(files: DataFrame) -> DataFrame:
+    """Files whose upload is complete: the input of a full re-index."""
+    return files.where(F.col("status") == 1)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators.documents import ELEMENTS, Element, clean
 
 # ---- fixed values: extensions, and labels by extension ----
@@ -241,15 +242,11 @@ def _run_text(node: ElementTree.Element) -> str:
 
 
 def _is_form(body: str) -> bool:
-    from tessera.functions import text as T
-
     fields = sum(w in body for w in T.FIELD_WORDS)
     return any(w in body for w in T.FORM_WORDS) or fields >= 5 or (fields >= 3 and bool(re.search(r"月\s*日", body)))
 
 
 def _is_scaffold(body: str) -> bool:
-    from tessera.functions import text as T
-
     signed = sum(w in body for w in T.FIELD_WORDS) >= 3 and any(w in body for w in T.SIGNATURE_WORDS)
     return len(body) <= 100 and (any(w in body for w in T.FORM_WORDS) or signed)
 
@@ -409,8 +406,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def read_claims(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """JSON lines of claims with evidence: (id, claim, relevant); with a limit, fewer claims are an error."""
-    raw = spark.read.text(path).select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.get_json_object("value", "$.claim").alias("claim"), F.json_object_keys(F.get_json_object("value", "$.evidence")).alias("relevant"))
-    rows = raw.where(F.size("relevant") > 0)
+    rows = claims_of(spark.read.text(path))
     if limit is None:
         return rows
     picked = rows.orderBy("id").limit(limit)
@@ -419,10 +415,38 @@ def read_claims(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return picked
 
 
+def claims_of(lines: DataFrame) -> DataFrame:
+    """lines (value) of JSON -> (id, claim, relevant) of claims whose evidence names a document."""
+    raw = lines.select(F.get_json_object("value", "$.id").cast("long").alias("id"), F.get_json_object("value", "$.claim").alias("claim"), F.json_object_keys(F.get_json_object("value", "$.evidence")).alias("relevant"))
+    return raw.where(F.size("relevant") > 0)
+
+
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """JSON lines of papers: (doc_id, title, abstract), the last line of an id wins; and the number of malformed lines."""
-    raw = spark.read.text(path).where("trim(value) <> ''").withColumn("_line", F.monotonically_increasing_id())
-    parsed = raw.withColumn("_j", F.from_json("value", "doc_id string, title string, abstract array<string>"))
+    return corpus_of(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
+def corpus_of(lines: DataFrame) -> tuple[DataFrame, int]:
+    """lines (line, value) of JSON -> papers and the number of malformed lines; blank lines are neither."""
+    parsed = lines.where("trim(value) <> ''").withColumn("_j", F.from_json("value", "doc_id string, title string, abstract array<string>"))
     good = parsed.where(F.col("_j.doc_id").isNotNull())
-    rows = good.groupBy(F.col("_j.doc_id").alias("doc_id")).agg(F.max_by("_j", "_line").alias("_k")).select("doc_id", "_k.title", "_k.abstract")
+    rows = good.groupBy(F.col("_j.doc_id").alias("doc_id")).agg(F.max_by("_j", "line").alias("_k")).select("doc_id", "_k.title", "_k.abstract")
     return rows, parsed.where(F.col("_j.doc_id").isNull()).count()
+
+
+def outline_headings(bookmarks: DataFrame, levels: int = 100) -> DataFrame:
+    """bookmarks (file_id, node, parent, title, page) -> (file_id, node, page, title, level) of usable bookmarks.
+
+    Children of a broken bookmark (no page, or no title) are still visited; levels are counted from the top and held at 6.
+    Every level of the outline is a join, and no more than ``levels`` of them are followed.
+    """
+    level = bookmarks.where(F.col("parent").isNull()).select("file_id", "node", "page", "title", F.lit(1).alias("level"))
+    inner = bookmarks.where(F.col("parent").isNotNull()).select("file_id", F.col("node").alias("_node"), "parent", F.col("page").alias("_page"), F.col("title").alias("_title"))
+    found = level
+    for depth in range(2, levels + 1):
+        above = level.select("file_id", F.col("node").alias("parent"))
+        level = inner.join(above, ["file_id", "parent"]).select("file_id", F.col("_node").alias("node"), F.col("_page").alias("page"), F.col("_title").alias("title"), F.lit(min(6, depth)).alias("level"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.withColumn("title", T.clean(F.col("title"))).where((F.col("page") > 0) & (F.col("title") != ""))

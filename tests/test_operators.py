@@ -93,3 +93,25 @@ def test_replacement_is_by_document(spark, tmp_path):
     Q.replace_documents(rows((1, "a"), (1, "b"), (2, "c")), path, 2)
     Q.replace_documents(rows((1, "new"), (3, "d")), path, 2)
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "new"), (2, "c"), (3, "d")]
+
+
+def test_preview_shows_lines_that_begin_in_the_limit(spark):
+    rows = spark.createDataFrame([("a.txt", "ab\r\ncd\n"), ("b.md", "x" * 30 + "\nrest"), ("c.txt", ""), ("d.txt", None), ("e.XLSX", "z")], "name string, text string")
+    got = [r[0] for r in rows.select(T.preview(F.col("name"), F.col("text"), F.lit(10), F.lit("now"), 20)).collect()]
+    assert got[:4] == ["ab\ncd\n", "x" * 30 + "\n\n" + T.PREVIEW_CUT, "", ""]
+    assert got[4].startswith("文件名: e.XLSX\n文件大小: 10 B\n文件类型: XLSX\n上传时间: now")
+
+
+def test_rerank_answers_fall_back(spark):
+    hits = spark.createDataFrame([(q, r, q * 10 + r) for q in (1, 2, 3) for r in (1, 2, 3)] + [(4, 1, 41)], "query_id long, rank long, chunk_id long")
+    answers = [(1, 0, 2, 0.5), (1, 1, 0, 0.9), (1, 2, 2, 1.0), (2, 0, 7, 1.0), (2, 1, 0, 0.1), (2, 2, 1, 0.2), (3, 0, 1, 0.4), (4, 0, 0, 1.0)]
+    rows = R.rerank_by_answers(hits, spark.createDataFrame(answers, "query_id long, seq long, position long, score double"), 2)
+    got = {}
+    for r in rows.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert got == {1: [(11, 0.9), (13, 0.5)], 2: [(21, None), (22, None)], 3: [(31, None), (32, None)], 4: [(41, None)]}
+
+
+def test_report_is_json(spark, tmp_path):
+    E.write_report(spark.createDataFrame([("bm25", 0.5)], "method string, mrr10 double"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).collect()[0].asDict() == {"method": "bm25", "mrr10": 0.5}
