@@ -46,17 +46,24 @@ def document_stats(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """chunks (chunk_id, text), queries (query_id, query_text) -> (query_id, chunk_id, score), rounded to 9 decimals.
 
-    Postings are pruned to query terms before anything is shuffled; document frequencies and mean length cover all chunks,
-    also where ``permitted_hits`` restricts the candidates afterwards.
+    chunk_id is unique. Two passes over the chunks: one counts, for each query term and for the empty term that stands for
+    all chunks, chunks and their lengths, and shuffles only sums; the other prunes tokens to query terms and shuffles them
+    once, by chunk, which serves both the term frequencies and the sums per query. Frequencies and mean length cover all
+    chunks, also where ``permitted_hits`` restricts the candidates afterwards.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("query_text")))).alias("term"))
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(analyze(F.col("query_text")))).alias("term")).where(F.col("term").isNotNull())
     terms = asked.select("term").distinct()
-    sized = chunks.select("chunk_id", analyze(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    everything = terms.sparkSession.range(1).select(F.lit("").alias("term"))
+    sized = chunks.select("chunk_id", analyze(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    # explode_outer: explode would be preceded by a test for emptiness that analyzes every text again
+    once = sized.select("dl", F.explode_outer(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
+    counts = once.join(terms.unionByName(everything), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
+    whole = Window.partitionBy()  # one row per query term
+    of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
+    stats = counts.select("term", "df", of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl")).where(F.col("term") != "")
+    idf = stats.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = sized.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id")
     tf = hits.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(totals)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = tf.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
 

@@ -122,11 +122,14 @@ def values(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql}")
 
 
-def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+def as_line_chunks(rows: DataFrame) -> DataFrame:
     """Lines as chunks: five lines of a document are a section."""
-    rows = lines(spark, sf)
     section = F.floor((F.col("ordinal") - 1) / 5).cast("long")
-    return rows.select("doc_id", (F.col("doc_id") * 100_000 + section).alias("section_id"), "ordinal", "text", T.token_estimate(F.col("text")).alias("tokens"))
+    return rows.withColumns({"section_id": F.col("doc_id") * 100_000 + section, "tokens": T.token_estimate(F.col("text"))})
+
+
+def line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return as_line_chunks(lines(spark, sf)).select("doc_id", "section_id", "ordinal", "text", "tokens")
 
 
 LINE_CHUNKS = f"""{LINES},

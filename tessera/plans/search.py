@@ -230,9 +230,9 @@ def _line_hits(spark: S, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("_m"))
-    rows = X.line_chunks(spark, sf).withColumn("_m", F.col("doc_id") % 40).join(F.broadcast(items), "_m")
+    rows = X.lines(spark, sf).withColumn("_m", F.col("doc_id") % 40).join(F.broadcast(items), "_m")
     order = Window.partitionBy("query_id").orderBy(F.length("text").desc(), "doc_id", "ordinal")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").drop("_m")
+    return X.as_line_chunks(rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").drop("_m"))
 
 
 _AROUND = f"""{_HITS},

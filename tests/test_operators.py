@@ -1,6 +1,7 @@
 """Retrieval, access, pipeline and streaming rules on small rows."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,20 @@ def test_rerank_answers_fall_back(spark):
 def test_report_is_json(spark, tmp_path):
     E.write_report(spark.createDataFrame([("bm25", 0.5)], "method string, mrr10 double"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).collect()[0].asDict() == {"method": "bm25", "mrr10": 0.5}
+
+
+def test_bm25_equals_a_loop(spark):
+    texts = {1: "a b b c", 2: "b", 3: None, 4: "", 5: "A-c d d d"}
+    asked = {7: "b a", 8: "d d zzz", 9: "", 10: None}
+    got = {(r.query_id, r.chunk_id): r.score for r in R.bm25(spark.createDataFrame(list(texts.items()), "chunk_id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, query_text string")).collect()}
+    words = {k: (t or "").lower().replace("-", " ").split() for k, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q, text in asked.items():
+        for term in set((text or "").split()):
+            df = sum(term in w for w in words.values())
+            for k, w in words.items():
+                if term in w:
+                    tf, idf = w.count(term), math.log(1 + (len(words) - df + 0.5) / (df + 0.5))
+                    want[q, k] = want.get((q, k), 0) + idf * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    assert got == pytest.approx(want, abs=1e-8)
