@@ -11,7 +11,8 @@ the smaller determinant is used. A document is rejected if its squared Mahalanob
 The statistics have exact values (no repeated lines, no symbols) in most documents, so a group's covariance may be
 singular; FLOORS are standard deviations added to it, the spread that is always allowed.
 
-Groups of fewer than MIN_GROUP rows use the estimate of their language, and languages of fewer rows that of all rows.
+Groups of fewer than MIN_GROUP rows use the estimate of their language, and languages of fewer rows that of all rows;
+these are fitted on every passing row of the language or table, those of large groups too.
 Every group is reduced by partial aggregation, so a hot source costs no task more than its share.
 """
 
@@ -89,12 +90,30 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_lang": lang, "_source": source} | _vector())
 
 
+def _label(kind: str, *keys: str) -> Column:
+    return F.concat_ws("\n", F.lit(kind), *keys)
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """(_lang, _source) -> _g, the group whose estimate applies."""
+    """(_lang, _source) -> _g, the group whose estimate applies, and the groups that the pair's rows are fitted in.
+
+    Those are _own, the pair itself; _by_lang, its language, if a pair of the language is small; _by_all, the table, if a
+    language is small.
+    """
     pairs = rows.groupBy("_lang", "_source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("_n"))
-    by_lang = pairs.groupBy("_lang").agg(F.sum("_n").alias("_m"))
-    g = F.when(F.col("_n") >= MIN_GROUP, F.concat_ws("\n", F.lit("pair"), "_lang", "_source")).when(F.col("_m") >= MIN_GROUP, F.concat_ws("\n", F.lit("lang"), "_lang")).otherwise(F.lit("all"))
-    return written(pairs.join(by_lang, "_lang").select("_lang", "_source", g.alias("_g")), "quality-groups")
+    by_lang = pairs.groupBy("_lang").agg(F.sum("_n").alias("_m"), F.min("_n").alias("_least"))
+    by_all = by_lang.agg((F.min("_m") < MIN_GROUP).alias("_by_all"))
+    own, lang = F.col("_n") >= MIN_GROUP, F.col("_m") >= MIN_GROUP
+    g = F.when(own, _label("pair", "_lang", "_source")).when(lang, _label("lang", "_lang")).otherwise(_label("all"))
+    found = pairs.join(by_lang, "_lang").crossJoin(F.broadcast(by_all))
+    return written(found.select("_lang", "_source", g.alias("_g"), own.alias("_own"), (lang & (F.col("_least") < MIN_GROUP)).alias("_by_lang"), "_by_all"), "quality-groups")
+
+
+def _fitted(passing: DataFrame, groups: DataFrame) -> DataFrame:
+    """passing (_lang, _source, x0..x3) -> _g, x0..x3: each row once in every group that it is fitted in."""
+    found = lookup(passing, groups.drop("_g"), ["_lang", "_source"], F.xxhash64("n_words", "word_chars"))
+    labels = F.array(F.when(F.col("_own"), _label("pair", "_lang", "_source")), F.when(F.col("_by_lang"), _label("lang", "_lang")), F.when(F.col("_by_all"), _label("all")))
+    return found.select(F.explode(F.array_compact(labels)).alias("_g"), *[f"x{i}" for i in range(D)])
 
 
 def _whitening(params: DataFrame) -> DataFrame:
@@ -158,7 +177,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:
     """rows with statistics and keys -> with mahalanobis (null where no estimate applies) and kept."""
     spread_by = F.xxhash64("n_words", "word_chars", "n_repeat_words")
-    found = lookup(lookup(rows, groups, ["_lang", "_source"], spread_by), params, ["_g"], spread_by)
+    found = lookup(lookup(rows, groups.select("_lang", "_source", "_g"), ["_lang", "_source"], spread_by), params, ["_g"], spread_by)
     found = found.withColumn("mahalanobis", F.when(F.col("n_words") > 0, _distance()))
     return found.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("mahalanobis"), F.lit(0.0)) <= CUTOFF))
 
@@ -170,8 +189,7 @@ def _fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     slim = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     rows = _keyed(written(base_statistics(docs.select(*slim, "text")).select(*slim, *STATISTICS), "quality-statistics"))
     groups = _groups(rows)
-    passing = lookup(rows.where(~F.col("base_failed")), groups, ["_lang", "_source"], F.xxhash64("n_words", "word_chars"))
-    return rows, groups, estimates(passing)
+    return rows, groups, estimates(_fitted(rows.where(~F.col("base_failed")), groups))
 
 
 def judge(docs: DataFrame) -> DataFrame:

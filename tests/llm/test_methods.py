@@ -259,6 +259,19 @@ def test_rules_keep_good_documents(spark, documents):
     assert sum(r.kept for r in rows if r.quality == 0) <= 0.1 * sum(r.quality == 0 for r in rows)
 
 
+def test_a_small_group_is_held_against_its_whole_language(spark):
+    """Rare sources beside a large one: their estimate is of all rows of the language, or of the table."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    clean = lambda k: " ".join(random.Random(k).sample(words, 80))
+    junk = " ".join(w + "#$%&" * 3 for w in clean(-1).split())
+    rows = [(k, clean(k), "en", "large") for k in range(200)]
+    rows += [(1000, junk, "en", "rare"), (1001, clean(1001), "en", "rare")]
+    rows += [(2000, junk, "en", "lone"), (3000, junk, "xx", "large"), (3001, clean(3001), "xx", "other")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {1000, 2000, 3000}
+
+
 def test_isotonic():
     curve = classifier.isotonic(np.array([1, 1, 0, 2, 1.0]), np.array([0, 1, 0, 0, 1.0]))
     assert (np.diff(curve) >= 0).all() and curve[0] == 0 and curve[-1] == 1 and curve[1] == pytest.approx(1 / 3)
