@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import lookup, written
+
 #: Training documents per language, the words and the n-grams of each order kept per language: documented bounds.
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 200
 MAX_WORDS = 20_000
 MAX_GRAMS = 5_000
 ORDERS = (4, 3, 2, 1)
 #: Vectors of words that a Python worker remembers.
 CACHE = 400_000
+#: Words times languages that a Python worker remembers.
+CELLS = 80_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -53,21 +56,46 @@ def count_grams(pairs: Iterable[tuple[str, str]]) -> Counter:
     return found
 
 
+class Table:
+    """Gram -> log frequencies over languages. Only the languages that have a gram are stored for it."""
+
+    def __init__(self, counts: list[tuple[int, str, int]], n_langs: int):
+        self.at: dict[str, int] = {}
+        rows = np.array([self.at.setdefault(gram, len(self.at)) for _, gram, _ in counts], dtype=np.int64)
+        order = np.argsort(rows, kind="stable")
+        langs = np.array([c[0] for c in counts], dtype=np.int32)[order]
+        n = np.array([c[2] for c in counts], dtype=np.float64)[order]
+        floor = 0.5
+        total = np.maximum(np.bincount(langs, weights=n, minlength=n_langs), 1.0) + floor * len(self.at)
+        self.unseen = np.log(floor / total).astype(np.float32)
+        self.langs, self.logs = langs, np.log((n + floor) / total[langs]).astype(np.float32)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(self.at)))])
+
+    def __contains__(self, gram: str) -> bool:
+        return gram in self.at
+
+    def __getitem__(self, gram: str) -> np.ndarray:
+        k = self.at[gram]
+        a, z = self.ends[k], self.ends[k + 1]
+        found = self.unseen.copy()
+        found[self.langs[a:z]] = self.logs[a:z]
+        return found
+
+    def get(self, gram: str) -> np.ndarray | None:
+        return self[gram] if gram in self.at else None
+
+
 class Model:
-    """Log frequency vectors over languages for words and n-grams."""
+    """Log frequency vectors over languages for words and n-grams; its size grows with the entries, not with entries x languages."""
 
     def __init__(self, counts: Iterable[tuple[str, int, str, int]]):
         rows = list(counts)
         self.langs = sorted({r[0] for r in rows})
         at = {x: i for i, x in enumerate(self.langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        kinds: dict[int, list[tuple[int, str, int]]] = {}
         for lang, kind, gram, n in rows:
-            tables.setdefault(kind, {}).setdefault(gram, np.zeros(len(at)))[at[lang]] += n
-        self.tables = {}
-        for kind, table in tables.items():
-            total = np.maximum(sum(table.values()), 1.0)
-            floor = 0.5
-            self.tables[kind] = {g: np.log((v + floor) / (total + floor * len(table))).astype(np.float32) for g, v in table.items()}
+            kinds.setdefault(kind, []).append((at[lang], gram, n))
+        self.tables = {kind: Table(found, len(at)) for kind, found in kinds.items()}
 
     def vector(self, word: str) -> np.ndarray:
         known = self.tables.get(0, {}).get(word)
@@ -85,7 +113,7 @@ class Scorer:
     """Scores texts with a model; remembers word vectors up to a bound."""
 
     def __init__(self, model: Model, cache: int = CACHE):
-        self.model, self.most, self.seen = model, cache, {}
+        self.model, self.most, self.seen = model, min(cache, max(1024, CELLS // max(1, len(model.langs)))), {}
         self.matrix = np.zeros((1024, max(1, len(model.langs))), dtype=np.float32)
 
     def _row(self, word: str) -> int:
@@ -120,17 +148,17 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int
     """labelled (doc_id, text, lang), lang not null -> model from per_language documents of each language.
 
     The documents are those with the smallest seeded hash of the id, so reruns agree and the sample spreads over the
-    table. Counting is distributed; at most max_words + 4 * max_grams entries per language reach the driver.
+    table. No language is left out. Counting is distributed; at most max_words + 4 * max_grams entries per language reach the driver.
     """
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 1)
     # a share of each language that holds per_language rows almost surely is drawn first, so the window stays small
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy("lang").limit(MAX_LANGUAGES)
+    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("_n")), "langid-sizes")
     share = F.least(F.lit(1.0), F.lit(per_language + 6 * per_language**0.5) / F.col("_n"))
-    drawn = labelled.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(draw <= share * F.lit(float(2**63)))
+    drawn = lookup(labelled.select("doc_id", "lang"), sizes, ["lang"], F.col("doc_id")).where(draw <= share * F.lit(float(2**63)))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     picked = drawn.select("doc_id", "lang", F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_language)
-    last = picked.groupBy("lang").agg(F.max(draw).alias("_last"))
-    sample = labelled.join(F.broadcast(last), "lang").where(draw <= F.col("_last"))
+    last = written(picked.groupBy("lang").agg(F.max(draw).alias("_last")), "langid-last")
+    sample = lookup(labelled, last, ["lang"], F.col("doc_id")).where(draw <= F.col("_last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -291,6 +291,15 @@ def test_languages_on_held_out_rows(documents):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
 
 
+def test_every_language_is_learned(spark):
+    """Over 200 values of lang, of which the largest sorts last."""
+    rows = [(k, f"kata{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, f"a{k:03d}") for k in range(230)]
+    rows += [(1000 + k, "dobry wieczor panstwu", "zz") for k in range(40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({r[2] for r in rows})
+    assert langid.Scorer(model).score("dobry wieczor")[0] == "zz"
+
+
 def test_backoff_order():
     model = langid.Model(langid.count_grams([("shoe house", "en"), ("schuh haus", "de")]) and [(k[0], k[1], k[2], n) for k, n in langid.count_grams([("shoe house", "en"), ("schuh haus", "de")]).items()])
     assert model.vector("shoe").tolist() == model.tables[0]["shoe"].tolist()
