@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import salted_left_join, written
+from tessera.llm.common import discard, salted_left_join, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -279,7 +279,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             moved = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return written(moved.where("a <> b").distinct(), name)
+        found = written(moved.where("a <> b").distinct(), name)
+        discard(least, pairs)
+        return found
 
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -297,14 +299,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def classes(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """prints (doc_id, fp) -> (fp, component_id) for fingerprints that several rows share or that are linked."""
+    """prints (doc_id, fp) -> (fp, component_id, _root) for fingerprints that several rows share or that are linked.
+
+    _root names the class where no row of it has an id.
+    """
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")), "simhash-distinct")
     linked = written(components(links(distinct.select("fp"), bucket), "simhash-components"), "simhash-members")
     known = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = written(known, "simhash-known")
     ids = known.groupBy("root").agg(F.min("_first").alias("component_id"), F.sum("_n").alias("_rows")).where("_rows > 1")
     ids = written(ids.select("root", "component_id"), "simhash-ids")
-    return known.join(ids, "root").select("fp", "component_id")
+    return written(known.join(ids, "root").select("fp", "component_id", F.col("root").alias("_root")), "simhash-classes")
 
 
 def hex_fp(fp: Column) -> Column:
@@ -318,24 +323,38 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     the smallest; a class without any id has a null component_id. An empty table gives no rows.
     """
     prints = written(fingerprints(docs.select("doc_id", "text")), "simhash-prints")
-    known = written(classes(prints, bucket), "simhash-classes")
+    known = classes(prints, bucket).drop("_root")
     rows = salted_left_join(prints, known, ["fp"], F.coalesce("doc_id", F.lit(0).cast("long")))
     return rows.select("doc_id", hex_fp(F.col("fp")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_per_class(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest doc_id stays.
+def _text_key() -> Column:
+    """A text's 64-bit hash. Rows of one id whose texts have one hash count as equal; it is never compared across ids."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def one_per_class(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """docs without near-duplicates: of each class exactly one row stays, with the columns of docs.
 
-    Texts are not shuffled unless rows repeat an id: membership is decided on ids, and the losing ids are removed by an
-    anti join. Rows without an id stay. Of rows that share the kept id one stays.
+    It is the row with the smallest doc_id (null last; of rows with that id, the one whose text has the smallest hash; of
+    equal rows any). Decisions are made on rows, (doc_id, hash of the text), not on ids: different texts that share an id
+    are judged each, and rows without an id are deduplicated like others. Null and empty texts are one class. An empty
+    table gives no rows. The texts meet only the list of rows that go, by an anti join.
     """
-    ids = near_duplicates(docs)
-    losing = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    again = ids.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marked = written(losing.withColumn("_keep", F.lit(False)).unionByName(again.withColumn("_keep", F.lit(True))), "simhash-losing")
-    kept = docs.join(marked.where("not _keep").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = marked.where("_keep").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+    prints = written(fingerprints(docs.select("doc_id", _text_key().alias("_th"), "text")), "simhash-prints")
+    known = classes(prints, bucket)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+    rows = prints.groupBy("doc_id", "_th", "fp").agg(F.count("*").alias("_n"))
+    # classes are joined to distinct rows, with salt: copies under many ids may share one fingerprint
+    rows = written(salted_left_join(rows, known.drop("component_id"), ["fp"], F.xxhash64("doc_id", "_th")).where(F.col("_root").isNotNull()), "simhash-rows")
+    best = written(rows.groupBy("_root").agg(F.min(order).alias("_best")), "simhash-best")
+    judged = salted_left_join(rows, best, ["_root"], F.xxhash64("doc_id", "_th")).withColumn("_stays", order == F.col("_best"))
+    marked = written(judged.where("not _stays or _n > 1").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_hash"), "_stays"), "simhash-marked")
+
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), _text_key().alias("_th"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash"))
+    kept = packed.join(marked, same, "left_anti")
+    repeated = marked.where("_stays").select("_id", "_hash")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(packed.join(repeated, same, "left_semi").groupBy("_own", "_th").agg(F.first("_row").alias("_row")).select("_row", "_own", "_th"))
+    return kept.select("_row.*")
