@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix arrays.
 
-Encoding a batch. Texts are split into units at places that no piece spans (a blank mark after another character, and
-characters outside the vocabulary), and the distinct units not seen before are concatenated. The concatenation is indexed
+Encoding a batch. Texts are split into units at places that no piece spans (a blank mark after another character, and line
+feeds), and the distinct units not seen before are concatenated. The concatenation is indexed
 by a suffix array (prefix doubling up to the longest piece), every piece is binary-searched for the range of its
 occurrences, and the occurrences, edges of a lattice, are sorted by end position and relaxed from left to right.
 
@@ -10,6 +10,10 @@ their concatenation, and the encoding of a prefix ending at a token border is a
 needs one token: the edge that ends there whose left neighbour, the token kept at its start, is compatible. Two pieces are
 compatible unless, in the order of merges, a merge across their border comes before those that close the border: the pair
 of symbols at the border is followed up the two derivations. Derivations are found once per vocabulary.
+
+A unit of over UNIT_CHARS characters (prose without blanks, minified code) is cut where two neighbouring characters stand
+together in no piece. What then still has over INDEX_CHARS characters (a run of one letter) is taken in spans that overlap
+by the longest piece, so memory beyond one token a character does not grow with it.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ CACHE = 200_000
 BATCH_CHARS = 1_000_000
 #: Distinct units are indexed together up to so many characters: the lattice takes some 500 bytes for each.
 INDEX_CHARS = 200_000
+#: Units of over so many characters are cut further, at safe borders.
+UNIT_CHARS = 100
 _FAR = np.int64(1) << 40
 
 
@@ -99,6 +105,8 @@ class Vocabulary:
         self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order_k], np.array(ranks, np.int64)[order_k]
         self.alphabet = {c for x in at for c in x}
         self.code = {c: k + 1 for k, c in enumerate(sorted(self.alphabet))}
+        within = {self.code[a] * (len(self.code) + 1) + self.code[b] for x in at for a, b in zip(x, x[1:], strict=False)}
+        self.neighbours = np.array(sorted(within), np.int64)
         usable = [i for i in at.values() if self.reachable[i]]
         self.pieces = np.array(usable, np.int64)
         self.length = np.ones(n + 1, np.int64)
@@ -115,6 +123,14 @@ class Vocabulary:
         self.unknown_raw = " ⁇ ".encode()
         self.raw[self.unknown] = self.unknown_raw
 
+    def parts(self, unit: str) -> list[str]:
+        """unit cut wherever two neighbouring characters stand together in no piece, so that no merge crosses a cut."""
+        codes = _codes(np.frombuffer(unit.encode("utf-32-le"), "<u4"), self).astype(np.int64)
+        pair = codes[:-1] * (len(self.code) + 1) + codes[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+        cuts = [0, *(np.flatnonzero(self.neighbours[at] != pair) + 1).tolist(), len(unit)]
+        return [unit[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * (self.size + 1) + b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -178,18 +194,10 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, letters: np.ndarray,
     return low, np.maximum(low, high)
 
 
-def encode_units(units: list[str], vocab: Vocabulary) -> list[bytes]:
-    """Ids of each distinct unit as little-endian unsigned 32-bit integers."""
-    sizes = np.array([len(u) for u in units], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])  # one separator after each unit
-    text = "\x00".join(units) + "\x00"
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    distinct, where = np.unique(points, return_inverse=True)
-    codes = np.array([vocab.code.get(chr(c), 0) if c else 0 for c in distinct], np.int32)[where]
-    n = len(codes)
+def _edges(codes: np.ndarray, inside: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, start) of every occurrence of a piece in codes, and of every character of inside that is not in the vocabulary."""
     order = suffix_array(codes, vocab.longest)
-    lengths = vocab.length[vocab.pieces]
-    low, high = occurrence_ranges(codes, order, vocab.letters, lengths)
+    low, high = occurrence_ranges(codes, order, vocab.letters, vocab.length[vocab.pieces])
     counts = high - low
     full = np.flatnonzero(counts)
     counts = counts[full]
@@ -197,28 +205,86 @@ def encode_units(units: list[str], vocab: Vocabulary) -> list[bytes]:
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     start = order[np.repeat(low[full], counts) + offset]
     # characters outside the vocabulary are edges of their own, compatible with everything
-    inside = np.ones(n, bool)
-    inside[starts + sizes] = False
     odd = np.flatnonzero((codes == 0) & inside)
-    piece = np.concatenate([piece, np.full(len(odd), vocab.size)])
-    start = np.concatenate([start, odd])
-    unit = np.repeat(np.arange(len(units)), sizes + 1)
-    end = start + vocab.length[piece]
-    step = end - starts[unit[start]]
+    return np.concatenate([piece, np.full(len(odd), vocab.size)]), np.concatenate([start, odd])
+
+
+def _relax(kept: np.ndarray, piece: np.ndarray, start: np.ndarray, step: np.ndarray, vocab: Vocabulary) -> None:
+    """Take the edges in the order of step: an edge whose left neighbour is compatible is the token that ends where it does."""
     by = np.argsort(step, kind="stable")
-    piece, start, end, step = piece[by], start[by], end[by], step[by]
-    # kept[p]: the token that ends before position p; -1 at the start of a unit, -2 not reached
-    kept = np.full(n + 1, -2, np.int64)
-    kept[starts] = -1
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, [len(step)]]) if len(step) else np.zeros(1, np.int64)
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
+    piece, start, step = piece[by], start[by], step[by]
+    end = start + vocab.length[piece]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(step)) + 1, [len(step)]]) if len(step) else np.zeros(1, np.int64)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         before, now = kept[start[a:z]], piece[a:z]
         good = before == -1
         check = np.flatnonzero(before >= 0)
         if len(check):
-            pair, back = np.unique(before[check] * (vocab.size + 1) + now[check], return_inverse=True)
+            pair, back = np.unique(before[check].astype(np.int64) * (vocab.size + 1) + now[check], return_inverse=True)
             good[check] = vocab.compatible(pair // (vocab.size + 1), pair % (vocab.size + 1))[back]
         kept[end[a:z][good]] = now[good]
+
+
+def _codes(points: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    distinct, where = np.unique(points, return_inverse=True)
+    return np.array([vocab.code.get(chr(c), 0) if c else 0 for c in distinct], np.int32)[where]
+
+
+def _octets(point: int, vocab: Vocabulary) -> list[int]:
+    """Ids of a character outside the vocabulary."""
+    return [vocab.bytes_at[o] for o in chr(point).encode()] if vocab.bytes_at else [vocab.unknown]
+
+
+def encode_long(unit: str, vocab: Vocabulary, span: int = INDEX_CHARS) -> bytes:
+    """Ids of one unit of any length. The lattice is made for span characters at a time.
+
+    The edges that end in a span start at most the longest piece before it, so a window of span and that margin holds them
+    all, and what is carried on is one token a position.
+    """
+    points = np.frombuffer(unit.encode("utf-32-le"), "<u4")
+    n, margin = len(points), vocab.longest
+    kept = np.full(n + 1, -2, np.int32)
+    kept[0] = -1
+    for at in range(0, n, span):
+        low, high = max(0, at - margin), min(n, at + span)
+        codes = _codes(points[low:high], vocab)
+        piece, start = _edges(codes, np.ones(len(codes), bool), vocab)
+        start = start + low
+        end = start + vocab.length[piece]
+        now = end > at
+        _relax(kept, piece[now], start[now], end[now], vocab)
+    ids: list[np.ndarray] = []
+    at = n
+    found: list[int] = []
+    while at:
+        token = int(kept[at])
+        if token == -2:
+            raise ValueError("a unit has no encoding")
+        found += reversed(_octets(int(points[at - 1]), vocab)) if token == vocab.size else [token]
+        at -= int(vocab.length[token])
+        if len(found) >= INDEX_CHARS:
+            ids.append(np.array(found, "<u4"))
+            found = []
+    ids.append(np.array(found, "<u4"))
+    return np.concatenate(ids)[::-1].tobytes()
+
+
+def encode_units(units: list[str], vocab: Vocabulary) -> list[bytes]:
+    """Ids of each distinct unit as little-endian unsigned 32-bit integers."""
+    sizes = np.array([len(u) for u in units], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])  # one separator after each unit
+    text = "\x00".join(units) + "\x00"
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    codes = _codes(points, vocab)
+    n = len(codes)
+    inside = np.ones(n, bool)
+    inside[starts + sizes] = False
+    piece, start = _edges(codes, inside, vocab)
+    unit = np.repeat(np.arange(len(units)), sizes + 1)
+    # kept[p]: the token that ends before position p; -1 at the start of a unit, -2 not reached
+    kept = np.full(n + 1, -2, np.int64)
+    kept[starts] = -1
+    _relax(kept, piece, start, start + vocab.length[piece] - starts[unit[start]], vocab)
     # walk back from the ends of all units at once
     ends, found, owner = starts + sizes, [], []
     at, who = ends.copy(), np.arange(len(units))
@@ -236,20 +302,15 @@ def encode_units(units: list[str], vocab: Vocabulary) -> list[bytes]:
     position, token, who = np.concatenate([p for p, _ in found]), np.concatenate([t for _, t in found]), np.concatenate(owner)
     by = np.argsort(position, kind="stable")
     position, token, who = position[by], token[by], who[by]
-    unknown = np.flatnonzero(token == vocab.size)
     splits = np.searchsorted(who, np.arange(len(units) + 1)).tolist()
-    if not len(unknown):
+    if not (token == vocab.size).any():
         raw = token.astype("<u4").tobytes()
         return [raw[4 * a : 4 * z] for a, z in zip(splits, splits[1:], strict=False)]
     out = []
     for a, z in zip(splits, splits[1:], strict=False):
         ids: list[int] = []
         for p, t in zip(position[a:z].tolist(), token[a:z].tolist(), strict=True):
-            if t != vocab.size:
-                ids.append(t)
-            else:
-                octets = chr(points[p - 1]).encode()
-                ids += [vocab.bytes_at[o] for o in octets] if vocab.bytes_at else [vocab.unknown]
+            ids += [t] if t != vocab.size else _octets(int(points[p - 1]), vocab)
         out.append(np.array(ids, "<u4").tobytes())
     return out
 
@@ -264,7 +325,7 @@ class Encoder:
         self.units = re.compile(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n").findall
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.units((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.split(t) if t else [] for t in texts]
         new = set().union(*split).difference(self.young)
         if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {}
@@ -277,7 +338,9 @@ class Encoder:
             else:
                 self.young[unit] = known
         if missing:
-            missing.sort()
+            long = [u for u in missing if len(u) > INDEX_CHARS]
+            self.young.update((u, encode_long(u, self.vocab)) for u in long)
+            missing = sorted(u for u in missing if len(u) <= INDEX_CHARS)
             at = size = 0
             for k, unit in enumerate(missing):
                 size += len(unit) + 1
@@ -288,6 +351,12 @@ class Encoder:
         get = self.young.__getitem__
         return [b"".join(map(get, units)) for units in split]
 
+    def split(self, text: str) -> list[str]:
+        units = self.units((MARK + text).replace(" ", MARK))
+        if max(map(len, units)) <= UNIT_CHARS:
+            return units
+        return [p for u in units for p in ([u] if len(u) <= UNIT_CHARS else self.vocab.parts(u))]
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.vocab.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
