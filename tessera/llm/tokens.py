@@ -33,6 +33,9 @@ HEAD = struct.Struct("<4sHHIQII")
 BLOCK_IDS = 65_536
 SEGMENT_IDS = 1_000_000
 LEVEL = 1
+#: Input of a shuffle partition as the optimizer estimates it (compressed files), and the most partitions.
+PARTITION_BYTES = 64 << 20
+MOST_PARTITIONS = 100_000
 END_ID = 1
 #: A control character that stands between words which are encoded together.
 MARK = b"\x01"
@@ -155,15 +158,27 @@ def encoder_of(path: str) -> WordEncoder:
 SEGMENT_SCHEMA = "part int, segment int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, data binary"
 
 
+def partitions_of(docs: DataFrame) -> int:
+    """Shuffle partitions of docs: one for each PARTITION_BYTES of the optimizer's size estimate, and at least the session's.
+
+    Sizes of scans are those of files; estimates of joins may be far too high, hence the upper bound.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, bits: int = 8) -> None:
     """Write the ids of docs (doc_id, text) as segments under path, in ascending doc_id order, end_id after each document.
 
-    Documents are range-partitioned by id and sorted within; a segment closes at SEGMENT_IDS ids, and a document never
-    spans two. A null text has the end id only; null ids come first; rows with equal ids are in order of text.
+    Documents are range-partitioned by id and sorted within, in as many partitions as the input's size asks for; a segment
+    closes at SEGMENT_IDS ids, and a document never spans two. A null text has the end id only; null ids come first; rows
+    with equal ids are in order of a hash of the text, then of the text, so one id of any number of rows is dealt over
+    partitions too.
     """
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = ordered.repartitionByRange(partitions_of(docs), *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
