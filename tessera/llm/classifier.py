@@ -2,7 +2,8 @@
 
 Statistics come from built-in functions in one pass over texts and are written as a slim table. Fitting: every partition
 of labelled rows sums its part of the normal equations; entries are added up by a grouped sum, so the driver gets
-(FEATURES + 1)(FEATURES + 4) / 2 numbers at any size. Calibration: counts and positives of BINS score bins, pooled by
+FOLDS * (FEATURES + 1)(FEATURES + 4) / 2 numbers at any size. Sums are kept for FOLDS folds, so each fold can be scored by a model of the others. Calibration: on
+these cross-fitted scores, counts and positives of BINS score bins, pooled by
 adjacent violators on the driver. All labelled rows of the training side are used; none are sampled.
 """
 
@@ -15,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, written
+from tessera.llm.common import SPACE, lookup, written
 
 FEATURES = 128
 RIDGE = 1e-3
 SEED = 7
 BINS = 1000
+FOLDS = 4
 LOW, HIGH = -0.5, 1.5
 
 STATS = ["s_words", "s_length", "s_symbols", "s_digits", "s_upper", "s_distinct", "s_lines", "s_dup_lines", "s_stops", "s_marks"]
@@ -95,6 +97,14 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATS], axis=1).astype(np.float64)
 
 
+def _solve(sums: np.ndarray, upper: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Ridge weights from the upper triangle of the normal matrix followed by the right-hand side."""
+    a = np.zeros((size, size))
+    a[upper] = sums[: len(upper[0])]
+    a = a + np.triu(a, 1).T
+    return np.linalg.solve(a + np.eye(size) * RIDGE * max(a[-1, -1], 1.0), sums[len(upper[0]) :])
+
+
 def fit(rows: DataFrame) -> Model:
     """rows (STATS, label 0 or 1) -> model; without rows every score is 0.5."""
     q = rows.agg(*[F.avg(c).alias(c) for c in STATS], *[F.stddev_pop(c).alias(c + "_sd") for c in STATS]).first()
@@ -103,36 +113,39 @@ def fit(rows: DataFrame) -> Model:
     model = Model(np.array([q[c] for c in STATS]), np.maximum(np.array([q[c + "_sd"] for c in STATS]), 1e-3))
     size = len(model.beta)
     upper = np.triu_indices(size)
+    # equal rows share a fold, so no row is calibrated by a model that saw its copy
+    folded = rows.select(*STATS, "label", F.pmod(F.xxhash64(*STATS), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, y = np.zeros((size, size)), np.zeros(size)
+        total = np.zeros((FOLDS, len(upper[0]) + size))
         for batch in batches:
-            z = model.features(_matrix(batch))
-            a += z.T @ z
-            y += z.T @ batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-        values = np.concatenate([a[upper], y])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
-
-    got = np.zeros(len(upper[0]) + size)
-    for i, v in rows.select(*STATS, "label").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            z, y = model.features(_matrix(batch)), batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            for k in range(FOLDS):
+                part = z[fold == k]
+                total[k] += np.concatenate([(part.T @ part)[upper], part.T @ y[fold == k]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["i", "v"])
+
+    got = np.zeros(FOLDS * (len(upper[0]) + size))
+    for i, v in folded.mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         got[i] = v
-    a = np.zeros((size, size))
-    a[upper] = got[: len(upper[0])]
-    a = a + np.triu(a, 1).T
-    n = a[-1, -1]
-    model.beta = np.linalg.solve(a + np.eye(size) * RIDGE * max(n, 1.0), got[len(upper[0]) :])
+    got = got.reshape(FOLDS, -1)
+    model.beta = _solve(got.sum(axis=0), upper, size)
+    others = np.stack([_solve(got.sum(axis=0) - got[k], upper, size) for k in range(FOLDS)], axis=1)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, positive = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for batch in batches:
-            at = bins_of(model.raw(_matrix(batch)))
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            raw = (model.features(_matrix(batch)) @ others)[np.arange(len(fold)), fold]
+            at = bins_of(raw)
             counts += np.bincount(at, minlength=BINS)
             positive += np.bincount(at, weights=batch.column("label").to_numpy(zero_copy_only=False), minlength=BINS).astype(np.int64)
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full]), pa.array(positive[full])], names=["bin", "n", "p"])
 
     weight, positive = np.zeros(BINS), np.zeros(BINS)
-    for b, w, p in rows.select(*STATS, "label").mapInArrow(binned, "bin long, n long, p long").groupBy("bin").agg(F.sum("n"), F.sum("p")).collect():
+    for b, w, p in folded.mapInArrow(binned, "bin long, n long, p long").groupBy("bin").agg(F.sum("n"), F.sum("p")).collect():
         weight[b], positive[b] = w, p
     model.curve = isotonic(weight, positive)
     return model
@@ -154,10 +167,13 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs (doc_id, held_out, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted for every row of docs.
 
-    Only rows that are not held out are fitted. Rows of docs or labels that repeat an id count each; null labels do not.
-    Empty texts are scored like any other; an empty table gives no rows.
+    Only rows that are not held out are fitted. Rows of docs that repeat an id count each. An id has one label, whether or
+    not rows of labels repeat it: 1 if at least half of its labels are. Null labels and null ids have none. Empty texts are
+    scored like any other; other columns of either table are ignored; an empty table gives no rows.
     """
     rows = written(statistics(docs.select("doc_id", "held_out", "text")), "classifier-statistics")
-    marks = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
-    model = fit(rows.where(~F.col("held_out")).join(marks, "doc_id").select(*STATS, "label"))
-    return score(rows, model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    # an id may hold any share of docs, so its one label is joined with salt or, where labels are few, broadcast
+    learned = lookup(rows.where(~F.col("held_out")), written(marks, "classifier-labels"), ["doc_id"], F.xxhash64(*STATS))
+    slim = written(learned.where(F.col("label").isNotNull()).select(*STATS, "label"), "classifier-learned")
+    return score(rows, fit(slim)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
