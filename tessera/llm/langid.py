@@ -10,9 +10,12 @@ those grams. A document's score is the sum over its words.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +28,36 @@ from tessera.llm.common import lookup, written
 PER_LANGUAGE = 1000
 MAX_WORDS = 20_000
 MAX_GRAMS = 5_000
+#: Entries of a model in all: with very many languages each keeps its share of them, so the driver's memory is bounded.
+MODEL_ENTRIES = 2_000_000
 ORDERS = (4, 3, 2, 1)
 #: Vectors of words that a Python worker remembers.
 CACHE = 400_000
 #: Words times languages that a Python worker remembers.
 CELLS = 80_000_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(categories: str) -> str:
+    """The code points of general categories that begin with one of the given letters, as ranges of a character class."""
+    found: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] in categories:
+            if found and found[-1][1] == c - 1:
+                found[-1][1] = c
+            else:
+                found.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in found)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> re.Pattern:
+    # a letter, then letters and marks: vowel signs belong to their word, and superscripts or fractions are no letters
+    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.lower())
+    """Lower-cased runs of letters with their marks."""
+    return _letters().findall(text.lower())
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -147,18 +168,23 @@ _SCORERS: dict[str, Scorer] = {}
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """labelled (doc_id, text, lang), lang not null -> model from per_language documents of each language.
 
-    The documents are those with the smallest seeded hash of the id, so reruns agree and the sample spreads over the
-    table. No language is left out. Counting is distributed; at most max_words + 4 * max_grams entries per language reach the driver.
+    The documents are those with the smallest seeded hash of id and text, so reruns agree and the sample spreads over the
+    table, rows without an id included. Rows that repeat id and text are one document. No language is left out. Counting is
+    distributed; at most max_words + 4 * max_grams entries per language, and about MODEL_ENTRIES in all, reach the driver.
     """
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 1)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id", "text"), 1)
     # a share of each language that holds per_language rows almost surely is drawn first, so the window stays small
-    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("_n")), "langid-sizes")
-    share = F.least(F.lit(1.0), F.lit(per_language + 6 * per_language**0.5) / F.col("_n"))
-    drawn = lookup(labelled.select("doc_id", "lang"), sizes, ["lang"], F.col("doc_id")).where(draw <= share * F.lit(float(2**63)))
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    picked = drawn.select("doc_id", "lang", F.row_number().over(order).alias("_k")).where(F.col("_k") <= per_language)
-    last = written(picked.groupBy("lang").agg(F.max(draw).alias("_last")), "langid-last")
-    sample = lookup(labelled, last, ["lang"], F.col("doc_id")).where(draw <= F.col("_last"))
+    drawn_by = labelled.select("lang", draw.alias("_draw"))
+    sizes = written(drawn_by.groupBy("lang").agg(F.approx_count_distinct("_draw", 0.02).alias("_n")), "langid-sizes")
+    share = F.least(F.lit(1.0), F.lit(1.2 * per_language + 6 * per_language**0.5) / F.col("_n"))
+    drawn = lookup(drawn_by, sizes, ["lang"], F.col("_draw")).where(F.col("_draw") <= share * F.lit(float(2**63)))
+    order = Window.partitionBy("lang").orderBy("_draw")
+    picked = drawn.select("lang", "_draw").distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language)
+    last = written(picked.groupBy("lang").agg(F.max("_draw").alias("_last")), "langid-last")
+    found = lookup(labelled.select("text", "lang", draw.alias("_draw")), last, ["lang"], F.col("_draw")).where(F.col("_draw") <= F.col("_last"))
+    sample = found.dropDuplicates(["lang", "_draw"])
+    room = max(1.0, sizes.count() * (max_words + len(ORDERS) * max_grams) / MODEL_ENTRIES)
+    max_words, max_grams = max(100, int(max_words / room)), max(100, int(max_grams / room))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
