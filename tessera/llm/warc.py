@@ -6,8 +6,12 @@ written by Spark's text writer with the record separator as line separator, so f
 of the output folder and any file system will do. A file holds at most RECORDS_PER_FILE pages.
 
 Reading. Files are read whole, parsed by Content-Length in a Python worker, one record at a time. Assembly groups records
-by the id that they are concurrent to; only digests and headers travel, and the aggregates are of bounded size, so a
-capture with very many metadata records stays one small row.
+by the id that they are concurrent to. A capture's row nests its response with the payload, and its first request and
+metadata record with their blocks; the aggregates are of bounded size, so a capture with very many metadata records
+stays one row. ``side_records`` lists all of them, a row each. Where only digests are asked for, no content travels.
+
+Files are one gzip stream each, not one member a record: Spark has no sink for raw bytes that commits like its text
+writer, so readers decompress a file from its start.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import salted_left_join, scratch, written
+from tessera.llm.common import lookup, scratch, written
 
 RECORDS_PER_FILE = 2000
 EOL = "\r\n"
-RECORD_SCHEMA = "record_id string, concurrent_to string, warc_type string, page_id long, target_uri string, refers_to_page long, payload_bytes long, payload_digest string, payload binary"
+RECORD_SCHEMA = "record_id string, concurrent_to string, warc_type string, page_id long, target_uri string, refers_to_page long, payload_bytes long, payload_digest string, payload binary, block binary"
 
 
 def payload_of(html: Column) -> Column:
@@ -38,12 +42,12 @@ def responses(pages: DataFrame) -> DataFrame:
     """Add _hash, record_type and refers_to: of pages with equal payloads the largest page_id is the response.
 
     Pages that repeat the largest id with the same payload are responses too. A null id is smaller than any other. The
-    table of largest ids covers payloads that occur more than once; it is joined with salt, as one payload may be very
-    common.
+    table of largest ids covers payloads that occur more than once; it is broadcast where it is counted to be small, else
+    joined with salt, as one payload may be very common.
     """
     hashed = pages.withColumn("_hash", F.sha1(payload_of(F.col("html")).cast("binary")))
     most = hashed.groupBy("_hash").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = salted_left_join(hashed, written(most, "warc-last"), ["_hash"], F.coalesce("page_id", F.lit(-1).cast("long")))
+    joined = lookup(hashed, written(most, "warc-last"), ["_hash"], F.coalesce("page_id", F.lit(-1).cast("long")))
     later = F.col("_last").isNotNull() & ~F.col("_last").eqNullSafe(F.col("page_id"))
     return joined.withColumns({"record_type": F.when(later, "revisit").otherwise("response"), "refers_to": F.when(later, F.col("_last"))}).drop("_last")
 
@@ -132,26 +136,27 @@ def _row(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
     page = _PAGE.match(name)
     refers = _PAGE.match(headers.get("warc-refers-to", ""))
     size = digest = body = None
-    if kind == "response":
-        body = block.partition(b"\r\n\r\n")[2]
+    if kind in ("response", "resource"):
+        body = block.partition(b"\r\n\r\n")[2] if kind == "response" else block
         size, digest = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
         said = headers.get("warc-payload-digest")
-        if said and said != f"sha1:{digest}":
+        if said and said.startswith("sha1:") and said != f"sha1:{digest}":
             raise ValueError(f"{name}: the payload does not match its digest")
     elif kind == "revisit":
         size = int(headers["x-payload-length"]) if "x-payload-length" in headers else None
         digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    return (name, headers.get("warc-concurrent-to"), kind, int(page[1]) if page else None, headers.get("warc-target-uri"), int(refers[1]) if refers else None, size, digest, body if payloads else None)
+    side = block if payloads and body is None else None
+    return (name, headers.get("warc-concurrent-to"), kind, int(page[1]) if page else None, headers.get("warc-target-uri"), int(refers[1]) if refers else None, size, digest, body if payloads else None, side)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of the .warc or gzipped files under path; payloads=False leaves the payload column null.
+    """Records of the .warc or gzipped files under path; payloads=False leaves the columns payload and block null.
 
-    A revisit has the digest and, where its writer noted it, the length of the payload that it refers to.
+    Payload: the entity of a response, and a resource record as a whole. Block: that of every other record. A revisit has the digest and, where its writer noted it, the length of the payload that it refers to.
     """
     schema = RECORD_SCHEMA
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,25 +182,36 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInArrow(run, schema)
 
 
+MAIN = ("response", "revisit", "resource")
+
+
+def _capture() -> Column:
+    return F.when(F.col("warc_type").isin(*MAIN), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the record that others are concurrent to, with its request and metadata.
 
-    A capture whose id occurs several times (repeated rows of a page) is one row with ``copies``; of several requests or
-    metadata records the one with the smallest id is shown, and their numbers are given. Requests and metadata records
+    response holds the payload where it was read, request and metadata their blocks. A capture whose id occurs several
+    times (repeated rows of a page) is one row with ``copies``; of several requests or metadata records the one with the
+    smallest id is nested, their numbers are given, and ``side_records`` lists them all. Requests and metadata records
     whose capture is missing make a row with a null response.
     """
-    main = F.col("warc_type").isin("response", "revisit", "resource")
-    key = F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
-    side = F.struct("record_id", "target_uri")
-    grouped = records.groupBy(key.alias("capture_id")).agg(
-        F.min(F.when(main, F.struct("record_id", "warc_type", "page_id", "target_uri", "refers_to_page", "payload_bytes", "payload_digest"))).alias("response"),
+    main = F.col("warc_type").isin(*MAIN)
+    side = F.struct("record_id", "target_uri", "block")
+    return records.groupBy(_capture().alias("capture_id")).agg(
+        F.min(F.when(main, F.struct("record_id", "warc_type", "page_id", "target_uri", "refers_to_page", "payload_bytes", "payload_digest", "payload"))).alias("response"),
         F.min(F.when(F.col("warc_type") == "request", side)).alias("request"),
         F.min(F.when(F.col("warc_type") == "metadata", side)).alias("metadata"),
         F.sum(main.cast("int")).alias("copies"),
         F.sum((F.col("warc_type") == "request").cast("int")).alias("requests"),
         F.sum((F.col("warc_type") == "metadata").cast("int")).alias("metadatas"),
     )
-    return grouped
+
+
+def side_records(records: DataFrame) -> DataFrame:
+    """capture_id, record_id, warc_type, target_uri, block of every record that is no capture of its own; no shuffle."""
+    return records.where(~F.col("warc_type").isin(*MAIN)).select(_capture().alias("capture_id"), "record_id", "warc_type", "target_uri", "block")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -209,3 +225,20 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     captures = assemble(read_warc(spark, path, payloads=False)).where(F.col("response").isNotNull())
     rows = captures.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return rows.select(F.col("response.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), F.col("response.refers_to_page").alias("refers_to"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"))
+
+
+#: The rows of archive_round_trip in DuckDB: what an archive must give back.
+WARC_SQL = r"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+most AS (SELECT h, max(page_id) AS last FROM hashed GROUP BY h HAVING count(*) > 1),
+bits AS (
+  SELECT page_id, strlen(body) AS n, last,
+         array_to_string(list_transform(range(0, 8), lambda i: lpad(bin(CAST('0x' || substr(h, CAST(i * 5 + 1 AS BIGINT), 5) AS BIGINT)), 20, '0')), '') AS b
+  FROM hashed LEFT JOIN most USING (h))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(substr(b, CAST(i * 5 + j + 1 AS BIGINT), 1) AS BIGINT) * (16 >> CAST(j AS BIGINT)))) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN last IS NOT NULL AND last IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to, true AS has_request, true AS has_metadata
+FROM bits
+"""

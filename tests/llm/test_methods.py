@@ -402,7 +402,9 @@ def test_warc_parser():
 
 def test_warc_joins_out_of_order_records(spark):
     rows = [("r1", None, "response"), ("q1", "r1", "request"), ("m1", "r1", "metadata"), ("m0", "r1", "metadata"), ("q9", "r9", "request")]
-    records = spark.createDataFrame([(a, b, k, None, None, None, 0, "", None) for a, b, k in rows], warc.RECORD_SCHEMA)
+    records = spark.createDataFrame([(a, b, k, None, None, None, 0, "", None, a.encode()) for a, b, k in rows], warc.RECORD_SCHEMA)
     got = {r.capture_id: r for r in warc.assemble(records).collect()}
     assert got["r1"].request.record_id == "q1" and got["r1"].metadata.record_id == "m0" and got["r1"].metadatas == 2
+    assert bytes(got["r1"].request.block) == b"q1"
+    assert {(r.capture_id, r.record_id, bytes(r.block)) for r in warc.side_records(records).collect()} == {("r1", "q1", b"q1"), ("r1", "m1", b"m1"), ("r1", "m0", b"m0"), ("r9", "q9", b"q9")}
     assert got["r9"].response is None
