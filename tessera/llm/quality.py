@@ -5,8 +5,8 @@ Base rules: fewer than MIN_WORDS words, or over half of the words in repeated th
 Verdict for the rest: four statistics of a document (log of mean word length, log of symbols per word, share of repeated
 lines, share of words in repeated windows) are compared with a minimum-covariance-determinant estimate for its language
 and source. The estimate starts from quartiles and from classical moments; each concentration step takes the three
-quarters of a group nearest to the last centre and computes their mean and covariance; after STEPS steps the start with
-the smaller determinant is used. A document is rejected if its squared Mahalanobis distance exceeds CUTOFF.
+quarters of a group nearest to the last centre and computes their mean and covariance. Steps go on until no group's
+determinant falls by more than one in a thousand; then the start with the smaller determinant is used. A document is rejected if its squared Mahalanobis distance exceeds CUTOFF.
 
 The statistics have exact values (no repeated lines, no symbols) in most documents, so a group's covariance may be
 singular; FLOORS are standard deviations added to it, the spread that is always allowed.
@@ -25,7 +25,8 @@ from tessera.llm.common import SPACE, lookup, written
 
 MIN_WORDS = 50
 MIN_GROUP = 50
-STEPS = 3
+#: Concentration ends when no determinant falls by this factor or more. Determinants are bounded below by FLOORS, so it ends.
+SETTLED = 1.001
 NEAR = 0.75
 #: 0.75 over the probability that a chi-square of 6 degrees is below the 0.75 quantile of 4 degrees: makes the covariance
 #: of the nearest three quarters consistent for normal data.
@@ -165,11 +166,17 @@ def estimates(rows: DataFrame) -> DataFrame:
     params = written(_whitening(params), "quality-start")
     doubled = starts.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
     spread_by = F.xxhash64("x0", "x1", "x3")
-    for _ in range(STEPS):
+
+    def concentrated(params: DataFrame) -> DataFrame:
         near = lookup(doubled, params, ["_g", "_start"], spread_by).withColumn("_d", _distance()).select("_g", "_start", "_d", *[f"x{i}" for i in range(D)])
         limit = written(near.groupBy("_g", "_start").agg(F.percentile_approx("_d", NEAR, 1000).alias("_limit")), "quality-limit")
         inside = lookup(near, limit, ["_g", "_start"], spread_by).where("_d <= _limit")
-        params = written(_whitening(_moments(inside, CONSISTENT)), "quality-step")
+        return written(_whitening(_moments(inside, CONSISTENT)), "quality-step")
+
+    params, fall = concentrated(params), SETTLED
+    while fall >= SETTLED:
+        last, params = params.select("_g", "_start", F.col("_det").alias("_was")), concentrated(params)
+        fall = last.join(params, ["_g", "_start"]).agg(F.max(F.col("_was") / F.col("_det"))).first()[0] or 0.0
     best = params.groupBy("_g").agg(F.min_by("_start", F.struct("_det", "_start")).alias("_start"))
     return written(params.join(best, ["_g", "_start"]).drop("_start"), "quality-estimates")
 
@@ -202,6 +209,28 @@ def judge(docs: DataFrame) -> DataFrame:
     return _judged(rows, groups, params).select("doc_id", *[c for c in STATISTICS if c != "n_lines"], "mahalanobis", "kept")
 
 
+#: The base columns of judge in DuckDB.
+BASE_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, * FROM worded),
+windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM numbered)),
+counted AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) > 1 AS twice FROM windows),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE twice) GROUP BY r),
+rows AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM numbered LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+       n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+FROM rows
+"""
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Rows of docs that the rules keep, with the columns of docs.
 

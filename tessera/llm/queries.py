@@ -34,6 +34,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(prepare(spark), sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_quality that SQL can state."""
+    return quality.base_statistics(table(prepare(spark), sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
     return classifier.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_spm": op9_spm,
     "op10_langid": op10_langid,
+    "quality_base": quality_base,
 }
 
 
@@ -84,4 +90,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.MIX_SQL}
+    return {"op1_warc": warc.WARC_SQL, "op3_mixing": mixing.MIX_SQL, "quality_base": quality.BASE_SQL}
