@@ -1,13 +1,19 @@
 """AVI motion-JPEG: RIFF containers with their index, baseline intra frames, and shots by histogram differences.
 
 Storing bytes. A payload byte is the unit of the format, a quantized coefficient: byte b stands for the coefficient b - 255
-if b < 128, else b, all of magnitude category 8, whose eight extra bits are b itself. With a one-bit Huffman code for the
-only symbol and a restart interval of one block, each block of 64 bytes takes 72 bytes plus a restart marker, so blocks
-are coded and decoded in whole arrays. Any baseline decoder shows such frames; pixels are lossy, coefficients are not.
-
-Reading. Frames are found through idx1 (or by walking movi where there is none), entropy-decoded (frames with other tables
-take a general Huffman decoder), dequantized and transformed. A cut lies where the histogram difference of two frames
-passes the mean of the last WINDOW differences of the shot by FACTOR standard deviations and a floor.
+if b < 128, else b, all of magnitude category 8, whose eight extra bits are b itself. The Huffman code of the only symbol
+is eight zero bits, so a coefficient takes two bytes, the second of which is b: blocks are coded and decoded in whole
+arrays, and the files compress like the text in them. With a restart interval of one block no block depends on another.
+Any baseline decoder shows such frames; pixels are lossy, coefficients are not.
+
+Reading. Frames of the first video stream are found through the OpenDML index (``indx`` and its ``ix`` chunks) where there
+is one, else through ``idx1`` for the first RIFF chunk and by walking ``movi`` for the others. A frame is a baseline JPEG of
+one to four components in one or more scans, with any sampling factors, restart intervals, 8- or 16-bit tables, and the
+customary Huffman tables where it has none. It is entropy-decoded, dequantized and transformed. Progressive and arithmetic
+frames, and two fields in one chunk, are errors.
+
+Shots. A cut lies where the histogram difference of two frames passes the mean of the last WINDOW differences of the shot
+by FACTOR standard deviations and a floor. ``clips`` gives a row per shot with its times.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+
 BLOCK = 64
 ROW_BLOCKS, FRAME_BLOCKS = 8, 64
 RATE = 25
@@ -46,8 +55,8 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-#: One symbol, category 8 without a zero run, with the one-bit code 0.
-_ONE_CODE = bytes([1] + [0] * 15) + b"\x08"
+#: One symbol, category 8 without a zero run, with a code of eight zero bits.
+_ONE_CODE = bytes([0] * 7 + [1] + [0] * 8) + b"\x08"
 
 
 def _tables() -> bytes:
@@ -69,15 +78,12 @@ def _jpegs(payload: bytes) -> tuple[list[bytes], int, int]:
         valid = len(part) // BLOCK
         full = np.zeros(per_frame * BLOCK, np.uint8)
         full[: len(part)] = part
-        bits = np.zeros((len(full), 9), np.uint8)
-        bits[:, 1:] = np.unpackbits(full[:, None], axis=1)
-        coded = np.empty((per_frame, 74), np.uint8)
-        coded[:, :72] = np.packbits(bits.ravel()).reshape(per_frame, 72)
-        coded[:, 72] = 0xFF
-        coded[:, 73] = 0xD0 + np.arange(per_frame) % 8
-        if (coded[:, :72] == 0xFF).any():  # stuffed bytes; text never has them
-            rows = [coded[k, :72].tobytes().replace(b"\xff", b"\xff\x00") + coded[k, 72:].tobytes() for k in range(per_frame)]
-            data = b"".join(rows)[:-2]
+        coded = np.zeros((per_frame, 130), np.uint8)
+        coded[:, 1:128:2] = full.reshape(per_frame, BLOCK)
+        coded[:, 128] = 0xFF
+        coded[:, 129] = 0xD0 + np.arange(per_frame) % 8
+        if (full == 0xFF).any():  # stuffed bytes; text never has them
+            data = b"".join(row[:128].tobytes().replace(b"\xff", b"\xff\x00") + row[128:].tobytes() for row in coded)[:-2]
         else:
             data = coded.tobytes()[:-2]
         frames.append(b"".join([b"\xff\xd8", _segment(0xFE, b"blocks=%d" % valid), tables, sof, sos, data, b"\xff\xd9"]))
@@ -117,144 +123,299 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+def _frames_by_index(data: bytes, index: tuple[int, int], movi: int) -> Iterator[bytes]:
+    for at in range(index[0], index[0] + index[1] // 16 * 16, 16):
+        name, _, offset, size = struct.unpack_from("<4sIII", data, at)
+        if name[2:] not in (b"dc", b"db"):
+            continue
+        # offsets count from the list's name; those of some writers from the start of the file
+        found = next((x for x in (movi + offset, offset) if data[x : x + 4] == name), None)
+        if found is None:
+            raise ValueError("the index does not point at a frame")
+        yield data[found + 8 : found + 8 + size]
+
+
+def _frames_by_walk(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    for name, a, size in _walk(data, at, end):
+        if name == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from _frames_by_walk(data, a + 4, a + size)
+        elif name[2:] in (b"dc", b"db"):
+            yield data[a : a + size]
+
+
+def _frames_by_super_index(data: bytes, at: int) -> Iterator[bytes]:
+    """Frames named by an OpenDML index at a chunk's content: an index of indexes, or an index of chunks."""
+    longs, _, kind, count = struct.unpack_from("<HBBI", data, at)
+    if kind == 0:
+        for k in range(count):
+            yield from _frames_by_super_index(data, struct.unpack_from("<Q", data, at + 24 + 16 * k)[0] + 8)
+    elif kind == 1:
+        base = struct.unpack_from("<Q", data, at + 12)[0]
+        for k in range(count):
+            offset, size = struct.unpack_from("<II", data, at + 24 + 4 * longs * k)
+            start, size = base + offset, size & 0x7FFFFFFF
+            if start + size > len(data):
+                raise ValueError("the index does not point at a frame")
+            yield data[start : start + size]
+    else:
+        raise ValueError("no such kind of index")
+
+
 def read_riff(data: bytes) -> tuple[dict[str, int], list[bytes]]:
     """Header fields and the frames of the first video stream, in index order."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     head: dict[str, int] = {"rate": RATE}
-    movi, index = None, None
-    for name, at, size in _walk(data, 12, 8 + struct.unpack_from("<I", data, 4)[0]):
-        if name == b"LIST" and data[at : at + 4] == b"hdrl":
-            for sub, a, _ in _walk(data, at + 4, at + size):
-                if sub == b"avih":
-                    usec, frames, width, height = struct.unpack_from("<I12xI12xII", data, a)
-                    head |= {"rate": round(1_000_000 / usec) if usec else RATE, "frames": frames, "width": width, "height": height}
-        elif name == b"LIST" and data[at : at + 4] == b"movi":
-            movi = (at, size)
-        elif name == b"idx1":
-            index = (at, size)
-    if movi is None:
+    movis: list[tuple[int, int]] = []
+    index, opened = None, None
+    for riff, start, whole in _walk(data, 0, len(data)):
+        if riff != b"RIFF" or data[start : start + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        for name, at, size in _walk(data, start + 4, start + whole):
+            kind = data[at : at + 4] if name == b"LIST" else name
+            if kind == b"hdrl":
+                for sub, a, n in _walk(data, at + 4, at + size):
+                    if sub == b"avih":
+                        usec, frames, width, height = struct.unpack_from("<I12xI12xII", data, a)
+                        head |= {"rate": round(1_000_000 / usec) if usec else RATE, "frames": frames, "width": width, "height": height}
+                    elif sub == b"LIST" and data[a : a + 4] == b"strl":
+                        parts = {part: x for part, x, _ in _walk(data, a + 4, a + n)}
+                        if b"indx" in parts and opened is None and data[parts[b"strh"] : parts[b"strh"] + 4] == b"vids":
+                            opened = parts[b"indx"]
+            elif kind == b"movi":
+                movis.append((at, size))
+            elif kind == b"idx1" and index is None:
+                index = (at, size)
+    if not movis:
         raise ValueError("an AVI file without movi")
-    if index is None:
-        return head, [data[a : a + n] for name, a, n in _walk(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in (b"dc", b"db")]
+    if opened is not None:
+        return head, list(_frames_by_super_index(data, opened))
     frames = []
-    for k in range(index[1] // 16):
-        name, _, offset, size = struct.unpack_from("<4sIII", data, index[0] + 16 * k)
-        if name[2:] not in (b"dc", b"db"):
-            continue
-        at = movi[0] + offset
-        if data[at : at + 4] != name:  # offsets of some writers count from the start of the file
-            at = offset
-        if data[at : at + 4] != name:
-            raise ValueError("the index does not point at a frame")
-        frames.append(data[at + 8 : at + 8 + size])
+    for k, (at, size) in enumerate(movis):
+        frames += _frames_by_index(data, index, at) if k == 0 and index else _frames_by_walk(data, at + 4, at + size)
     return head, frames
 
 
-def _huffman(body: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) -> symbol."""
-    found, code, at = {}, 0, 16
+# ---- fixed values: the customary Huffman tables, as counts by code length and symbols (ITU-T T.81, annex K.3) ----
+_USUAL = {
+    0x00: "00010501010101010100000000000000 000102030405060708090a0b",
+    0x01: "00030101010101010101010000000000 000102030405060708090a0b",
+    0x10: "0002010303020403050504040000017d "
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+    "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7"
+    "c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    0x11: "00020102040403040705040400010277 "
+    "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a"
+    "535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6"
+    "c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+}
+# -------------------------------------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=64)
+def _huffman(body: bytes) -> tuple[list[int], list[int]]:
+    """For every 16 bits that come next, the length of the code at their start (0: none) and its symbol."""
+    lengths, symbols = [0] * 65536, [0] * 65536
+    code, at = 0, 16
     for length in range(1, 17):
         for _ in range(body[length - 1]):
-            found[length, code] = body[at]
+            low, span = code << (16 - length), 1 << (16 - length)
+            lengths[low : low + span], symbols[low : low + span] = [length] * span, [body[at]] * span
             code, at = code + 1, at + 1
         code <<= 1
-    return found
+    return lengths, symbols
 
 
-def _scan(data: bytes, dc: dict, ac: dict, blocks: int) -> np.ndarray:
-    """General sequential decoder of one restart interval of a one-component scan: (blocks, 64) in zigzag order."""
-    bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8))
-    at = 0
+@dataclass
+class Part:
+    """A component of a frame: sampling factors, quantization table, and coefficients (rows, columns, 64) in zigzag order."""
 
-    def symbol(table: dict) -> int:
-        nonlocal at
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | int(bits[at])
-            at += 1
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such Huffman code")
+    h: int
+    v: int
+    table: int
+    blocks: np.ndarray
+    quant: np.ndarray | None = None
+
+
+@dataclass
+class Frame:
+    width: int
+    height: int
+    parts: list[Part]
+    #: Blocks in use, where the writer noted it.
+    valid: int | None = None
+
+
+class _Bits:
+    """Reads an entropy-coded interval."""
 
-    def extra(size: int) -> int:
-        nonlocal at
-        value = int("".join(map(str, bits[at : at + size])) or "0", 2)
-        at += size
-        return value if not size or value >> (size - 1) else value - (1 << size) + 1
+    def __init__(self, data: bytes):
+        raw = data.replace(b"\xff\x00", b"\xff")
+        self.raw, self.at, self.size = raw + b"\xff" * 4, 0, 8 * len(raw)
 
-    out, last = np.zeros((blocks, 64), np.int32), 0
-    for b in range(blocks):
-        last += extra(symbol(dc))
-        out[b, 0] = last
+    def _next16(self) -> int:
+        k, shift = divmod(self.at, 8)
+        return int.from_bytes(self.raw[k : k + 3], "big") >> (8 - shift) & 0xFFFF
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        ahead = self._next16()
+        length = table[0][ahead]
+        if not length or self.at + length > self.size:
+            raise ValueError("no such Huffman code")
+        self.at += length
+        return table[1][ahead]
+
+    def extra(self, size: int) -> int:
+        if not size:
+            return 0
+        value = self._next16() >> (16 - size)
+        self.at += size
+        return value if value >> (size - 1) else value - (1 << size) + 1
+
+    def block(self, out: np.ndarray, dc: tuple, ac: tuple, last: int) -> int:
+        out[0] = last = last + self.extra(self.symbol(dc))
         k = 1
         while k < 64:
-            run = symbol(ac)
+            run = self.symbol(ac)
             if run == 0:
                 break
             k += run >> 4
             if run & 15:
-                out[b, k] = extra(run & 15)
+                if k > 63:
+                    raise ValueError("a block has over 64 coefficients")
+                out[k] = self.extra(run & 15)
             k += 1
-    return out
+        return last
 
 
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
-
-
-def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Quantized coefficients (blocks, 64) in zigzag order, the quantization table, and the number of blocks in use."""
+_MARKER = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+
+
+def _scan(data: bytes, frame: Frame, chosen: list[tuple[Part, tuple, tuple]], interval: int) -> None:
+    """Decode the entropy-coded data of a scan into the blocks of its components."""
+    most_h, most_v = max(p.h for p in frame.parts), max(p.v for p in frame.parts)
+    alone = len(chosen) == 1
+    if alone:  # blocks of the component, row by row
+        part = chosen[0][0]
+        across, down = -(-(-(-frame.width * part.h // most_h)) // 8), -(-(-(-frame.height * part.v // most_v)) // 8)
+    else:
+        across, down = -(-frame.width // (8 * most_h)), -(-frame.height // (8 * most_v))
+    step = interval or across * down
+    pieces = _RESTART.split(data) if interval else [data]
+    for k, piece in enumerate(pieces):
+        bits, last = _Bits(piece), [0] * len(chosen)
+        for unit in range(k * step, min((k + 1) * step, across * down)):
+            y, x = divmod(unit, across)
+            for c, (part, dc, ac) in enumerate(chosen):
+                h, v = (1, 1) if alone else (part.h, part.v)
+                for j in range(v):
+                    for i in range(h):
+                        last[c] = bits.block(part.blocks[y * v + j, x * h + i], dc, ac, last[c])
+
+
+def decode_frame(jpeg: bytes) -> Frame:
+    """A baseline frame with its quantized coefficients."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, interval, valid, blocks = 2, 0, -1, 0
-    quant, tables, raw = np.ones(64, np.int32), {}, {}
+    at, interval, frame, valid = 2, 0, None, None
+    quants: dict[int, np.ndarray] = {}
+    raw = {k: bytes.fromhex(v) for k, v in _USUAL.items()}
+    named: dict[int, Part] = {}
     while True:
-        marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+        while jpeg[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        if at + 2 > len(jpeg) or jpeg[at] != 0xFF:
+            raise ValueError("a JPEG frame ends early")
+        marker = jpeg[at + 1]
+        if marker == 0xD9:
+            break
+        size = struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xFE and body.startswith(b"blocks="):
             valid = int(body[7:])
         elif marker == 0xDB:
-            quant = np.frombuffer(body, np.uint8, 64, 1).astype(np.int32)
+            while body:
+                wide = body[0] >> 4
+                n = 128 if wide else 64
+                quants[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int32)
+                body = body[1 + n :]
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
                 raw[body[0]], body = body[1:n], body[n:]
-        elif marker == 0xC0:
-            height, width, parts = struct.unpack_from(">HHB", body, 1)
-            if parts != 1:
-                raise ValueError("only one-component frames are read")
-            blocks = -(-height // 8) * -(-width // 8)
+        elif marker in (0xC0, 0xC1):
+            height, width, count = struct.unpack_from(">HHB", body, 1)
+            specs = [struct.unpack_from("BBB", body, 6 + 3 * k) for k in range(count)]
+            most_h, most_v = max(s[1] >> 4 for s in specs), max(s[1] & 15 for s in specs)
+            if count == 1:
+                specs, most_h, most_v = [(specs[0][0], 0x11, specs[0][2])], 1, 1
+            rows, cols = -(-height // (8 * most_v)), -(-width // (8 * most_h))
+            parts = [Part(s >> 4, s & 15, q, np.zeros((rows * (s & 15), cols * (s >> 4), 64), np.int32)) for _, s, q in specs]
+            named = {name: part for (name, _, _), part in zip(specs, parts, strict=True)}
+            frame = Frame(width, height, parts, valid)
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            break
-        elif 0xC1 <= marker <= 0xCF:
+            if frame is None:
+                raise ValueError("a scan without a frame")
+            end = _MARKER.search(jpeg, at)
+            if end is None:
+                raise ValueError("a JPEG frame ends early")
+            data = jpeg[at : end.start()]
+            picks = [struct.unpack_from("BB", body, 1 + 2 * k) for k in range(body[0])]
+            at = end.start()
+            if len(frame.parts) == 1 and interval == 1 and raw[0x00] == _ONE_CODE and raw[0x10] == _ONE_CODE:
+                frame.parts[0].blocks[:] = _plain_blocks(data, frame.parts[0].blocks.shape)
+            else:
+                _scan(data, frame, [(named[n], _huffman(raw[t >> 4]), _huffman(raw[0x10 | t & 15])) for n, t in picks], interval)
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("only baseline frames are read")
-    data = jpeg[at : jpeg.rindex(b"\xff\xd9")]
-    valid = blocks if valid < 0 else valid
-    if interval == 1 and raw.get(0) == _ONE_CODE and raw.get(16) == _ONE_CODE:
-        if len(data) == 74 * blocks - 2:
-            body = np.frombuffer(data + b"\xff\xd0", np.uint8).reshape(blocks, 74)[:, :72]
-        else:
-            body = np.frombuffer(b"".join(x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(data)), np.uint8).reshape(blocks, 72)
-        bits = np.unpackbits(np.ascontiguousarray(body).ravel()).reshape(-1, 9)
-        if bits[:, 0].any():
-            raise ValueError("no such Huffman code")
-        octets = np.packbits(bits[:, 1:], axis=1).reshape(blocks, 64).astype(np.int32)
-        return np.where(octets < 128, octets - 255, octets), quant, valid
-    tables = {k: _huffman(v) for k, v in raw.items()}
-    pieces = _RESTART.split(data) if interval else [data]
-    step = interval or blocks
-    return np.concatenate([_scan(x, tables[0], tables[16], min(step, blocks - k * step)) for k, x in enumerate(pieces)]), quant, valid
+    if frame is None:
+        raise ValueError("a JPEG file without a frame")
+    for part in frame.parts:
+        part.quant = quants[part.table]
+    return frame
+
+
+def _plain_blocks(data: bytes, shape: tuple[int, int, int]) -> np.ndarray:
+    """Coefficients of blocks that encode_avi wrote."""
+    count = shape[0] * shape[1]
+    if len(data) == 130 * count - 2:
+        body = np.frombuffer(data + b"\xff\xd0", np.uint8).reshape(count, 130)[:, :128]
+    else:
+        body = np.frombuffer(b"".join(x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(data)), np.uint8).reshape(count, 128)
+    if body[:, 0::2].any():
+        raise ValueError("no such Huffman code")
+    octets = body[:, 1::2].astype(np.int32)
+    return np.where(octets < 128, octets - 255, octets).reshape(shape)
 
 
 def samples(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
-    """8-bit samples (blocks, 64) of quantized coefficients."""
+    """8-bit samples (..., 64) of quantized coefficients, row-major in a block."""
     values = (coefficients * quant).astype(np.float32) @ _transform()
     return np.clip(np.rint(values + 128), 0, 255).astype(np.uint8)
 
 
+def plane(frame: Frame, k: int) -> np.ndarray:
+    """Component k at the size of the frame (samples are repeated where it is subsampled)."""
+    part = frame.parts[k]
+    rows, cols, _ = part.blocks.shape
+    small = samples(part.blocks, part.quant).reshape(rows, cols, 8, 8).swapaxes(1, 2).reshape(8 * rows, 8 * cols)
+    up, right = max(p.v for p in frame.parts) // part.v, max(p.h for p in frame.parts) // part.h
+    return small.repeat(up, axis=0).repeat(right, axis=1)[: frame.height, : frame.width]
+
+
+def rgb(frame: Frame) -> np.ndarray:
+    """(height, width, 3) samples; a frame of one component is grey."""
+    if len(frame.parts) < 3:
+        return np.repeat(plane(frame, 0)[:, :, None], 3, axis=2)
+    y, cb, cr = (plane(frame, k).astype(np.float32) for k in range(3))
+    both = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)
+    return np.clip(np.rint(both), 0, 255).astype(np.uint8)
+
+
 def shots(histograms: np.ndarray) -> list[int]:
     """First frames of the shots of (frames, BINS) histograms that each add up to 1."""
     starts, recent = [0], []
@@ -271,19 +432,42 @@ def shots(histograms: np.ndarray) -> list[int]:
     return starts
 
 
+def histogram(frame: Frame) -> np.ndarray:
+    """Shares of the BINS ranges of the first component's samples; of blocks in use, where the writer noted them."""
+    if frame.valid is not None and len(frame.parts) == 1:
+        part = frame.parts[0]
+        pixels = samples(part.blocks.reshape(-1, 64)[: frame.valid], part.quant)
+    else:
+        pixels = plane(frame, 0)
+    return np.bincount(pixels.ravel() >> 4, minlength=BINS) / max(1, pixels.size)
+
+
+def decode_video(media: bytes) -> tuple[np.ndarray, int]:
+    """Histograms (frames, BINS) of any motion-JPEG AVI file, and its rate."""
+    head, frames = read_riff(media)
+    return np.array([histogram(decode_frame(f)) for f in frames]).reshape(-1, BINS), head["rate"]
+
+
 def decode_avi(media: bytes) -> tuple[bytes, np.ndarray, int]:
-    """Payload, histograms of the frames, and the rate."""
+    """Payload of a file that encode_avi wrote, histograms of its frames, and the rate."""
     head, frames = read_riff(media)
     parts, rows = [], []
-    for frame in frames:
-        coefficients, quant, valid = decode_frame(frame)
-        kept = coefficients[:valid]
+    for data in frames:
+        frame = decode_frame(data)
+        kept = frame.parts[0].blocks.reshape(-1, 64)[: frame.valid]
         parts.append(np.where(kept < 0, kept + 255, kept).astype(np.uint8).tobytes())
-        pixels = samples(kept, quant)
-        rows.append(np.bincount(pixels.ravel() >> 4, minlength=BINS) / max(1, pixels.size))
+        rows.append(histogram(frame))
     return b"".join(parts), np.array(rows).reshape(-1, BINS), head["rate"]
 
 
+def clip_rows(histograms: np.ndarray, rate: int) -> list[tuple[int, int, int, float, float]]:
+    """(clip, first frame, last frame, start, end in seconds) of every shot; no frames, no clips."""
+    if not len(histograms):
+        return []
+    starts = shots(histograms)
+    return [(k, a, z - 1, a / rate, z / rate) for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(histograms)], strict=True))]
+
+
 def padded(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode()
     return raw + b"\x00" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw)), len(raw)
@@ -316,9 +500,9 @@ def read_avi(stored: DataFrame) -> DataFrame:
             for item in batch.column(2):
                 media = item.as_py()
                 payload, histograms, rate = decode_avi(media)
-                cuts = shots(histograms)
+                found = clip_rows(histograms, rate)
                 luma = float((histograms.mean(axis=0) * (np.arange(BINS) * 16 + 7.5)).sum())
-                feature = f"frames={len(histograms)};seconds={len(histograms) / rate:.2f};shots={len(cuts)};last_cut={cuts[-1]};luma={luma:.2f}"
+                feature = f"frames={len(histograms)};seconds={found[-1][4]:.2f};shots={len(found)};last_cut={found[-1][1]};luma={luma:.2f}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
@@ -328,26 +512,25 @@ def read_avi(stored: DataFrame) -> DataFrame:
 
 
 def clips(stored: DataFrame) -> DataFrame:
-    """One row per shot of every media row: doc_id, clip, first_frame, last_frame, start_s, end_s."""
+    """One row per shot of every media row: doc_id, clip, first_frame, last_frame, start_s, end_s.
+
+    stored (doc_id, media, any others). Media may be any motion-JPEG AVI file. Null media and files without frames give no
+    row; damaged ones are an error. Repeated rows give their clips each; an empty table gives no rows.
+    """
     schema = stored.select("doc_id").schema
-    for name, kind in (("clip", "int"), ("first_frame", "int"), ("last_frame", "int"), ("start_s", "double"), ("end_s", "double")):
+    for name, kind in (("clip", "integer"), ("first_frame", "integer"), ("last_frame", "integer"), ("start_s", "double"), ("end_s", "double")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, histograms, rate = decode_avi(media.as_py())
-                starts = shots(histograms)
-                for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(histograms)], strict=True)):
-                    rows.append((key, k, a, z - 1, a / rate, z / rate))
+            rows = [(key, *clip) for key, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for clip in clip_rows(*decode_video(media.as_py()))]
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=schema.names)
 
-    return stored.select("doc_id", "media").mapInArrow(run, schema)
+    return stored.where(F.col("media").isNotNull()).select("doc_id", "media").mapInArrow(run, schema)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Store every text as an AVI file, read it back: see read_avi. Empty texts are one block of zeros; rows that repeat
-    a text have equal values; an empty table gives no rows."""
-    return read_avi(write_avi(docs))
+    """Store every text as an AVI file in a table of the shared folder, and read that back: see read_avi. Empty texts are one
+    block of zeros; rows that repeat a text have equal values; an empty table gives no rows."""
+    return read_avi(written(write_avi(docs), "avi", compression="zstd"))

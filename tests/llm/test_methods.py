@@ -4,6 +4,7 @@ import io
 import random
 import re
 import string
+import struct
 from collections import Counter
 
 import duckdb
@@ -324,9 +325,88 @@ def test_avi_round_trip(raw):
 
 def test_general_jpeg_decoder_agrees(monkeypatch):
     frame = avi.read_riff(avi.encode_avi(bytes(range(256)) * 3))[1][0]
-    fast = avi.decode_frame(frame)[0]
+    fast = avi.decode_frame(frame).parts[0].blocks
     monkeypatch.setattr(avi, "_ONE_CODE", b"")
-    assert (avi.decode_frame(frame)[0] == fast).all()
+    assert (avi.decode_frame(frame).parts[0].blocks == fast).all()
+
+
+def _scene(spark, k, width=40, height=24):
+    """A colour frame by another encoder (three components, the colours subsampled), and its samples."""
+    image = spark._jvm.java.awt.image.BufferedImage(width, height, 1)
+    y, x = np.mgrid[0:height, 0:width]
+    want = np.stack([(60 * k + 2 * x) % 256, (20 * k + 3 * y) % 256, (90 * k + x + y) % 256], axis=2)
+    for i in range(height):
+        for j in range(width):
+            r, g, b = (int(v) for v in want[i, j])
+            image.setRGB(j, i, r << 16 | g << 8 | b)
+    out = spark._jvm.java.io.ByteArrayOutputStream()
+    assert spark._jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray()), want
+
+
+def _without(jpeg, marker):
+    """jpeg without the segments of a marker, and with fill bytes before the others."""
+    at, out = 2, jpeg[:2]
+    while True:
+        size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        if jpeg[at + 1] != marker:
+            out += b"\xff\xff" + jpeg[at : at + 2 + size]
+        if jpeg[at + 1] == 0xDA:
+            return out + jpeg[at + 2 + size :]
+        at += 2 + size
+
+
+def test_colour_frames_of_another_encoder(spark):
+    jpeg, want = _scene(spark, 0)
+    frame = avi.decode_frame(jpeg)
+    assert [(p.h, p.v) for p in frame.parts] == [(2, 2), (1, 1), (1, 1)]
+    assert np.abs(avi.rgb(frame).astype(int) - want).mean() < 4
+    usual = avi.decode_frame(_without(jpeg, 0xC4))  # the customary tables are meant
+    assert all((a.blocks == b.blocks).all() for a, b in zip(frame.parts, usual.parts, strict=True))
+
+
+def _riff(kind, *chunks):
+    return avi._chunk(b"RIFF", kind + b"".join(chunks))
+
+
+def test_files_of_other_writers(spark):
+    """Index offsets from the start of the file, frames in a second RIFF chunk, and an OpenDML index."""
+    frames = [_scene(spark, k)[0] for k in (0, 0, 0, 2, 2, 1)]
+    avih = avi._chunk(b"avih", struct.pack("<14I", 40_000, 0, 0, 0x10, 6, 0, 1, 0, 40, 24, 0, 0, 0, 0))
+    strh = avi._chunk(b"strh", b"vidsMJPG" + bytes(48))
+    chunks = [avi._chunk(b"00dc", f) for f in frames]
+    movi = lambda parts: avi._chunk(b"LIST", b"movi" + b"".join(parts))
+    hdrl = lambda more=b"": avi._chunk(b"LIST", b"hdrl" + avih + avi._chunk(b"LIST", b"strl" + strh + more))
+    at, index = 12 + len(hdrl()) + 12, b""
+    for c, f in zip(chunks[:4], frames, strict=False):
+        index += struct.pack("<4sIII", b"00dc", 0x10, at, len(f))
+        at += len(c)
+    two = _riff(b"AVI ", hdrl(), movi(chunks[:4]), avi._chunk(b"idx1", index)) + _riff(b"AVIX", movi([avi._chunk(b"LIST", b"rec " + chunks[4]), chunks[5]]))
+    assert avi.read_riff(two)[1] == frames
+    head = len(hdrl(avi._chunk(b"indx", bytes(40)))) + 12
+    base, entries = head + 12, b""
+    for c, f in zip(chunks, frames, strict=True):
+        entries += struct.pack("<II", base + 8 - head, len(f))
+        base += len(c)
+    standard = struct.pack("<HBBI4sQI", 2, 0, 1, len(frames), b"00dc", head, 0) + entries
+    body = movi([*chunks, avi._chunk(b"ix00", standard)])
+    superindex = struct.pack("<HBBI4s12x", 4, 0, 0, 1, b"00dc") + struct.pack("<QII", base, len(standard), 6)
+    assert avi.read_riff(_riff(b"AVI ", hdrl(avi._chunk(b"indx", superindex)), body))[1] == frames
+    rows = avi.clips(spark.createDataFrame([(1, two), (2, None), (1, two)], "doc_id long, media binary")).collect()
+    assert sorted(r.clip for r in rows) == [0, 0, 1, 1, 2, 2]
+    assert {(r.first_frame, r.last_frame, r.start_s, r.end_s) for r in rows} == {(0, 2, 0.0, 0.12), (3, 4, 0.12, 0.2), (5, 5, 0.2, 0.24)}
+
+
+def test_clips_of_written_texts(spark, documents):
+    stored = avi.write_avi(documents.orderBy(F.length("text").desc()).limit(20))
+    clips = {}
+    for r in avi.clips(stored).collect():
+        clips.setdefault(r.doc_id, []).append(r)
+    for r in avi.read_avi(stored).collect():
+        said = dict(x.split("=") for x in r.feature.split(";"))
+        found = sorted(clips[r.doc_id], key=lambda x: x.clip)
+        assert len(found) == int(said["shots"]) and found[-1].first_frame == int(said["last_cut"]) and found[-1].last_frame == int(said["frames"]) - 1
+        assert all(a.last_frame + 1 == b.first_frame and a.end_s == b.start_s for a, b in zip(found, found[1:], strict=False))
 
 
 def test_transform_is_the_inverse_cosine_transform():
