@@ -202,18 +202,41 @@ def test_gradients():
 
 
 def test_tagger_finds_held_out_spans():
-    model, hits, total = pii.default_model(), 0, 0
-    for text, spans in pii.labelled_examples(120, 80, 77):
-        found = set(pii.model_spans([text], model)[0])
-        hits, total = hits + len(found & set(spans)), total + len(spans)
-    assert hits / total > 0.75
+    model, hits, said, total = pii.default_model(), Counter(), Counter(), Counter()
+    for text, spans in pii.labelled_examples(400, pii.LENGTH, 77):
+        found = {x[:3] for x in pii.model_spans([text], model)[0]}
+        hits.update(k for _, k, _ in found & set(spans))
+        said.update(k for _, k, _ in found)
+        total.update(k for _, k, _ in spans)
+    assert sum(hits.values()) >= 0.93 * sum(total.values()) and sum(hits.values()) >= 0.93 * sum(said.values())
+    assert all(hits[k] >= 0.9 * total[k] for k in range(len(pii.KINDS)))
+
+
+def test_added_spans_are_right():
+    """On further examples, what is added to the base spans by the calibrated thresholds."""
+    model, right, added, left = pii.default_model(), 0, 0, 0
+    rows = list(pii.labelled_examples(400, pii.LENGTH, 78))
+    for (_, spans), (base, every) in zip(rows, pii.find_spans([t for t, _ in rows], model), strict=True):
+        new = set(every) - set(base)
+        added, right = added + len(new), right + len(new & set(spans))
+        left += sum(not any(s < e2 and s2 < e for s2, _, e2 in base) for s, _, e in spans)
+    assert right >= 0.95 * added and right >= 0.5 * left
 
 
 def test_model_adds_and_base_stays():
-    text = "x" * 200 + " call (743) 555-3824 today, card 12 4111111111111111 or a@b.co " + "y" * 200
+    text = "x" * 200 + " call (743) 555-3824 today, card 12 4111111111111111 or a@b.co, password=3d4bc476f7469ffa8a now " + "y" * 200
     base, every = pii.find_spans([text], pii.default_model())[0]
     assert set(base) <= set(every)
-    assert "(743) 555-3824" in {text[a:z] for a, _, z in every}
+    assert {"(743) 555-3824", "3d4bc476f7469ffa8a"} <= {text[a:z] for a, _, z in every}
+
+
+def test_clean_texts_stay_clean(spark):
+    """Texts without a base span, password or token: nothing is added to nearly all of them."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = pii.find_spans(rows, pii.default_model())
+    clean = [k for k, t in enumerate(rows) if not found[k][0] and not re.search("password|token", t)]
+    assert len(clean) > 500 and sum(bool(found[k][1]) for k in clean) <= 0.002 * len(clean)
+    assert sum(len(every) - len(base) for base, every in found) > 0
 
 
 def test_reconcile_is_the_best_set():
@@ -226,8 +249,7 @@ def test_reconcile_is_the_best_set():
             pick = [r for k, r in enumerate(rows) if mask >> k & 1]
             if all(x[2] <= y[0] or y[2] <= x[0] for i, x in enumerate(pick) for y in pick[:i]):
                 best = max(best, sum(r[3] for r in pick))
-        score = {(r[0], r[1], r[2]): r[3] for r in sorted(rows, key=lambda r: r[3])}
-        assert sum(score[s] for s in got) == pytest.approx(best)
+        assert sum(x[3] for x in got) == pytest.approx(best)
 
 
 # ------------------------------------------------------------------ quality
