@@ -30,11 +30,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 #: Encoded units that a Python worker remembers, in each of two generations.
-CACHE = 200_000
+CACHE = 100_000
 #: Texts are taken together up to so many characters.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: Distinct units are indexed together up to so many characters: the lattice takes some 500 bytes for each.
-INDEX_CHARS = 200_000
+INDEX_CHARS = 100_000
 #: Units of over so many characters are cut further, at safe borders.
 UNIT_CHARS = 100
 _FAR = np.int64(1) << 40
