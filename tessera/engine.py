@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from tessera.operators import conversation, documents, retrieval
 from tessera.operators.embedding import Embedder, embed_chunks
 from tessera.sources import files as sources
 
+log = logging.getLogger(__name__)
+
 
 def ingest(files: DataFrame, embedder: Embedder | None = None, dimension: int = 64) -> tuple[DataFrame, DataFrame]:
     """files (doc_id, file_name, content) -> chunks, and rejects (doc_id, reason).
@@ -40,16 +44,16 @@ def hybrid_search(
     principals: DataFrame | None = None,
     weights: tuple[float, float] = (retrieval.KEYWORD_WEIGHT, retrieval.VECTOR_WEIGHT),
     reranker: Callable[[Column, Column], Column] | None = None,
+    han: bool = False,
 ) -> DataFrame:
     """chunks (chunk_id, text[, vector][, owner_id, is_public, org_tag]), queries (query_id, query_text[, vector]) ->
     (query_id, chunk_id, rank).
 
     With principals (query_id, user_id, tags) both searches are filtered before their best are taken. Where chunks or
-    queries have no vector column the search is text-only; under principals such hits need a score of MIN_SCORE.
+    queries have no vector column the search is text-only; under principals such hits need a score of MIN_SCORE. han: Han
+    text is searched by bigrams.
     """
-    keyword = retrieval.bm25(chunks, queries)
-    if principals is not None:
-        keyword = retrieval.permitted_hits(keyword, chunks, principals)
+    keyword = retrieval.bm25(chunks, queries, principals, han)
     if "vector" not in chunks.columns or "vector" not in queries.columns:
         if principals is not None:
             keyword = keyword.where(F.col("score") >= retrieval.MIN_SCORE)
@@ -64,6 +68,26 @@ def hybrid_search(
     return retrieval.rerank(texts, k, reranker).select("query_id", "chunk_id", "rank")
 
 
+def hybrid_search_or_less(chunks: DataFrame, queries: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 10, principals: DataFrame | None = None, **options) -> tuple[DataFrame, str]:
+    """hybrid_search with query vectors from a service that may fail, and how far it came: the rows and the step.
+
+    embed adds a vector to queries. Where it raises, or leaves out all vectors, the search is text-only; where that fails as
+    well, an asker with permissions gets no rows, and one without the error.
+    """
+    try:
+        asked = embed(queries)
+        if "vector" in asked.columns and not asked.where(F.col("vector").isNotNull()).isEmpty():
+            return hybrid_search(chunks, asked, k, principals, **options), "hybrid"
+    except (PySparkException, RuntimeError, OSError) as e:
+        log.warning("no query vectors, the search is text-only: %s", e)
+    try:
+        return hybrid_search(chunks, queries.drop("vector"), k, principals, **options), "text"
+    except PySparkException:
+        if principals is None:
+            raise
+        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank long"), "nothing"
+
+
 def enrich(hits: DataFrame, chunks: DataFrame, budget: int = retrieval.CONTEXT_TOKENS) -> DataFrame:
     """hits (query_id, rank, chunk_id), chunks (chunk_id, section_id, ordinal, tokens, text, file_name, title_path,
     page_start, page_end) -> hits and, after them, neighbours within the budget, with source labels."""

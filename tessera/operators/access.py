@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +17,18 @@ def split_tags(tags: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def ancestors(tags: DataFrame, levels: int = 100) -> DataFrame:
+def ancestors(tags: DataFrame) -> DataFrame:
     """tags (tag_id, parent_tag) -> (tag_id, ancestor, depth), each tag its own ancestor at depth 0.
 
-    Every level is a join; a tag that is already on the path ends it, so a cycle does not loop.
+    Every level is a join with the level before, which is kept, up to the deepest; a tag that is already on the path ends
+    it, so a cycle does not loop.
     """
     parents = tags.where(F.col("parent_tag").isNotNull()).select(F.col("tag_id").alias("_child"), F.col("parent_tag").alias("_parent"))
     level = tags.select("tag_id", F.col("tag_id").alias("ancestor"), F.lit(0).alias("depth"), F.array("tag_id").alias("_path"))
     closure = level
-    for depth in range(1, levels + 1):
+    for depth in count(1):
         level = level.join(parents, F.col("ancestor") == F.col("_child")).where(~F.array_contains("_path", F.col("_parent")))
-        level = level.select("tag_id", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("_path", F.col("_parent")).alias("_path"))
+        level = level.select("tag_id", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("_path", F.col("_parent")).alias("_path")).persist()
         if level.isEmpty():
             break
         closure = closure.unionByName(level)
@@ -44,7 +48,8 @@ def visible(files: DataFrame, users: DataFrame, tags: DataFrame) -> DataFrame:
     held = effective_tags(users, tags)
     by_tag = held.join(files.select("file_id", F.col("org_tag").alias("tag")), "tag").select("user_id", "file_id")
     own = users.select("user_id").join(files.select("file_id", F.col("owner_id").alias("user_id")), "user_id").select("user_id", "file_id")
-    public = files.where("is_public").select("file_id").join(F.broadcast(users.select("user_id")), how="cross").select("user_id", "file_id")
+    # every public file is visible to every user asked about: the pairs are the result itself
+    public = files.where("is_public").select("file_id").crossJoin(users.select("user_id")).select("user_id", "file_id")
     return by_tag.unionByName(own).unionByName(public).distinct()
 
 
@@ -66,13 +71,13 @@ def request_decision(user: Column, role: Column, direct_tags: Column, owner: Col
     )
 
 
-def tag_tree(tags: DataFrame, levels: int = 100) -> DataFrame:
-    """(tag_id, depth, path) from the roots down."""
+def tag_tree(tags: DataFrame) -> DataFrame:
+    """(tag_id, depth, path) from the roots down, however deep."""
     rows = tags.where(F.col("parent_tag").isNull()).select("tag_id", F.lit(0).alias("depth"), F.col("tag_id").alias("path"), F.array("tag_id").alias("_seen"))
     tree, children = rows, tags.select(F.col("tag_id").alias("_id"), "parent_tag")
-    for depth in range(1, levels + 1):
+    for depth in count(1):
         rows = rows.join(children, F.col("tag_id") == F.col("parent_tag")).where(~F.array_contains("_seen", F.col("_id")))
-        rows = rows.select(F.col("_id").alias("tag_id"), F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "_id").alias("path"), F.array_append("_seen", F.col("_id")).alias("_seen"))
+        rows = rows.select(F.col("_id").alias("tag_id"), F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "_id").alias("path"), F.array_append("_seen", F.col("_id")).alias("_seen")).persist()
         if rows.isEmpty():
             break
         tree = tree.unionByName(rows)
@@ -160,3 +165,34 @@ def active_tokens(tokens: DataFrame, now: Column) -> DataFrame:
     """tokens (user_id, token_id, expires_at) -> (user_id, active): distinct tokens that have not expired."""
     live = tokens.where(F.col("expires_at") > now)
     return live.groupBy("user_id").agg(F.count_distinct("token_id").alias("active"))
+
+
+# ---- fixed values: path patterns with the roles that may call them, in order; the first match decides ----
+ENDPOINTS = [
+    ("/", "any"), ("/test.html", "any"), ("/static/test.html", "any"), ("/static/**", "any"), ("/*.js", "any"), ("/*.css", "any"), ("/*.ico", "any"),
+    ("/chat/**", "any"), ("/ws/**", "any"),
+    ("/api/v1/users/register", "any"), ("/api/v1/users/login", "any"),
+    ("/api/v1/test/**", "any"),
+    ("/api/v1/upload/**", "USER,ADMIN"), ("/api/v1/parse", "USER,ADMIN"), ("/api/v1/documents/download", "USER,ADMIN"), ("/api/v1/documents/preview", "USER,ADMIN"),
+    ("/api/v1/users/conversation/**", "USER,ADMIN"),
+    ("/api/search/**", "USER,ADMIN"),
+    ("/api/chat/websocket-token", "any"),
+    ("/api/v1/admin/**", "ADMIN"),
+    ("/api/v1/users/primary-org", "USER,ADMIN"),
+]
+# ------------------------------------------------------------------------------------------------------------
+
+
+def endpoint_pattern(pattern: str) -> str:
+    """A path pattern as a regular expression: * stays within a segment, a last ** also stands for nothing."""
+    parts = re.split(r"(/\*\*$|\*)", pattern)
+    return "^" + "".join("(/.*)?" if p == "/**" else "[^/]*" if p == "*" else re.escape(p) for p in parts) + "$"
+
+
+def endpoint_allowed(path: Column, role: Column) -> Column:
+    """Whether a role (null: not signed in) may call a path; paths without a rule need some role."""
+    decision = F.lit(None).cast("boolean")
+    for pattern, roles in reversed(ENDPOINTS):
+        may = F.lit(True) if roles == "any" else F.coalesce(role.isin(*roles.split(",")), F.lit(False))
+        decision = F.when(path.rlike(endpoint_pattern(pattern)), may).otherwise(decision)
+    return F.coalesce(decision, role.isNotNull())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -91,3 +93,30 @@ def owned_sessions(index: DataFrame, metas: DataFrame, most: int = 100) -> DataF
     order = Window.partitionBy("user_id").orderBy(F.desc("updated"), F.desc("conv_id"))
     newest = index.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
     return newest.join(metas, "conv_id").where(F.col("owner_id") == F.col("user_id")).select("user_id", "conv_id", "title", "updated")
+
+
+def rewritten(questions: DataFrame, rewriter: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """questions (question, history) -> with query, and rewritten: whether it is another than the question.
+
+    Only questions that need context and have a history go to the rewriter, a Column function of both (a Pandas function
+    around a model, which gives null where the model fails or is late). A null or blank answer, quotes around it aside,
+    falls back to the question.
+    """
+    own = T.strip(F.coalesce("question", F.lit("")))
+    asks = T.needs_context(F.col("question")) & (F.size(F.coalesce("history", F.array().cast("array<string>"))) > 0)
+    answer = F.lit(None).cast("string") if rewriter is None else F.when(asks, T.blank_to_null(T.unquote(rewriter(F.col("question"), F.col("history")))))
+    rows = questions.withColumn("query", F.coalesce(answer, own))
+    return rows.withColumn("rewritten", F.col("query") != own)
+
+
+def sessions(events: DataFrame, most: int = 100) -> DataFrame:
+    """events (user_id, session_id, at, action) -> a user's newest sessions (user_id, session_id, created, updated).
+
+    create, touch and delete may come in any number; a session is there if it was created and not deleted afterwards, and
+    it is as new as its last create or touch.
+    """
+    last = lambda *kinds: F.max(F.when(F.col("action").isin(*kinds), F.col("at")))
+    rows = events.groupBy("user_id", "session_id").agg(F.min(F.when(F.col("action") == "create", F.col("at"))).alias("created"), last("create", "touch").alias("updated"), last("create").alias("_made"), last("delete").alias("_gone"))
+    there = rows.where(F.col("created").isNotNull() & (F.col("_gone").isNull() | (F.col("_gone") < F.col("_made"))))
+    order = Window.partitionBy("user_id").orderBy(F.col("updated").desc(), "session_id")
+    return there.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("user_id", "session_id", "created", "updated")

@@ -53,3 +53,28 @@ def selected_corpus(claims: DataFrame, corpus: DataFrame, distractors: int) -> D
 def write_report(report: DataFrame, path: str) -> None:
     """A report or manifest as JSON lines; reports have a row per method or corpus, so one file holds them."""
     report.coalesce(1).write.mode("overwrite").json(path)
+
+
+#: Words of a passage that a document is looked up by before it is searched for the whole passage.
+ANCHOR = 3
+
+
+def holders(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks (chunk_id, text) that hold a passage (query_id, passage) verbatim.
+
+    An equality join instead of every chunk against every passage: the words of a passage without its first and last, which
+    a chunk may hold as parts of longer ones, stand whole in every chunk that holds it, so the first ANCHOR of them are
+    looked up among the runs of words of the chunks, and only what is found is searched for the passage. Shorter passages
+    have no anchor and are compared with every chunk. Chunk ids are unique.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    cut = passages.withColumn("_w", words(F.col("passage")))
+    long = F.size("_w") >= ANCHOR + 2
+    anchored = cut.where(long).select("query_id", "passage", F.xxhash64(*[F.get("_w", k) for k in range(1, ANCHOR + 1)]).alias("_a"))
+    split = chunks.where(F.col("text").isNotNull()).select("chunk_id", words(F.col("text")).alias("_w")).where(F.size("_w") >= ANCHOR)
+    runs = split.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - ANCHOR), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(ANCHOR)])))).alias("_a"))
+    pairs = runs.join(anchored.select("query_id", "_a"), "_a").select("query_id", "chunk_id").distinct()
+    texts = chunks.select("chunk_id", "text")
+    found = pairs.join(anchored.select("query_id", "passage"), "query_id").join(texts, "chunk_id").where(F.expr("contains(text, passage)"))
+    short = cut.where(~long).select("query_id", "passage").join(texts, F.expr("contains(text, passage)"))
+    return found.select("query_id", "chunk_id").unionByName(short.select("query_id", "chunk_id"))

@@ -19,11 +19,17 @@ PRIMARY_HITS = 5
 CONTEXT_TOKENS = 3500
 #: Query terms and query vectors are broadcast in blocks of at most so many queries; more queries take more passes.
 QUERY_BLOCK = 5_000
+#: Vectors that are multiplied with a block of queries at once.
+BATCH_ROWS = 2_000
 
 
-def analyze(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def analyze(text: Column, han: bool = False) -> Column:
+    """Lower-cased runs of letters and digits. With han, runs of Han characters are terms of their own, as bigrams: no
+    dictionary of words is needed, and a query's bigrams are found in any sentence that holds them."""
+    if not han:
+        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+    return cjk_bigrams(runs)
 
 
 def cjk_bigrams(tokens: Column) -> Column:
@@ -40,21 +46,26 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_id, text) -> (chunk_id, dl), the number of terms."""
     return chunks.select("chunk_id", F.size(analyze(F.col("text"))).cast("long").alias("dl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, principals: DataFrame | None = None, han: bool = False) -> DataFrame:
     """chunks (chunk_id, text), queries (query_id, query_text) -> (query_id, chunk_id, score), rounded to 9 decimals.
 
+    With principals (query_id, user_id, tags), chunks also have owner_id, is_public and org_tag. These travel with the terms
+    of a chunk, and a pair that the asker may not see is dropped before its terms are summed.
+
     chunk_id is unique. Two passes over the chunks: one counts, for each query term and for the empty term that stands for
     all chunks, chunks and their lengths, and shuffles only sums; the other prunes tokens to query terms and shuffles them
     once, by chunk, which serves both the term frequencies and the sums per query. Frequencies and mean length cover all
-    chunks, also where ``permitted_hits`` restricts the candidates afterwards.
+    chunks, whoever asks. han: see ``analyze``.
     """
-    asked = queries.select("query_id", F.explode_outer(F.array_distinct(analyze(F.col("query_text")))).alias("term")).where(F.col("term").isNotNull())
+    access = [] if principals is None else ["owner_id", "is_public", "org_tag"]
+    asked = queries.select("query_id", F.explode_outer(F.array_distinct(analyze(F.col("query_text"), han))).alias("term")).where(F.col("term").isNotNull())
     terms = asked.select("term").distinct()
     everything = terms.sparkSession.range(1).select(F.lit("").alias("term"))
-    sized = chunks.select("chunk_id", analyze(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    sized = chunks.select("chunk_id", *access, analyze(F.coalesce("text", F.lit("")), han).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
     # explode_outer: explode would be preceded by a test for emptiness that analyzes every text again
     once = sized.select("dl", F.explode_outer(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
     counts = once.join(terms.unionByName(everything), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
@@ -62,10 +73,23 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
     stats = counts.select("term", "df", of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl")).where(F.col("term") != "")
     idf = stats.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = sized.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id")
-    tf = hits.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    hits = sized.select("chunk_id", "dl", *access, F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id")
+    tf = hits.groupBy("term", "chunk_id", "dl", *access).agg(F.count("*").alias("tf"))
     weighted = tf.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
+    pairs = weighted.join(asked if principals is None else asked.join(principals.select("query_id", "user_id", "tags"), "query_id"), "term")
+    if principals is not None:
+        pairs = pairs.where(_may_see())
+    return pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
+
+
+def _may_see() -> Column:
+    """The asker (user_id, tags) owns the chunk, or it is public, or it has one of the asker's effective tags."""
+    return F.col("is_public") | (F.col("owner_id") == F.col("user_id")) | F.coalesce(F.array_contains("tags", F.col("org_tag")), F.lit(False))
+
+
+def valid_hits(hits: DataFrame) -> DataFrame:
+    """Hits of an index that have an id and a source; others are not results."""
+    return hits.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
 
 
 def permitted_hits(scored: DataFrame, files: DataFrame, principals: DataFrame) -> DataFrame:
@@ -75,8 +99,7 @@ def permitted_hits(scored: DataFrame, files: DataFrame, principals: DataFrame) -
     built, only hits are joined with the columns that decide.
     """
     rows = scored.join(files.select("chunk_id", "owner_id", "is_public", "org_tag"), "chunk_id").join(principals, "query_id")
-    may = F.col("is_public") | (F.col("owner_id") == F.col("user_id")) | F.coalesce(F.array_contains("tags", F.col("org_tag")), F.lit(False))
-    return rows.where(may).select(*scored.columns)
+    return rows.where(_may_see()).select(*scored.columns)
 
 
 def top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_id") -> DataFrame:
@@ -88,7 +111,8 @@ def top(scored: DataFrame, k: int, score: str = "score", key: str = "chunk_id")
 def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL, permissions: bool = False) -> DataFrame:
     """vectors (chunk_id, vector), queries (query_id, vector) -> (query_id, chunk_id, score, rank), exact cosine.
 
-    A matrix product per Arrow batch keeps k candidates per query; only those are shuffled. Queries are collected in
+    A matrix product per Arrow batch; a partition keeps its k best so far per query and gives them once, at its end, so only
+    k rows a query and partition cross to the JVM. Queries are collected in
     blocks of QUERY_BLOCK. Vectors of length 0 or of another dimension have no neighbours. With permissions, vectors also
     have owner_id, is_public and org_tag, and queries user_id and tags: the filter applies before the k best are taken.
     """
@@ -120,27 +144,46 @@ def _nearest(ids: list[int], matrix: np.ndarray, k: int, who: list[tuple] | None
     kept = np.array(ids)[good]
     principals = [w for w, g in zip(who, good, strict=True) if g] if who else None
 
+    def best(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k highest of each row, ties by id: rounded scores and ids, short rows filled with -inf."""
+        order = np.lexsort((np.broadcast_to(chunk, score.shape), -score), axis=1)[:, :k]
+        return np.take_along_axis(score, order, axis=1), np.take_along_axis(np.broadcast_to(chunk, score.shape), order, axis=1)
+
+    def candidates(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if score.shape[1] <= 4 * k:
+            return best(score, chunk)
+        # all columns that hold a value at or above some row's k-th: ties are then broken among them alone
+        kth = np.partition(score, -k, axis=1)[:, -k]
+        width = int((score >= kth[:, None]).sum(axis=1).max())
+        at = np.argpartition(-score, width - 1, axis=1)[:, :width]
+        return best_of(np.take_along_axis(score, at, axis=1), chunk[at])
+
+    def best_of(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((chunk, -score), axis=1)[:, :k]
+        return np.take_along_axis(score, order, axis=1), np.take_along_axis(chunk, order, axis=1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fits = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-            if not len(fits) or not len(kept):
-                continue
-            v = np.stack(fits["vector"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(v, axis=1)
-            fits, v = fits[size > 0], v[size > 0] / size[size > 0, None]
-            chunk = fits["chunk_id"].to_numpy()
-            score = unit @ v.T
-            if principals:
-                owner, public, tag = (fits[c].to_numpy() for c in ("owner_id", "is_public", "org_tag"))
-            for q in range(len(kept)):
-                row, at = score[q], np.arange(len(chunk))
+        top_score, top_chunk = np.zeros((len(kept), 0)), np.zeros((len(kept), 0), np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), BATCH_ROWS):
+                pdf = whole.iloc[at : at + BATCH_ROWS]
+                fits = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
+                if not len(fits) or not len(kept):
+                    continue
+                v = np.stack(fits["vector"].to_numpy()).astype(np.float64)
+                size = np.linalg.norm(v, axis=1)
+                fits, v = fits[size > 0], v[size > 0] / size[size > 0, None]
+                score = np.round(unit @ v.T, 9)
                 if principals:
-                    user, tags = principals[q]
-                    may = public.astype(bool) | (owner == user) | np.fromiter((t in tags for t in tag), bool, len(tag))
-                    at = np.flatnonzero(may)
-                if len(at) > k:  # all ties of the k-th are kept, so that the order by id decides among them
-                    at = at[row[at] >= np.partition(row[at], -k)[-k] - 1e-9]
-                yield pd.DataFrame({"query_id": kept[q], "chunk_id": chunk[at], "score": row[at]})
+                    owner, public, tag = (fits[c].to_numpy() for c in ("owner_id", "is_public", "org_tag"))
+                    classes, which = np.unique(tag.astype(str), return_inverse=True)
+                    for q, (user, tags) in enumerate(principals):
+                        held = np.fromiter((t in tags for t in classes), bool, len(classes))
+                        score[q, ~(public.astype(bool) | (owner == user) | held[which])] = -np.inf
+                now = candidates(score, fits["chunk_id"].to_numpy().astype(np.int64))
+                top_score, top_chunk = best_of(np.concatenate([top_score, now[0]], axis=1), np.concatenate([top_chunk, now[1]], axis=1))
+        row, col = np.nonzero(np.isfinite(top_score))
+        yield pd.DataFrame({"query_id": kept[row], "chunk_id": top_chunk[row, col], "score": top_score[row, col]})
 
     return run
 

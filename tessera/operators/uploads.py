@@ -107,3 +107,67 @@ def without_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Da
 def to_reindex(files: DataFrame) -> DataFrame:
     """Files whose upload is complete: the input of a full re-index."""
     return files.where(F.col("status") == 1)
+
+
+UNKNOWN_ERROR = "未知投递错误"
+ERROR_CHARS = 2000
+
+
+def leased(claimed: DataFrame, lease_s: int, now: Column) -> DataFrame:
+    """claimed events (event_id, ...) as PUBLISHING under a new token until the lease ends."""
+    return claimed.withColumns({"status": F.lit("PUBLISHING"), "lock_token": F.uuid(), "locked_until": now + F.make_dt_interval(secs=F.lit(lease_s))})
+
+
+def settle(events: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Events (event_id, status, lock_token, locked_until, retry_count, next_retry_at, last_error) after outcomes (event_id,
+    lock_token, action, retry_count, next_retry_at, error) of those who held them.
+
+    action is PUBLISHED, RESCHEDULE or DEAD. An outcome counts only while its event is PUBLISHING under the very token it
+    names: whoever lost the lease changes nothing. Of several outcomes under one token the first in order of action counts.
+    Every settled event is unlocked; errors are cut to ERROR_CHARS characters, and blank ones get a default. settled tells.
+    """
+    first = outcomes.groupBy("event_id", "lock_token").agg(F.min(F.struct("action", F.col("retry_count").alias("n"), F.col("next_retry_at").alias("due"), "error")).alias("_o"))
+    rows = events.join(first.select(F.col("event_id").alias("_id"), F.col("lock_token").alias("_token"), "_o"), (F.col("event_id") == F.col("_id")) & (F.col("lock_token") == F.col("_token")), "left")
+    done = F.col("_o").isNotNull() & (F.col("status") == "PUBLISHING")
+    action = F.col("_o.action")
+    error = F.when(F.trim(F.coalesce("_o.error", F.lit(""))) == "", UNKNOWN_ERROR).otherwise(F.substring("_o.error", 1, ERROR_CHARS))
+    failed = done & (action != "PUBLISHED")
+    return rows.withColumns({
+        "settled": done,
+        "status": F.when(~done, F.col("status")).when(action == "RESCHEDULE", "PENDING").otherwise(action),
+        "retry_count": F.when(failed, F.col("_o.n")).otherwise(F.col("retry_count")),
+        "next_retry_at": F.when(done & (action == "RESCHEDULE"), F.col("_o.due")).otherwise(F.col("next_retry_at")),
+        "last_error": F.when(failed, error).when(done, F.lit(None)).otherwise(F.col("last_error")),
+        "published_at": F.when(done & (action == "PUBLISHED"), now),
+        "locked_until": F.when(done, F.lit(None)).otherwise(F.col("locked_until")),
+        "lock_token": F.when(done, F.lit(None)).otherwise(F.col("lock_token")),
+    }).drop("_id", "_token", "_o")
+
+
+def session_states(events: DataFrame) -> DataFrame:
+    """Multipart sessions folded from their events (file_id, at, event_id, action) -> (file_id, status, restarts, refused).
+
+    init opens a session, resumes an open one, and restarts an aborted one; complete and abort need an open one, and what is
+    completed stays so: later events change nothing, completing again is answered alike. Events that a state does not allow
+    are counted as refused. An event only depends on the state before it, which the last effective event names, so a
+    session is one fold over its own few events.
+    """
+    state = "named_struct('status', cast(null as string), 'restarts', 0L, 'refused', 0L)"
+    step = """(s, e) -> CASE
+      WHEN s.status = 'COMPLETED' THEN named_struct('status', s.status, 'restarts', s.restarts, 'refused', s.refused + if(e.action = 'abort', 1L, 0L))
+      WHEN e.action = 'init' THEN named_struct('status', 'UPLOADING', 'restarts', s.restarts + if(s.status = 'ABORTED', 1L, 0L), 'refused', s.refused)
+      WHEN s.status = 'UPLOADING' AND e.action IN ('complete', 'abort') THEN named_struct('status', if(e.action = 'complete', 'COMPLETED', 'ABORTED'), 'restarts', s.restarts, 'refused', s.refused)
+      ELSE named_struct('status', s.status, 'restarts', s.restarts, 'refused', s.refused + 1L) END"""
+    lists = events.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "action"))).alias("_events"))
+    return lists.select("file_id", F.expr(f"aggregate(_events, {state}, {step})").alias("_s")).select("file_id", "_s.*")
+
+
+def live(rows: DataFrame, at: str, now: Column, seconds: int) -> DataFrame:
+    """Rows whose time is not older than a time to live."""
+    return rows.where(F.col(at) >= now - F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def slow_requests(requests: DataFrame, limit_ms: int = 3000) -> DataFrame:
+    """requests (path, took_ms) -> per path: requests, slow ones, mean and longest time."""
+    took = F.col("took_ms")
+    return requests.groupBy("path").agg(F.count("*").alias("requests"), F.count_if(took > limit_ms).alias("slow"), F.round(F.avg(took), 6).alias("mean_ms"), F.max(took).alias("longest_ms"))

@@ -26,16 +26,16 @@ def effective_tags(spark: S, sf: str) -> DataFrame:
 
 @query("acl_visible_docs", f"""WITH RECURSIVE {X.FILES}, {X.USERS}, {X.TAGS}, {X.CLOSURE}, {X.EFFECTIVE}
 SELECT u.user_id, f.file_id FROM users u CROSS JOIN files f
-WHERE u.user_id <= 20 AND (f.is_public OR f.owner_id = u.user_id OR f.org_tag IN (SELECT tag FROM effective e WHERE e.user_id = u.user_id))""")
+WHERE u.user_id % 20 = 0 AND (f.is_public OR f.owner_id = u.user_id OR f.org_tag IN (SELECT tag FROM effective e WHERE e.user_id = u.user_id))""")
 def visible_docs(spark: S, sf: str) -> DataFrame:
-    """What the twenty owners may search."""
-    return A.visible(X.files(spark, sf), X.users(spark, sf).where("user_id <= 20"), X.tags(spark, sf))
+    """What users may search. The pairs are a search's result, so its query set is asked: every user whose id is divisible by 20."""
+    return A.visible(X.files(spark, sf), X.users(spark, sf).where("user_id % 20 = 0"), X.tags(spark, sf))
 
 
-@query("acl_search_filter", f"WITH {X.FILES} SELECT file_id FROM files WHERE owner_id = 7 OR is_public OR org_tag IN ('FRANCE', 'CHINA')")
+@query("acl_search_filter", f"WITH {X.FILES} SELECT file_id FROM files WHERE owner_id = 7 OR is_public OR org_tag IN ('NATION_6', 'NATION_3')")
 def search_filter(spark: S, sf: str) -> DataFrame:
     rows = X.files(spark, sf)
-    return rows.where(A.permitted(F.col("owner_id"), F.col("is_public"), F.col("org_tag"), 7, ["FRANCE", "CHINA"])).select("file_id")
+    return rows.where(A.permitted(F.col("owner_id"), F.col("is_public"), F.col("org_tag"), 7, ["NATION_6", "NATION_3"])).select("file_id")
 
 
 @query("acl_search_filter_no_tags", f"WITH {X.FILES} SELECT file_id FROM files WHERE owner_id = 7 OR is_public")
@@ -62,10 +62,10 @@ def tag_tree(spark: S, sf: str) -> DataFrame:
 
 @query("tag_would_cycle", f"""WITH RECURSIVE {X.TAGS}, {X.CLOSURE}
 SELECT a.tag_id, b.tag_id AS new_parent, EXISTS (SELECT 1 FROM closure c WHERE c.tag_id = b.tag_id AND c.ancestor = a.tag_id) AS cycle
-FROM tags a JOIN tags b ON length(b.tag_id) <= 6""")
+FROM tags a CROSS JOIN tags b""")
 def tag_would_cycle(spark: S, sf: str) -> DataFrame:
     tags = X.tags(spark, sf)
-    moves = tags.select("tag_id").join(F.broadcast(tags.where("length(tag_id) <= 6").select(F.col("tag_id").alias("new_parent"))), how="cross")
+    moves = tags.select("tag_id").crossJoin(tags.select(F.col("tag_id").alias("new_parent")))  # each of a few dozen tags under each
     return A.would_cycle(tags, moves)
 
 
@@ -84,10 +84,10 @@ def unused_tags(spark: S, sf: str) -> DataFrame:
     return A.unused_tags(X.tags(spark, sf), X.users(spark, sf), X.files(spark, sf))
 
 
-@query("user_list_page", f"""WITH {X.USERS}, f AS (SELECT * FROM users WHERE list_contains(string_split(org_tags, ','), 'FRANCE') AND contains(username, '1') AND role = 'USER')
-SELECT user_id, username, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 7.0) AS BIGINT) AS pages FROM f ORDER BY created DESC, user_id LIMIT 7 OFFSET 7""")
+@query("user_list_page", f"""WITH {X.USERS}, f AS (SELECT * FROM users WHERE list_contains(string_split(org_tags, ','), 'NATION_6') AND contains(username, '1') AND role = 'USER')
+SELECT user_id, username, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 7.0) AS BIGINT) AS pages FROM f ORDER BY created DESC, user_id LIMIT 7""")
 def user_list_page(spark: S, sf: str) -> DataFrame:
-    return A.user_page(X.users(spark, sf), 2, 7, "1", "FRANCE", "USER").select("user_id", "username", "total", "pages")
+    return A.user_page(X.users(spark, sf), 1, 7, "1", "NATION_6", "USER").select("user_id", "username", "total", "pages")
 
 
 @query("user_tag_details", f"""WITH {X.USERS}, {X.TAGS},
@@ -98,9 +98,9 @@ def user_tag_details(spark: S, sf: str) -> DataFrame:
 
 
 @query("user_tag_assignment", f"""WITH {X.USERS}
-SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(['CHINA', 'ASIA'], list_filter(string_split(org_tags, ','), lambda x: starts_with(x, 'PRIVATE_'))))), ',') AS org_tags FROM users""")
+SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(['NATION_3', 'ASIA'], list_filter(string_split(org_tags, ','), lambda x: starts_with(x, 'PRIVATE_'))))), ',') AS org_tags FROM users""")
 def user_tag_assignment(spark: S, sf: str) -> DataFrame:
-    assigned = F.array(F.lit("CHINA"), F.lit("ASIA"))
+    assigned = F.array(F.lit("NATION_3"), F.lit("ASIA"))
     return X.users(spark, sf).select("user_id", A.assign_tags(F.col("org_tags"), assigned).alias("org_tags"))
 
 
@@ -136,3 +136,19 @@ def tag_children_lookup(spark: S, sf: str) -> DataFrame:
 @query("role_labels", f"WITH {X.USERS} SELECT user_id, 'ROLE_' || role AS authority FROM users")
 def role_labels(spark: S, sf: str) -> DataFrame:
     return X.users(spark, sf).select("user_id", F.concat(F.lit("ROLE_"), "role").alias("authority"))
+
+
+_CALLS = "(VALUES (1, '/', CAST(NULL AS STRING)), (2, '/app.js', NULL), (3, '/a/app.js', NULL), (4, '/chat/x/y', NULL), (5, '/api/v1/users/login', NULL), (6, '/api/v1/upload/part', NULL), (7, '/api/v1/upload', 'USER'), (8, '/api/v1/admin/users', 'USER'), (9, '/api/v1/admin', 'ADMIN'), (10, '/api/v1/other', 'USER'), (11, '/api/v1/other', NULL), (12, '/api/search/hybrid', 'GUEST'), (13, '/api/v1/users/primary-org', 'USER'), (14, '/api/v1/administration', 'USER')) AS t(id, path, role)"
+
+
+def _endpoint_sql() -> str:
+    def arm(pattern: str, roles: str) -> str:
+        test = f"path = '{pattern}'" if "*" not in pattern else f"(path = '{pattern[:-3]}' OR starts_with(path, '{pattern[:-2]}'))" if pattern.endswith("/**") else f"(starts_with(path, '/') AND ends_with(path, '{pattern[2:]}') AND NOT contains(substr(path, 2), '/'))"
+        return f"WHEN {test} THEN {'TRUE' if roles == 'any' else 'coalesce(role IN (' + ', '.join(repr(r) for r in roles.split(',')) + '), FALSE)'}"
+
+    return f"SELECT id, CASE {' '.join(arm(*e) for e in A.ENDPOINTS)} ELSE role IS NOT NULL END AS allowed FROM {_CALLS.replace('STRING', 'VARCHAR')}"
+
+
+@query("endpoint_roles", _endpoint_sql())
+def endpoint_roles(spark: S, sf: str) -> DataFrame:
+    return X.values(spark, _CALLS).select("id", A.endpoint_allowed(F.col("path"), F.col("role")).alias("allowed"))

@@ -238,7 +238,7 @@ def state_ttl(spark: S, sf: str) -> DataFrame:
     """Rows of the last seven days before the newest one."""
     rows = table(spark, sf, "events")
     newest = rows.agg(F.max("ts").alias("_now"))
-    return rows.join(F.broadcast(newest), F.expr("ts >= _now - INTERVAL 7 DAYS")).groupBy("user_id").agg(F.count("*").alias("live"))
+    return U.live(rows.crossJoin(F.broadcast(newest)), "ts", F.col("_now"), 7 * 24 * 3600).groupBy("user_id").agg(F.count("*").alias("live"))
 
 
 @query("prompt_messages")
@@ -404,3 +404,46 @@ def delete_by_md5(spark: S, sf: str) -> DataFrame:
 def ordered_chunks(spark: S, sf: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     return X.lines(spark, sf).select("doc_id", "ordinal", F.row_number().over(order).cast("long").alias("number"))
+
+
+_ENDED = "named AS (SELECT event_id, user_id AS file_id, ts, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'abort' ELSE 'init' END AS action FROM events)"
+
+
+@query("upload_sessions", f"""WITH RECURSIVE {_ENDED},
+seq AS (SELECT file_id, action, row_number() OVER (PARTITION BY file_id ORDER BY ts, event_id, action) AS n FROM named),
+fold AS (
+  SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS restarts, CAST(0 AS BIGINT) AS refused FROM named
+  UNION ALL SELECT f.file_id, s.n,
+    CASE WHEN f.status = 'COMPLETED' THEN f.status WHEN s.action = 'init' THEN 'UPLOADING' WHEN f.status = 'UPLOADING' THEN CASE s.action WHEN 'complete' THEN 'COMPLETED' ELSE 'ABORTED' END ELSE f.status END,
+    f.restarts + CASE WHEN f.status = 'ABORTED' AND s.action = 'init' THEN 1 ELSE 0 END,
+    f.refused + CASE WHEN f.status = 'COMPLETED' THEN CASE WHEN s.action = 'abort' THEN 1 ELSE 0 END WHEN s.action = 'init' OR f.status = 'UPLOADING' THEN 0 ELSE 1 END
+  FROM fold f JOIN seq s ON s.file_id = f.file_id AND s.n = f.n + 1)
+SELECT file_id, arg_max(status, n) AS status, arg_max(restarts, n) AS restarts, arg_max(refused, n) AS refused FROM fold GROUP BY file_id""")
+def upload_sessions(spark: S, sf: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "abort").otherwise("init")
+    return U.session_states(table(spark, sf, "events").select(F.col("user_id").alias("file_id"), F.col("ts").alias("at"), "event_id", action.alias("action")))
+
+
+@query("outbox_settle", f"""WITH {_OUTBOX_SQL}, held AS (
+  SELECT *, CASE WHEN event_id % 2 = 0 THEN 'mine' ELSE 'other' END AS token, ['PUBLISHED', 'RESCHEDULE', 'DEAD'][CAST(event_id % 3 + 1 AS BIGINT)] AS action FROM ob)
+SELECT event_id, CASE WHEN status <> 'PUBLISHING' OR token = 'other' THEN status WHEN action = 'RESCHEDULE' THEN 'PENDING' ELSE action END AS status,
+       CASE WHEN status = 'PUBLISHING' AND token = 'mine' AND action <> 'PUBLISHED' THEN retry_count + 1 ELSE retry_count END AS retry_count, status = 'PUBLISHING' AND token = 'mine' AS settled FROM held""")
+def outbox_settle(spark: S, sf: str) -> DataFrame:
+    """Every claimed event is reported by a worker with one token; half of them have been claimed again by another."""
+    k = F.col("event_id")
+    rows = _outbox(spark, sf).withColumns({"lock_token": F.when(k % 2 == 0, "mine").otherwise("other"), "last_error": F.lit(None).cast("string")})
+    action = F.when(k % 3 == 0, "PUBLISHED").when(k % 3 == 1, "RESCHEDULE").otherwise("DEAD")
+    told = rows.select("event_id", F.lit("mine").alias("lock_token"), action.alias("action"), (F.col("retry_count") + 1).alias("retry_count"), F.col("created_at").alias("next_retry_at"), F.lit("failed").alias("error"))
+    return U.settle(rows, told, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "status", "retry_count", "settled")
+
+
+@query("slow_requests", "SELECT event_type AS path, count(*) AS requests, count(*) FILTER (value * 100 > 3000) AS slow, round(avg(value * 100), 6) AS mean_ms, max(value * 100) AS longest_ms FROM events GROUP BY 1")
+def slow_requests(spark: S, sf: str) -> DataFrame:
+    return U.slow_requests(table(spark, sf, "events").select(F.col("event_type").alias("path"), (F.col("value") * 100).alias("took_ms")))
+
+
+@query("sessions", "SELECT user_id, session_id, created, updated FROM (SELECT user_id, user_id || '-' || event_id % 7 AS session_id, min(ts) FILTER (event_type = 'view') AS created, max(ts) FILTER (event_type IN ('view', 'click')) AS updated, max(ts) FILTER (event_type = 'view') AS made, max(ts) FILTER (event_type = 'error') AS gone FROM events GROUP BY 1, 2) WHERE created IS NOT NULL AND (gone IS NULL OR gone < made) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, session_id) <= 100")
+def sessions(spark: S, sf: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "view", "create").when(F.col("event_type") == "click", "touch").when(F.col("event_type") == "error", "delete").otherwise("other")
+    rows = table(spark, sf, "events").select("user_id", F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("session_id"), F.col("ts").alias("at"), action.alias("action"))
+    return C.sessions(rows)

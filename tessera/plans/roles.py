@@ -45,7 +45,7 @@ def tokens_sql(x: str) -> str:
 ANALYZED = """tok AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 asked AS (
-  SELECT item_id, unnest(list_distinct(list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), 1, 8))) AS term
+  SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term
   FROM benchmark),
 tf AS (SELECT doc_id, term, len(t) AS dl, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term, len(t)),
 idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM tok) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
@@ -102,9 +102,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first eight tokens of each benchmark passage."""
-    first = F.slice(R.analyze(F.col("text")), 1, 8)
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(first, " ").alias("query_text"))
+    """Each benchmark passage, whole."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import access as A
 from tessera.operators import documents as D
+from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 from tessera.plans import roles as X
 from tessera.plans.registry import query
@@ -215,10 +216,10 @@ def time_range_filter(spark: S, sf: str) -> DataFrame:
     return X.values(spark, _STAMPS).where(T.in_time_range(F.col("s"), start, end))
 
 
-@query("tag_list_membership", f"WITH {X.USERS} SELECT user_id, list_contains(string_split(org_tags, ','), 'FRANCE') AS member, CAST(len(string_split(org_tags, ',')) AS INTEGER) AS n FROM users")
+@query("tag_list_membership", f"WITH {X.USERS} SELECT user_id, list_contains(string_split(org_tags, ','), 'NATION_6') AS member, CAST(len(string_split(org_tags, ',')) AS INTEGER) AS n FROM users")
 def tag_list_membership(spark: S, sf: str) -> DataFrame:
     held = A.split_tags(F.col("org_tags"))
-    return X.users(spark, sf).select("user_id", F.array_contains(held, "FRANCE").alias("member"), F.size(held).alias("n"))
+    return X.users(spark, sf).select("user_id", F.array_contains(held, "NATION_6").alias("member"), F.size(held).alias("n"))
 
 
 @query("event_props_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -233,8 +234,8 @@ def conversation_json(spark: S, sf: str) -> DataFrame:
 
 @query("highlight", "SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def highlight(spark: S, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    return X.chunks(spark, sf).join(F.broadcast(items), F.expr("contains(text, q)")).groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return E.holders(X.chunks(spark, sf), items).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"))
 
 
 @query("preview", "SELECT doc_id, CASE WHEN strlen(text) <= 10240 THEN 'whole' ELSE 'cut' END AS kind, CAST(least(strlen(text), 10240) AS BIGINT) AS bytes FROM documents")

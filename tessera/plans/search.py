@@ -101,7 +101,7 @@ FROM fused JOIN (SELECT doc_id AS chunk_id, trim(regexp_replace(regexp_replace(t
 def hybrid_search_topk(spark: S, sf: str) -> DataFrame:
     """Permission-filtered BM25 and cosine top 100, weighted fusion, top 10, with source labels."""
     access, principals = _chunk_access(spark, sf), _principals(spark, sf)
-    keyword = R.top(R.permitted_hits(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf)), access, principals), R.RECALL)
+    keyword = R.top(R.bm25(X.chunks(spark, sf).join(access, "chunk_id"), X.text_queries(spark, sf), principals), R.RECALL)
     asked = X.vector_queries(spark, sf).join(principals, "query_id")
     vector = R.knn(X.vectors(spark, sf).join(access, "chunk_id"), asked, R.RECALL, permissions=True)
     fused = R.fuse(keyword, vector, R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT, 10)
@@ -118,7 +118,7 @@ def hybrid_search_unfiltered(spark: S, sf: str) -> DataFrame:
 
 @query("text_only_min_score", f"WITH RECURSIVE {_ALLOWED_SQL}, {X.ANALYZED} SELECT * FROM {X.ranked_sql('bm', 10, _MAY + ' WHERE score >= 0.3')}")
 def text_only_min_score(spark: S, sf: str) -> DataFrame:
-    scored = R.permitted_hits(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf)), _chunk_access(spark, sf), _principals(spark, sf))
+    scored = R.bm25(X.chunks(spark, sf).join(_chunk_access(spark, sf), "chunk_id"), X.text_queries(spark, sf), _principals(spark, sf))
     return R.top(scored.where(F.col("score") >= R.MIN_SCORE), 10).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -146,9 +146,9 @@ _QRELS = "qrels AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benc
 
 
 def qrels_of(spark: S, sf: str) -> DataFrame:
-    """Documents that hold a passage verbatim. Passages are a fixed, small set; each document is tested against them in place."""
+    """Documents that hold a passage verbatim."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return X.chunks(spark, sf).join(F.broadcast(items), F.expr("contains(text, passage)")).select("query_id", "chunk_id")
+    return E.holders(X.chunks(spark, sf), items)
 
 
 @query("qrels", f"WITH {_QRELS} SELECT * FROM qrels")
@@ -219,20 +219,17 @@ def evidence_plus_distractors(spark: S, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ neighbours and contexts
 
-_HITS = f"""{X.LINE_CHUNKS},
-hits AS (
-  SELECT b.item_id AS query_id, l.section_id, l.ordinal, l.doc_id, l.text, l.tokens, row_number() OVER (PARTITION BY b.item_id ORDER BY length(l.text) DESC, l.doc_id, l.ordinal) AS rank
-  FROM benchmark b JOIN line_chunks l ON l.doc_id % 40 = b.item_id % 40 QUALIFY rank <= 10)"""
+_HITS = f"""{X.ANALYZED}, {X.LINE_CHUNKS}, found AS {X.ranked_sql('bm', 10)},
+longest AS (SELECT * FROM line_chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, ordinal) = 1),
+hits AS (SELECT f.query_id, l.section_id, l.ordinal, l.doc_id, l.text, l.tokens, f.rank FROM found f JOIN longest l ON l.doc_id = f.chunk_id)"""
 
 
 def _line_hits(spark: S, sf: str) -> DataFrame:
-    """Ten long lines per benchmark item stand for its hits."""
-    from pyspark.sql import Window
-
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("_m"))
-    rows = X.lines(spark, sf).withColumn("_m", F.col("doc_id") % 40).join(F.broadcast(items), "_m")
-    order = Window.partitionBy("query_id").orderBy(F.length("text").desc(), "doc_id", "ordinal")
-    return X.as_line_chunks(rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").drop("_m"))
+    """The ten best documents of each benchmark query, each by its longest line."""
+    rows = X.lines(spark, sf)
+    longest = rows.groupBy("doc_id").agg(F.max_by(F.struct("ordinal", "text"), F.struct(F.length("text"), -F.col("ordinal"))).alias("_l")).select("doc_id", "_l.*")
+    found = _keyword(spark, sf, 10).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    return X.as_line_chunks(found.join(longest, "doc_id"))
 
 
 _AROUND = f"""{_HITS},
@@ -283,3 +280,29 @@ def citation_validate(spark: S, sf: str) -> DataFrame:
     rows = X.values(spark, _ANSWERS).withColumn("source_ids", F.array(F.lit(1), F.lit(2)))
     checked = C.validate_citations(rows)
     return checked.select("id", F.array_join(F.array_sort("cited"), ",").alias("cited"), F.array_join(F.array_sort("invalid"), ",").alias("invalid"), "has_citation", "all_valid")
+
+
+_HAN = "(VALUES (1, '公司请假制度 HR 流程'), (2, '年假十天，病假需要证明'), (3, 'plain words'), (4, '制度')) AS t(chunk_id, text)"
+_HAN_ASKED = "(VALUES (1, '请假制度'), (2, '病假 hr'), (3, '天')) AS t(query_id, query_text)"
+
+
+def _han_terms(x: str) -> str:
+    runs = f"regexp_extract_all(lower({x}), '\\p{{Han}}+|[\\p{{L}}\\p{{N}}--\\p{{Han}}]+')".replace("[\\p{L}\\p{N}--\\p{Han}]+", "[a-z0-9]+")
+    return f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_full_match(r, '\\p{{Han}}{{3,}}') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END))".replace("\\\\", "\\")
+
+
+@query("bm25_han", f"""WITH tok AS (SELECT chunk_id, {_han_terms('text')} AS t FROM {_HAN}),
+asked AS (SELECT query_id, unnest(list_distinct({_han_terms('query_text')})) AS term FROM {_HAN_ASKED}),
+tf AS (SELECT chunk_id, term, len(t) AS dl, count(*) AS tf FROM (SELECT chunk_id, t, unnest(t) AS term FROM tok) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (4 - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term)
+SELECT query_id, chunk_id, round(sum(idf * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT avg(len(t)) FROM tok)))), 9) AS score
+FROM tf JOIN idf USING (term) JOIN asked USING (term) GROUP BY ALL""")
+def bm25_han(spark: S, sf: str) -> DataFrame:
+    """Chinese questions against Chinese texts, by bigrams."""
+    return R.bm25(X.values(spark, _HAN), X.values(spark, _HAN_ASKED), han=True)
+
+
+@query("valid_hits", "SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0")
+def valid_hits(spark: S, sf: str) -> DataFrame:
+    hits = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("chunk_id"), F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("text"))
+    return R.valid_hits(hits).select("chunk_id")

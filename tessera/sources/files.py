@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import count
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -434,19 +435,19 @@ def corpus_of(lines: DataFrame) -> tuple[DataFrame, int]:
     return rows, parsed.where(F.col("_j.doc_id").isNull()).count()
 
 
-def outline_headings(bookmarks: DataFrame, levels: int = 100) -> DataFrame:
+def outline_headings(bookmarks: DataFrame) -> DataFrame:
     """bookmarks (file_id, node, parent, title, page) -> (file_id, node, page, title, level) of usable bookmarks.
 
     Children of a broken bookmark (no page, or no title) are still visited; levels are counted from the top and held at 6.
-    Every level of the outline is a join, and no more than ``levels`` of them are followed.
+    Every level of the outline is a join with the one before, which is kept; a node that is already on the path ends it.
     """
-    level = bookmarks.where(F.col("parent").isNull()).select("file_id", "node", "page", "title", F.lit(1).alias("level"))
+    level = bookmarks.where(F.col("parent").isNull()).select("file_id", "node", "page", "title", F.lit(1).alias("level"), F.array("node").alias("_path"))
     inner = bookmarks.where(F.col("parent").isNotNull()).select("file_id", F.col("node").alias("_node"), "parent", F.col("page").alias("_page"), F.col("title").alias("_title"))
     found = level
-    for depth in range(2, levels + 1):
-        above = level.select("file_id", F.col("node").alias("parent"))
-        level = inner.join(above, ["file_id", "parent"]).select("file_id", F.col("_node").alias("node"), F.col("_page").alias("page"), F.col("_title").alias("title"), F.lit(min(6, depth)).alias("level"))
+    for depth in count(2):
+        above = level.select("file_id", F.col("node").alias("parent"), "_path")
+        level = inner.join(above, ["file_id", "parent"]).where(~F.array_contains("_path", F.col("_node"))).select("file_id", F.col("_node").alias("node"), F.col("_page").alias("page"), F.col("_title").alias("title"), F.lit(min(6, depth)).alias("level"), F.array_append("_path", F.col("_node")).alias("_path")).persist()
         if level.isEmpty():
             break
         found = found.unionByName(level)
-    return found.withColumn("title", T.clean(F.col("title"))).where((F.col("page") > 0) & (F.col("title") != ""))
+    return found.drop("_path").withColumn("title", T.clean(F.col("title"))).where((F.col("page") > 0) & (F.col("title") != ""))

@@ -1,4 +1,4 @@
-"""The at-least-once task stream: deduplicated tasks, retries with back-off, dead letters, and status by file.
+"""The at-least-once task stream: tasks without redeliveries, retries with back-off, dead letters, and status by file.
 
 Sources are any Structured Streaming source of task rows (event_id, file_id, at, outcome); tests use file streams, as the
 Kafka connector is a separate jar. State is per file: RocksDB keeps it, and output is append-only.
@@ -12,11 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 MAX_RETRIES = 4
 BACKOFF = (1, 2, 4, 8)
-TASK = "event_id long, file_id long, at timestamp, outcome string"
+#: How long a file's attempts and the tasks it has seen are remembered after they last changed.
+STATE_TTL_S = 7 * 24 * 3600
+TASK = "event_id long, delivery int, file_id long, at timestamp, outcome string"
 STEPS = "file_id long, event_id long, attempt int, action string, delay_s int"
 
 
@@ -25,28 +27,34 @@ def task_stream(spark: SparkSession, path: str, schema: str = TASK) -> DataFrame
     return spark.readStream.schema(schema).json(path)
 
 
-def unique_tasks(tasks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Tasks without redelivered events; state is kept for the delay after an event's time."""
-    return tasks.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 class Attempts(StatefulProcessor):
     """Per file: ok ends it, a passing failure is retried at most MAX_RETRIES times, then goes to dead letters.
 
-    A file that is done ignores everything that comes later.
+    A task is an event's delivery: a redelivery, of the same event and delivery number, is dropped, however late; a retry of
+    an event has the next number. A file that is done ignores everything that comes later. State ends ttl_s after it last
+    changed, if that is given.
     """
 
+    def __init__(self, ttl_s: int | None = None):
+        self.ttl = None if ttl_s is None else ttl_s * 1000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("attempts", IntegerType()), StructField("status", StringType())])
-        self.state = handle.getValueState("file", schema)
+        task = StructType([StructField("event_id", LongType()), StructField("delivery", IntegerType())])
+        self.state = handle.getValueState("file", schema, self.ttl)
+        self.seen = handle.getMapState("seen", task, StructType([StructField("at", TimestampType())]), self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         attempts, status = (0, "UPLOADED")
         if self.state.exists():
             attempts, status = self.state.get()
         out = []
-        tasks = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for event_id, outcome in zip(tasks["event_id"], tasks["outcome"], strict=True):
+        tasks = pd.concat(list(rows)).sort_values(["at", "event_id", "delivery"])
+        for event_id, delivery, at, outcome in zip(tasks["event_id"], tasks["delivery"].fillna(0), tasks["at"], tasks["outcome"], strict=True):
+            task = (int(event_id), int(delivery))
+            if self.seen.containsKey(task):
+                continue
+            self.seen.updateValue(task, (at.to_pydatetime(),))
             if status in ("READY", "NEEDS_OCR", "FAILED"):
                 out.append((key[0], event_id, attempts, "IGNORE", 0))
                 continue
@@ -65,9 +73,14 @@ class Attempts(StatefulProcessor):
         pass
 
 
-def attempts(tasks: DataFrame) -> DataFrame:
-    """One row per task with what was done about it."""
-    return tasks.groupBy("file_id").transformWithStateInPandas(statefulProcessor=Attempts(), outputStructType=STEPS, outputMode="Append", timeMode="None")
+def attempts(tasks: DataFrame, ttl_s: int | None = None) -> DataFrame:
+    """One row per task with what was done about it.
+
+    A stream that runs for ever needs a time to live, such as STATE_TTL_S, or its state grows for ever. A replay with the
+    availableNow trigger takes none: with one, Spark waits for state to end and never does.
+    """
+    mode = "None" if ttl_s is None else "ProcessingTime"
+    return tasks.groupBy("file_id").transformWithStateInPandas(statefulProcessor=Attempts(ttl_s), outputStructType=STEPS, outputMode="Append", timeMode=mode)
 
 
 def write_steps(steps: DataFrame, path: str, checkpoint: str):

@@ -38,3 +38,16 @@ def test_enriched_hits(spark):
     assert rows[0].source_label == "《a》｜T"
     context = engine.build_context(engine.enrich(hits, chunks)).first()
     assert context.sources == 3 and context.prompt.startswith("[来源#1]\n来源：《a》｜T\n文件：a.md\n标题路径：T\n正文：\ntext 2\n[/来源#1]\n\n")
+
+
+def test_search_without_a_vector_service(spark):
+    chunks = spark.createDataFrame([(1, "公司请假制度", [1.0, 0.0]), (2, "差旅报销", [0.0, 1.0])], "chunk_id long, text string, vector array<double>")
+    asked = spark.createDataFrame([(7, "请假")], "query_id long, query_text string")
+
+    def fails(queries):
+        raise RuntimeError("no service")
+
+    rows, step = engine.hybrid_search_or_less(chunks, asked, fails, 2, han=True)
+    assert step == "text" and [(r.query_id, r.chunk_id) for r in rows.collect()] == [(7, 1)]
+    rows, step = engine.hybrid_search_or_less(chunks, asked, lambda q: q.withColumn("vector", F.array(F.lit(0.0), F.lit(1.0))), 2, han=True)
+    assert step == "hybrid" and [r.chunk_id for r in rows.orderBy("rank").collect()] == [1, 2]  # 0.1 / 61 + 0.9 / 62 is more than 0.9 / 61

@@ -78,14 +78,16 @@ def test_clean_is_nfkc_first(spark):
 
 
 def test_task_stream(spark, tmp_path):
-    rows = [(1, 1, "ok"), (2, 2, "reset"), (3, 2, "reset"), (3, 2, "reset"), (4, 2, "reset"), (5, 2, "reset"), (6, 2, "reset"), (7, 3, "fatal"), (8, 1, "reset")]
+    rows = [(1, 1, "ok"), (2, 2, "reset"), (3, 2, "reset"), (3, 2, "reset"), (4, 2, "reset"), (5, 2, "reset"), (6, 2, "reset"), (7, 3, "fatal"), (8, 1, "reset"), (9, 4, "reset"), (9, 4, "reset"), (9, 4, "ok")]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"event_id": e, "file_id": f, "at": f"2024-01-01T00:00:{e:02d}", "outcome": o}) for e, f, o in rows))
+    deliveries = [0] * 10 + [0, 1]  # event 9 comes twice, and is tried again later under its own id
+    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"event_id": e, "delivery": d, "file_id": f, "at": f"2024-01-01T00:00:{e + d:02d}", "outcome": o}) for (e, f, o), d in zip(rows, deliveries, strict=True)))
+    (tmp_path / "in/b.json").write_text(json.dumps({"event_id": 10, "delivery": 0, "file_id": 5, "at": "2020-01-01T00:00:00", "outcome": "ok"}))  # years late
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    steps = Q.attempts(Q.unique_tasks(Q.task_stream(spark, str(tmp_path / "in"))))
+    steps = Q.attempts(Q.task_stream(spark, str(tmp_path / "in")))
     Q.write_steps(steps, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = {(r.event_id, r.action, r.delay_s) for r in spark.read.parquet(str(tmp_path / "out/steps")).collect()}
-    assert got == {(1, "DONE", 0), (8, "IGNORE", 0), (2, "RETRY", 1), (3, "RETRY", 2), (4, "RETRY", 4), (5, "RETRY", 8), (6, "DEAD_LETTER", 0), (7, "DEAD_LETTER", 0)}
+    assert got == {(1, "DONE", 0), (8, "IGNORE", 0), (2, "RETRY", 1), (3, "RETRY", 2), (4, "RETRY", 4), (5, "RETRY", 8), (6, "DEAD_LETTER", 0), (7, "DEAD_LETTER", 0), (9, "RETRY", 1), (9, "DONE", 0), (10, "DONE", 0)}
 
 
 def test_replacement_is_by_document(spark, tmp_path):
@@ -133,3 +135,52 @@ def test_bm25_equals_a_loop(spark):
                     tf, idf = w.count(term), math.log(1 + (len(words) - df + 0.5) / (df + 0.5))
                     want[q, k] = want.get((q, k), 0) + idf * tf / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
     assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_deep_tags_are_followed_to_the_end(spark):
+    from tessera.operators import access as A
+
+    tags = spark.createDataFrame([(f"t{k}", f"t{k - 1}" if k else None) for k in range(104)], "tag_id string, parent_tag string")
+    assert A.tag_tree(tags).agg(F.max("depth")).first()[0] == 103
+
+
+def test_only_the_holder_of_a_lease_settles_an_event(spark):
+    events = [(1, "PUBLISHING", "a", 0), (2, "PUBLISHING", "b", 1), (3, "PUBLISHING", "c", 2), (4, "PUBLISHING", "new", 0), (5, "PENDING", "e", 0)]
+    rows = spark.createDataFrame(events, "event_id long, status string, lock_token string, retry_count int").withColumns({"locked_until": F.lit("2024-01-01").cast("timestamp"), "next_retry_at": F.lit(None).cast("timestamp"), "last_error": F.lit("old")})
+    outcomes = spark.createDataFrame([(1, "a", "PUBLISHED", 0, None), (2, "b", "RESCHEDULE", 2, " "), (3, "c", "DEAD", 3, "x" * 3000), (4, "lost", "PUBLISHED", 0, None), (5, "e", "PUBLISHED", 0, None)], "event_id long, lock_token string, action string, retry_count int, error string").withColumn("next_retry_at", F.lit("2024-01-02").cast("timestamp"))
+    got = {r.event_id: r for r in U.settle(rows, outcomes, F.lit("2024-01-01 12:00:00").cast("timestamp")).collect()}
+    assert {k: (r.status, r.retry_count, r.settled) for k, r in got.items()} == {1: ("PUBLISHED", 0, True), 2: ("PENDING", 2, True), 3: ("DEAD", 3, True), 4: ("PUBLISHING", 0, False), 5: ("PENDING", 0, False)}
+    assert got[2].last_error == U.UNKNOWN_ERROR and len(got[3].last_error) == 2000 and got[1].last_error is None and got[4].lock_token == "new"
+
+
+def test_sessions_of_uploads_fold_their_events(spark):
+    told = {1: "init complete complete abort", 2: "init abort init", 3: "complete init", 4: "init init abort complete"}
+    rows = [(f, k, k, a) for f, t in told.items() for k, a in enumerate(t.split())]
+    got = {r.file_id: tuple(r)[1:] for r in U.session_states(spark.createDataFrame(rows, "file_id long, at long, event_id long, action string")).collect()}
+    assert got == {1: ("COMPLETED", 0, 1), 2: ("UPLOADING", 1, 0), 3: ("UPLOADING", 0, 1), 4: ("ABORTED", 0, 1)}
+
+
+def test_questions_are_rewritten_or_left(spark):
+    from tessera.operators import conversation as C
+
+    rows = spark.createDataFrame([("那它呢", ["a"]), ("那它呢", []), ("A full question that needs nothing", ["a"]), (None, None)], "question string, history array<string>")
+    got = [tuple(r)[2:] for r in C.rewritten(rows, lambda q, h: F.lit('"annual leave"')).collect()]
+    assert got == [("annual leave", True), ("那它呢", False), ("A full question that needs nothing", False), ("", False)]
+    assert [r.query for r in C.rewritten(rows, lambda q, h: F.lit(" ")).collect()][0] == "那它呢"
+
+
+def test_sessions_come_and_go(spark):
+    from tessera.operators import conversation as C
+
+    rows = [(1, "a", 1, "create"), (1, "a", 9, "touch"), (1, "b", 2, "create"), (1, "c", 3, "create"), (1, "c", 4, "delete"), (1, "d", 5, "delete"), (1, "d", 6, "create"), (2, "e", 1, "touch")]
+    got = C.sessions(spark.createDataFrame(rows, "user_id long, session_id string, at long, action string"), 2).orderBy(F.desc("updated")).collect()
+    assert [(r.session_id, r.created, r.updated) for r in got] == [("a", 1, 9), ("d", 6, 6)]
+
+
+def test_holders_of_short_and_cut_passages(spark):
+    from tessera.operators import evaluation as E
+
+    texts = spark.createDataFrame([(1, "say: one two  three four five six!"), (2, "xone two three four fivey"), (3, "two"), (4, None), (5, "one two three four")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, "ne two three four fi"), (4, "two  three four five six")], "query_id long, passage string")
+    got = {(r.query_id, r.chunk_id) for r in E.holders(texts, asked).collect()}
+    assert got == {(1, 2), (2, 1), (2, 2), (2, 3), (2, 5), (3, 2), (4, 1)}
