@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 DEFAULT_TAG = "DEFAULT"
 PRIVATE_PREFIX = "PRIVATE_"
 
@@ -20,19 +21,19 @@ def split_tags(tags: Column) -> Column:
 def ancestors(tags: DataFrame) -> DataFrame:
     """tags (tag_id, parent_tag) -> (tag_id, ancestor, depth), each tag its own ancestor at depth 0.
 
-    Every level is a join with the level before, which is kept, up to the deepest; a tag that is already on the path ends
-    it, so a cycle does not loop.
+    Distances double from round to round, so a tree of any depth takes its logarithm of rounds, each a written table. Of
+    several ways the shortest counts, so a cycle adds every tag on it once and ends.
     """
-    parents = tags.where(F.col("parent_tag").isNotNull()).select(F.col("tag_id").alias("_child"), F.col("parent_tag").alias("_parent"))
-    level = tags.select("tag_id", F.col("tag_id").alias("ancestor"), F.lit(0).alias("depth"), F.array("tag_id").alias("_path"))
-    closure = level
-    for depth in count(1):
-        level = level.join(parents, F.col("ancestor") == F.col("_child")).where(~F.array_contains("_path", F.col("_parent")))
-        level = level.select("tag_id", F.col("_parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("_path", F.col("_parent")).alias("_path")).persist()
-        if level.isEmpty():
-            break
-        closure = closure.unionByName(level)
-    return closure.drop("_path")
+    one = tags.where(F.col("parent_tag").isNotNull()).select("tag_id", F.col("parent_tag").alias("ancestor"), F.lit(1).alias("depth"))
+    # a parent that is no tag of the table is an ancestor too, but has none
+    pairs = written(tags.select("tag_id", F.col("tag_id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(one).groupBy("tag_id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+    before, now = 0, pairs.count()
+    while now > before:
+        above = pairs.where("depth > 0").select(F.col("tag_id").alias("ancestor"), F.col("ancestor").alias("_above"), F.col("depth").alias("_more"))
+        further = pairs.join(above, "ancestor").select("tag_id", F.col("_above").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        pairs = written(pairs.unionByName(further).groupBy("tag_id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+        before, now = now, pairs.count()
+    return pairs
 
 
 def effective_tags(users: DataFrame, tags: DataFrame) -> DataFrame:
@@ -72,16 +73,10 @@ def request_decision(user: Column, role: Column, direct_tags: Column, owner: Col
 
 
 def tag_tree(tags: DataFrame) -> DataFrame:
-    """(tag_id, depth, path) from the roots down, however deep."""
-    rows = tags.where(F.col("parent_tag").isNull()).select("tag_id", F.lit(0).alias("depth"), F.col("tag_id").alias("path"), F.array("tag_id").alias("_seen"))
-    tree, children = rows, tags.select(F.col("tag_id").alias("_id"), "parent_tag")
-    for depth in count(1):
-        rows = rows.join(children, F.col("tag_id") == F.col("parent_tag")).where(~F.array_contains("_seen", F.col("_id")))
-        rows = rows.select(F.col("_id").alias("tag_id"), F.lit(depth).alias("depth"), F.concat("path", F.lit("/"), "_id").alias("path"), F.array_append("_seen", F.col("_id")).alias("_seen")).persist()
-        if rows.isEmpty():
-            break
-        tree = tree.unionByName(rows)
-    return tree.drop("_seen")
+    """(tag_id, depth, path) of the tags below a root, however deep; a path is the list of a tag's own ancestors."""
+    roots = tags.where(F.col("parent_tag").isNull()).select(F.col("tag_id").alias("ancestor"), F.lit(True).alias("_root"))
+    way = ancestors(tags).join(roots, "ancestor", "left").groupBy("tag_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("_up"), "ancestor"))).alias("_way"), F.max(F.when(F.col("_root"), F.col("depth"))).alias("depth"))
+    return way.where(F.col("depth").isNotNull()).select("tag_id", "depth", F.array_join(F.transform("_way", lambda x: x["ancestor"]), "/").alias("path"))
 
 
 def would_cycle(tags: DataFrame, moves: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from itertools import count
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.access import ancestors
 from tessera.operators.documents import ELEMENTS, Element, clean
 
 # ---- fixed values: extensions, and labels by extension ----
@@ -439,15 +439,11 @@ def outline_headings(bookmarks: DataFrame) -> DataFrame:
     """bookmarks (file_id, node, parent, title, page) -> (file_id, node, page, title, level) of usable bookmarks.
 
     Children of a broken bookmark (no page, or no title) are still visited; levels are counted from the top and held at 6.
-    Every level of the outline is a join with the one before, which is kept; a node that is already on the path ends it.
+    Bookmarks that do not lead up to a top one are left out.
     """
-    level = bookmarks.where(F.col("parent").isNull()).select("file_id", "node", "page", "title", F.lit(1).alias("level"), F.array("node").alias("_path"))
-    inner = bookmarks.where(F.col("parent").isNotNull()).select("file_id", F.col("node").alias("_node"), "parent", F.col("page").alias("_page"), F.col("title").alias("_title"))
-    found = level
-    for depth in count(2):
-        above = level.select("file_id", F.col("node").alias("parent"), "_path")
-        level = inner.join(above, ["file_id", "parent"]).where(~F.array_contains("_path", F.col("_node"))).select("file_id", F.col("_node").alias("node"), F.col("_page").alias("page"), F.col("_title").alias("title"), F.lit(min(6, depth)).alias("level"), F.array_append("_path", F.col("_node")).alias("_path")).persist()
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.drop("_path").withColumn("title", T.clean(F.col("title"))).where((F.col("page") > 0) & (F.col("title") != ""))
+    key = lambda c: F.struct("file_id", F.col(c).alias("node"))
+    chains = ancestors(bookmarks.select(key("node").alias("tag_id"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent_tag")))
+    tops = bookmarks.where(F.col("parent").isNull()).select(key("node").alias("ancestor"))
+    levels = chains.join(tops, "ancestor").select("tag_id.file_id", "tag_id.node", F.least(F.lit(6), F.col("depth") + 1).alias("level"))
+    rows = bookmarks.join(levels, ["file_id", "node"]).select("file_id", "node", "page", T.clean(F.col("title")).alias("title"), "level")
+    return rows.where((F.col("page") > 0) & (F.col("title") != ""))
