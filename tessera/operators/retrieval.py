@@ -56,25 +56,27 @@ def bm25(chunks: DataFrame, queries: DataFrame, principals: DataFrame | None = N
     With principals (query_id, user_id, tags), chunks also have owner_id, is_public and org_tag. These travel with the terms
     of a chunk, and a pair that the asker may not see is dropped before its terms are summed.
 
-    chunk_id is unique. Two passes over the chunks: one counts, for each query term and for the empty term that stands for
-    all chunks, chunks and their lengths, and shuffles only sums; the other prunes tokens to query terms and shuffles them
-    once, by chunk, which serves both the term frequencies and the sums per query. Frequencies and mean length cover all
-    chunks, whoever asks. han: see ``analyze``.
+    chunk_id is unique. One pass over the chunks prunes tokens to query terms and shuffles them once, by chunk; the term
+    frequencies there serve the chunks a term is in and the sums per query alike. A chunk also has the empty term, once, which
+    stands for all chunks and their lengths. Frequencies and mean length cover all chunks, whoever asks. han: see ``analyze``.
     """
     access = [] if principals is None else ["owner_id", "is_public", "org_tag"]
     asked = queries.select("query_id", F.explode_outer(F.array_distinct(analyze(F.col("query_text"), han))).alias("term")).where(F.col("term").isNotNull())
     terms = asked.select("term").distinct()
     everything = terms.sparkSession.range(1).select(F.lit("").alias("term"))
     sized = chunks.select("chunk_id", *access, analyze(F.coalesce("text", F.lit("")), han).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    wanted = terms.unionByName(everything)
     # explode_outer: explode would be preceded by a test for emptiness that analyzes every text again
-    once = sized.select("dl", F.explode_outer(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
-    counts = once.join(terms.unionByName(everything), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
-    whole = Window.partitionBy()  # one row per query term
+    held = sized.select("chunk_id", "dl", *access, F.explode_outer(F.array_append("tokens", F.lit(""))).alias("term"))
+    hits = held.join(wanted, "term", "left_semi").repartition("chunk_id")
+    tf = hits.groupBy("term", "chunk_id", "dl", *access).agg(F.count("*").alias("tf"))
+    counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_length"))
+    # one row per query term; the row of the empty term meets no query below, and a filter on it here would be inferred for tf,
+    # whose shuffle could then not be read twice
+    whole = Window.partitionBy()
     of_all = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
-    stats = counts.select("term", "df", of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl")).where(F.col("term") != "")
+    stats = counts.select("term", "df", of_all("df").alias("n"), (of_all("_length") / of_all("df")).alias("avgdl"))
     idf = stats.select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = sized.select("chunk_id", "dl", *access, F.explode_outer("tokens").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id")
-    tf = hits.groupBy("term", "chunk_id", "dl", *access).agg(F.count("*").alias("tf"))
     weighted = tf.join(idf, "term").withColumn("w", F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     pairs = weighted.join(asked if principals is None else asked.join(principals.select("query_id", "user_id", "tags"), "query_id"), "term")
     if principals is not None:

@@ -12,7 +12,7 @@ from tessera.operators import uploads as U
 from tessera.plans import roles as X
 from tessera.plans.registry import query
 from tessera.sources import files as G
-from tessera.session import table
+from tessera.session import spread, table
 
 S = SparkSession
 
@@ -74,7 +74,7 @@ def page_counters(spark: S, sf: str) -> DataFrame:
 @query("csv_element", f"SELECT doc_id, 'TABLE' AS type, 'csv' AS locator, CAST(length({_tidy('text')}) AS INTEGER) AS chars FROM documents WHERE {_tidy('text')} <> ''")
 def csv_element(spark: S, sf: str) -> DataFrame:
     body = T.clean(F.col("text"))
-    rows = table(spark, sf, "documents").select("doc_id", F.lit("TABLE").alias("type"), F.lit("csv").alias("locator"), F.length(body).alias("chars"))
+    rows = X.texts(spark, sf).select("doc_id", F.lit("TABLE").alias("type"), F.lit("csv").alias("locator"), F.length(body).alias("chars"))
     return rows.where("chars > 0")
 
 
@@ -82,7 +82,7 @@ def csv_element(spark: S, sf: str) -> DataFrame:
 def paragraphs(spark: S, sf: str) -> DataFrame:
     """Blank-line paragraphs, where a full stop at a line end stands for the blank line."""
     spread = F.regexp_replace("text", "\\.\n", ".\n\n")
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.split(spread, "\n{2,}")).alias("t")).withColumn("t", F.regexp_replace("t", "^[ \n]+|[ \n]+$", ""))
+    rows = X.texts(spark, sf).select("doc_id", F.explode(F.split(spread, "\n{2,}")).alias("t")).withColumn("t", F.regexp_replace("t", "^[ \n]+|[ \n]+$", ""))
     return rows.where("t <> ''").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("t")).alias("chars"))
 
 
@@ -96,7 +96,7 @@ def markdown_lines(spark: S, sf: str) -> DataFrame:
 
 @query("html_elements")
 def html_elements(spark: S, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("file_name"), F.col("html").cast("binary").alias("content"))
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("file_name"), F.col("html").cast("binary").alias("content"))
     return G.parse_files(pages).select("doc_id", F.inline("elements")).select("doc_id", "ordinal", "type", "locator", "heading_level", "text")
 
 
@@ -110,7 +110,7 @@ def html_by_type(spark: S, sf: str) -> DataFrame:
 @query("markdown_elements")
 def markdown_elements(spark: S, sf: str) -> DataFrame:
     body = F.concat_ws("\n", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).when(i % 5 == 1, F.concat(F.lit("- "), x)).otherwise(x)), "\n"))
-    rows = table(spark, sf, "documents").select("doc_id", F.lit("a.md").alias("file_name"), body.cast("binary").alias("content"))
+    rows = X.texts(spark, sf).select("doc_id", F.lit("a.md").alias("file_name"), body.cast("binary").alias("content"))
     return G.parse_files(rows).select("doc_id", F.inline("elements")).select("doc_id", "ordinal", "type", "locator", "text")
 
 

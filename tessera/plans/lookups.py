@@ -34,7 +34,7 @@ def text_preview(spark: S, sf: str) -> DataFrame:
     """Previews of all documents; every fifth one is a format without a text preview."""
     name = F.when(F.col("doc_id") % 5 == 0, "doc.xlsx").otherwise("doc.txt")
     shown = T.preview(name, F.col("text"), F.length("text"), F.lit("2024-01-01"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(shown.cast("binary")).alias("digest"))
+    return X.texts(spark, sf).select("doc_id", F.md5(shown.cast("binary")).alias("digest"))
 
 
 _OBJECTS = "(VALUES ('a/b.txt'), ('c\\d.txt'), (' e f '), (''), ('  '), (CAST(NULL AS STRING))) AS t(name)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.operators import retrieval as R
-from tessera.session import table
+from tessera.session import spread, table
 
 FILES = """files AS (
   SELECT d.doc_id AS file_id, 'doc-' || d.doc_id || '.txt' AS file_name, md5(d.text) AS md5, d.doc_id % 20 AS owner_id,
@@ -93,12 +93,17 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
     return roots.unionByName(regions).unionByName(nations)
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, dealt over all cores if they are few."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return D.lines(table(spark, sf, "documents"))
+    return D.lines(texts(spark, sf))
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
 
 
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -25,12 +25,12 @@ def tidy_sql(x: str) -> str:
 
 @query("clean_text", f"SELECT doc_id, md5({tidy_sql('text')}) AS digest FROM documents")
 def clean_text(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("digest"))
+    return X.texts(spark, sf).select("doc_id", F.md5(T.clean(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("token_estimate", f"SELECT doc_id, {X.tokens_sql('text')} AS tokens FROM documents")
 def token_estimate(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return X.texts(spark, sf).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("history_token_estimate", r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\p{Han}')) + greatest(1, floor((len(regexp_extract_all(text, '[^\p{Han}\s]')) + 3) / 4)) + 4 AS BIGINT) AS tokens FROM conversations""")
@@ -93,7 +93,7 @@ def embedding_text(spark: S, sf: str) -> DataFrame:
 
 @query("excerpt", r"SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 240) || '…' END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
 def excerpt(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+    return X.texts(spark, sf).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
 
 
 _CITED = "(VALUES (1, '见【来源#1】及【S2】。'), (2, '无'), (3, '【来源# 12】x【S】【来源#a】')) AS t(id, body)"
@@ -166,7 +166,7 @@ def blank_template(spark: S, sf: str) -> DataFrame:
 def content_hash(spark: S, sf: str) -> DataFrame:
     raw = F.col("text").cast("binary")
     key = F.substring(F.sha2(F.concat(F.lit("scifact:"), F.col("doc_id").cast("string")), 256), 1, 32)
-    return table(spark, sf, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha2(raw, 256).alias("sha256"), key.alias("file_key"))
+    return X.texts(spark, sf).select("doc_id", F.md5(raw).alias("md5"), F.sha2(raw, 256).alias("sha256"), key.alias("file_key"))
 
 
 @query("duplicate_owner_md5", f"WITH {X.FILES} SELECT owner_id, md5, count(*) AS n FROM files GROUP BY ALL HAVING count(*) > 1")
@@ -198,7 +198,7 @@ _SENTENCES = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？
 @query("sentences", f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
 def sentences(spark: S, sf: str) -> DataFrame:
     parts = T.sentences(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+    return X.texts(spark, sf).select("doc_id", F.size(parts).alias("n"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
 
 
 _STAMPS = "(VALUES ('2024-01-02T03:04:05'), ('2024-01-02T03:04'), ('2024-01-02T03'), ('2024-01-02'), ('未知时间'), ('2024/01/02'), (CAST(NULL AS STRING))) AS t(s)"
@@ -241,7 +241,7 @@ def highlight(spark: S, sf: str) -> DataFrame:
 @query("preview", "SELECT doc_id, CASE WHEN strlen(text) <= 10240 THEN 'whole' ELSE 'cut' END AS kind, CAST(least(strlen(text), 10240) AS BIGINT) AS bytes FROM documents")
 def preview(spark: S, sf: str) -> DataFrame:
     size = F.octet_length("text")
-    return table(spark, sf, "documents").select("doc_id", F.when(size <= 10240, "whole").otherwise("cut").alias("kind"), F.least(size, F.lit(10240)).cast("long").alias("bytes"))
+    return X.texts(spark, sf).select("doc_id", F.when(size <= 10240, "whole").otherwise("cut").alias("kind"), F.least(size, F.lit(10240)).cast("long").alias("bytes"))
 
 
 @query("dcg_discount", "SELECT CAST(r AS INTEGER) AS rank, round(1 / log2(r + 1), 9) AS gain FROM range(1, 21) t(r)")

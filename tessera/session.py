@@ -47,6 +47,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over all cores by keys, where their scan is too small to be split for all of them.
+
+    Spark makes no split smaller than ``spark.sql.files.openCostInBytes``, and a file of one row group is read by one task,
+    so a small table of texts is worked on by few cores. A scan of at least that many bytes a core is left as it is: what is
+    shuffled here is bounded by that size, and large tables are not shuffled at all.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if size < least * cores else rows
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the folder that driver and executors share, and read it back: cuts lineage, survives lost executors.
 
