@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import avi, classifier, langid, mixing, pii, quality, simhash, spm, tokens, warc
+from tessera.llm import avi, classifier, importance, langid, merkle, mixing, packing, pii, quality, simhash, spm, tokens, warc
 from tessera.llm.common import held_out
 from tessera.session import prepare, table
 
@@ -70,6 +70,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(prepare(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_spm": op9_spm,
     "op10_langid": op10_langid,
+    "op11_importance": op11_importance,
+    "op12_packing": op12_packing,
+    "op13_merkle": op13_merkle,
     "quality_base": quality_base,
 }
 
@@ -90,4 +105,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.WARC_SQL, "op3_mixing": mixing.MIX_SQL, "quality_base": quality.BASE_SQL}
+    return {"op1_warc": warc.WARC_SQL, "op3_mixing": mixing.MIX_SQL, "op11_importance": importance.RESAMPLE_SQL, "op13_merkle": merkle.MERKLE_SQL, "quality_base": quality.BASE_SQL}
