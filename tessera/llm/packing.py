@@ -13,6 +13,9 @@ driver matches these numbers range against range, and pieces and gaps that meet
 which they are joined: no gap is taken twice, and no conflict needs a second try. Gaps shrink, and the next round starts.
 When no piece fits any gap, the bound for what is left is opened. Every state is a written table.
 
+The last FINISH rows. When no more pieces and gaps than these are left, one range holds them all, and its task sweeps, and
+opens what is needed, until every piece has a place.
+
 Small pieces. Where more than ITEMS pieces would go to a sequence, pieces of up to 1 / SMALL of it are joined in bundles,
 all but some LOOSE a sequence that remain to fill what is left at the end; so rounds don't grow with the number of pieces.
 
@@ -40,16 +43,20 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces a sequence on average beyond which small ones are bundled, what is small, and what stays loose.
 ITEMS, SMALL, LOOSE = 16, 16, 8
-#: Rows of a range at most.
-RANGE_ROWS = 500_000
+#: Rows of a range, and rows at which one range holds all that is left.
+RANGE_ROWS, FINISH = 100_000, 16_000
 #: Bytes of units and ids that a Python worker remembers, in each of two generations; longer units are not remembered.
-CACHE_BYTES, LONGEST = 48 << 20, 64
+CACHE_BYTES, LONGEST = 128 << 20, 64
+#: Bytes that Python needs for an entry beside its key and ids, and words that the library encodes together.
+ENTRY, AT_ONCE = 200, 20_000
 
 # ---------------------------------------------------------------- tokens
 
 #: What Unicode calls white space.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNITS = re.compile(f"[ \\n]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: First bytes of white space beyond ASCII.
+_LEADS = frozenset(b"\xc2\xe1\xe2\xe3")
 _STARTS_WHITE = re.compile(f"[{_WHITE}]")
 
 
@@ -73,7 +80,7 @@ class UnitEncoder:
         self.size = 0
 
     def _library(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         split: list[list[bytes] | None] = []
@@ -110,50 +117,54 @@ class UnitEncoder:
     def _learn(self, keys: Iterable[bytes]) -> dict[bytes, bytes | None]:
         """Make sure that young has the ids of these keys; what is too long to be remembered is returned."""
         wanted = set(keys)
-        new = wanted.difference(self.young)
         if self.size > self.most:
             self.old, self.young, self.size = self.young, {}, 0
-            new = wanted
-        missing, extra = [], {}
-        for key in new:
-            if key in self.old:
-                self._keep(key, self.old[key])
-            else:
-                missing.append(key)
-        for key, ids in self._encoded(missing):
-            if len(key) > LONGEST:
-                extra[key] = ids
-            else:
-                self._keep(key, ids)
+        new = wanted.difference(self.young)
+        known = new.intersection(self.old)
+        names, ids = self._encoded(list(new - known))
+        names += known
+        ids += map(self.old.__getitem__, known)
+        extra = {}
+        if names and len(max(names, key=len)) > LONGEST:
+            extra = {k: v for k, v in zip(names, ids, strict=True) if len(k) > LONGEST}
+            kept = [(k, v) for k, v in zip(names, ids, strict=True) if len(k) <= LONGEST]
+            names, ids = [k for k, _ in kept], [v for _, v in kept]
+        self.young.update(zip(names, ids, strict=True))
+        self.size += ENTRY * len(names) + sum(map(len, names)) + sum(map(len, filter(None, ids)))
         return extra
 
-    def _keep(self, key: bytes, ids: bytes | None) -> None:
-        self.young[key] = ids
-        self.size += 200 + len(key) + len(ids or b"")
-
-    def _encoded(self, keys: list[bytes]) -> Iterator[tuple[bytes, bytes | None]]:
-        spaced, bare = [], []
+    def _encoded(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes | None]]:
+        """Keys with their ids, None for those that begin with white space."""
+        plain, rest = [], []
         for key in keys:
-            text = key.decode()
-            word = text[1:] if text[:1] in (" ", "\n") else text
-            if not word or _STARTS_WHITE.match(word):
-                yield key, None
+            (plain if key and key[0] > 32 and key[0] not in _LEADS else rest).append(key)
+        names, ids = plain, self._together(b" ", plain)
+        bare = []
+        for key in rest:
+            word = key[1:] if key[:1] in (b" ", b"\n") else key
+            if not word or _STARTS_WHITE.match(word.decode()):
+                names, ids = [*names, key], [*ids, None]
+            elif word is key:
+                names, ids = [*names, key], [*ids, *self._together(b" ", [key])]
             else:
-                (spaced if text[:1] not in (" ", "\n") else bare).append((key, word))
+                bare.append(key)
         feed = np.array([self.feed], "<u4").tobytes()
-        for group, before in ((spaced, " "), (bare, "")):
-            for at in range(0, len(group), 5_000):
-                part = group[at : at + 5_000]
-                for (key, _), ids in zip(part, self._together([before + w for _, w in part]), strict=True):
-                    yield key, feed + ids if key[:1] == b"\n" else ids
-
-    def _together(self, units: list[str]) -> list[bytes]:
-        ids = np.array(self._library("\n".join(units)), "<u4")
-        cuts = np.flatnonzero(ids == self.feed)
-        if len(cuts) != len(units) - 1:  # a unit ends with white space, or has a line feed in it
-            return [np.array(self._library(u), "<u4").tobytes() for u in units]
-        raw = ids.tobytes()
-        return [raw[a:z] for a, z in zip([0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True)]
+        found = self._together(b"", [k[1:] for k in bare])
+        return names + bare, ids + [feed + v if k[:1] == b"\n" else v for k, v in zip(bare, found, strict=True)]
+
+    def _together(self, before: bytes, words: list[bytes]) -> list[bytes]:
+        """Ids of each word with what stands before it, encoded many at once with line feeds between them."""
+        out: list[bytes] = []
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            ids = np.array(self._library((before + (b"\n" + before).join(part)).decode()), "<u4")
+            cuts = 4 * np.flatnonzero(ids == self.feed)
+            if len(cuts) != len(part) - 1:  # a word ends with white space, or has a line feed in it
+                out += [np.array(self._library((before + w).decode()), "<u4").tobytes() for w in part]
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
+        return out
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -220,31 +231,56 @@ def least_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> int:
 STATE = "uid long, size int, bin long, gap int, part int, rank long"
 
 
+def swept(pieces: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(size, uid) and (gap, bin) in ascending order -> matches (uid, size, bin, gap), free pieces and free gaps in order.
+
+    Upwards, each gap takes the largest free piece that is not larger than it."""
+    matches, alone, free = [], [], []
+    at, n = 0, len(pieces)
+    for gap, name in gaps:
+        while at < n and pieces[at][0] <= gap:
+            free.append(pieces[at])
+            at += 1
+        if free:
+            size, uid = free.pop()
+            matches.append((uid, size, name, gap))
+        else:
+            alone.append((gap, name))
+    return matches, free + pieces[at:], alone
+
+
+def _sorted_range(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(size, uid) of the pieces and (gap, bin) of the gaps that reach a task, in order."""
+    held: tuple[list, list] = ([], [])
+    for batch in batches:
+        for key, kind, tie in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held[kind].append((key, tie))
+    return sorted(held[0]), sorted(held[1])
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match the pieces and gaps of a range: rows of pieces with their gaps, of free pieces, and of gaps without a piece."""
+    """Rows of a range's matches, of free pieces, and of gaps without a piece, the last two with their rank."""
     part = TaskContext.get().partitionId()
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    key, kind, tie = (table.column(c).to_numpy() for c in ("key", "kind", "tie"))
-    order = np.lexsort((tie, kind, key))
-    free: list[tuple[int, int]] = []
-    rows: list[tuple] = []
-    alone = 0
-    for at, is_gap, name in zip(key[order].tolist(), kind[order].tolist(), tie[order].tolist(), strict=True):
-        if not is_gap:
-            free.append((name, at))
-        elif free:
-            uid, size = free.pop()
-            rows.append((uid, size, name, at, part, None))
-        else:
-            rows.append((None, None, name, at, part, alone))
-            alone += 1
-    rows += [(uid, size, None, None, part, k) for k, (uid, size) in enumerate(free)]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    names = [c.split()[0] for c in STATE.split(", ")]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    matches, free, alone = swept(*_sorted_range(batches))
+    rows: list[tuple] = [(*m, part, None) for m in matches]
+    rows += [(None, None, name, gap, part, k) for k, (gap, name) in enumerate(alone)]
+    rows += [(uid, size, None, None, part, k) for k, (size, uid) in enumerate(free)]
+    if rows:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        names = [c.split()[0] for c in STATE.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def finished(pieces: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, opened: int) -> Iterator[tuple]:
+    """The rounds of one range that holds everything: matches until every piece has a place; sequences are numbered on from opened."""
+    while pieces:
+        if not gaps or gaps[-1][0] < pieces[0][0]:
+            new = least_sequences(Counter(size for size, _ in pieces), capacity)
+            gaps = [(capacity, -1 - k) for k in range(opened, opened + new)]
+            opened += new
+        matches, pieces, gaps = swept(pieces, gaps)
+        yield from matches
+        gaps = sorted([*gaps, *((gap - size, name) for _, size, name, gap in matches if gap > size)])
 
 
 def matched_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -267,16 +303,25 @@ def matched_ranges(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     return found
 
 
-def _round(loose: DataFrame, gaps: DataFrame, tasks: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-    """Placements (uid, size, bin, gap), then the pieces (uid, size) and gaps (bin, gap) that are left."""
-    spark = loose.sparkSession
+def _items(loose: DataFrame, gaps: DataFrame) -> DataFrame:
     items = loose.select(F.col("size").alias("key"), F.lit(0).alias("kind"), F.col("uid").alias("tie"))
-    items = items.unionAll(gaps.select(F.col("gap").alias("key"), F.lit(1).alias("kind"), F.col("bin").alias("tie")))
-    swept = written(items.repartitionByRange(tasks, "key", "kind", "tie").mapInArrow(_sweep, STATE), "packing-round")
-    free, open_ = swept.where("bin IS NULL"), swept.where("uid IS NULL")
-    placed = [swept.where("uid IS NOT NULL AND bin IS NOT NULL").select("uid", "size", "bin", "gap")]
-    counts = swept.where("rank IS NOT NULL").groupBy("part").agg(F.count("bin").alias("gaps"), F.count("uid").alias("free")).collect()
+    return items.unionAll(gaps.select(F.col("gap").alias("key"), F.lit(1).alias("kind"), F.col("bin").alias("tie")))
+
+
+def _round(loose: DataFrame, gaps: DataFrame, tasks: int) -> tuple[list[DataFrame], DataFrame, DataFrame, int, int, bool]:
+    """Placements (uid, size, bin, gap), the pieces (uid, size) and gaps (bin, gap) that are left, their numbers, and whether
+    a piece that is left may still fit a gap that is left."""
+    spark = loose.sparkSession
+    done = written(_items(loose, gaps).repartitionByRange(tasks, "key", "kind", "tie").mapInArrow(_sweep, STATE), "packing-round")
+    free, open_ = done.where("bin IS NULL"), done.where("uid IS NULL")
+    placed = [done.where("uid IS NOT NULL AND bin IS NOT NULL").select("uid", "size", "bin", "gap")]
+    is_free, is_open = F.col("bin").isNull(), F.col("uid").isNull()
+    counts = done.groupBy("part").agg(
+        F.count_if(is_open).alias("gaps"), F.count_if(is_free).alias("free"), F.count_if(F.col("gap") > F.col("size")).alias("new"),
+        F.min(F.when(is_free, F.col("size"))).alias("least"), F.max(F.col("gap") - F.coalesce("size", F.lit(0))).alias("wide"),
+    ).collect()  # fmt: skip  a row a range
     ranges = matched_ranges([(r.part, r.gaps, r.free) for r in counts])
+    met = sum(r[3] - r[2] for r in ranges)
     free, open_ = free.select("uid", "size", "part", "rank"), open_.select("bin", "gap", "part", "rank")
     if ranges:
         # two rows a range at most
@@ -290,7 +335,10 @@ def _round(loose: DataFrame, gaps: DataFrame, tasks: int) -> tuple[list[DataFram
     open_ = open_.select("bin", "gap")
     for p in placed:
         open_ = open_.unionAll(p.where("gap > size").select("bin", (F.col("gap") - F.col("size")).alias("gap")))
-    return placed, free.select("uid", "size"), open_
+    left = sum(r.free for r in counts) - met
+    # of what the ranges matched among themselves no gap is wider than before, and no piece smaller
+    least, wide = min((r.least for r in counts if r.least is not None), default=1), max((r.wide for r in counts), default=0)
+    return placed, free.select("uid", "size"), open_, left, sum(r.gaps + r.new for r in counts), left > 0 and wide >= least
 
 
 def _bundles(loose: DataFrame, share: float, most: int) -> DataFrame:
@@ -317,7 +365,19 @@ def _bundles(loose: DataFrame, share: float, most: int) -> DataFrame:
     return written(loose.select("uid", "size", joined.alias("_own")).mapInArrow(run, "uid long, size int, bundle long, inner int"), "packing-bundles")
 
 
-def best_fit(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _finish(loose: DataFrame, gaps: DataFrame, capacity: int, opened: int) -> DataFrame:
+    """Placements (uid, size, bin, gap) of all pieces that are left, by one range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(finished(*_sorted_range(batches), capacity, opened))
+        if rows:
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["uid", "size", "bin", "gap"])
+
+    return written(_items(loose, gaps).repartition(1).mapInArrow(run, "uid long, size int, bin long, gap int"), "packing-last")
+
+
+def best_fit(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS, finish: int = FINISH) -> DataFrame:
     """uid, sequence_id, offset of every row of a written table (uid, unique and not negative; size, 1 to capacity)."""
     spark = rows.sparkSession
     rows = rows.select("uid", F.col("size").cast("int").alias("size"))
@@ -331,22 +391,22 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_
         few = sum(n for s, n in counts.items() if s <= capacity // SMALL)
         inside = _bundles(loose, min(1.0, LOOSE * bins / max(1, few)), capacity // SMALL)
         loose = inside.groupBy(F.coalesce("bundle", "uid").alias("uid")).agg(F.sum("size").cast("int").alias("size"))
-        counts = counted(loose)
+    found: list[DataFrame] = []
+    opened, left, open_rows, fits = 0, loose.count(), 0, False
     gaps = spark.createDataFrame([], "bin long, gap int")
-    opened, found = 0, []
-    while counts:
-        new = least_sequences(counts, capacity)
-        # no piece that is left fits a gap that is left, so those gaps stay
-        gaps = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).alias("gap"))
-        opened += new
-        left, wide, least = sum(counts.values()), capacity, min(counts)
-        while left and wide >= least:
-            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(left + new) // range_rows))
-            now, loose, gaps = _round(loose, gaps, tasks)
-            found += now
-            ends = loose.agg(F.count("*").alias("left"), F.min("size").alias("least")).crossJoin(gaps.agg(F.max("gap").alias("wide"))).first()
-            left, least, wide = ends.left, ends.least, ends.wide or 0
-        counts = counted(loose) if left else {}
+    cores = spark.sparkContext.defaultParallelism
+    while left:
+        if left + open_rows <= finish:
+            found.append(_finish(loose, gaps, capacity, opened))
+            break
+        if not fits:
+            # no piece that is left fits a gap that is left, so those gaps stay
+            new = least_sequences(counted(loose), capacity)
+            gaps, open_rows = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).alias("gap")), new
+            opened += new
+        now, loose, gaps, rest, open_rows, fits = _round(loose, gaps, max(cores, -(-(left + open_rows) // range_rows)))
+        found += now
+        fits, left = fits and rest < left, rest
     met = [t.select("uid", F.col("bin").alias("sequence_id"), (capacity - F.col("gap")).cast("long").alias("offset")) for t in found]
     if inside is not None and met:
         all_met = met[0]

@@ -194,12 +194,12 @@ def test_unit_memory_is_bounded_by_bytes():
         assert encoder.size < 20_000 + 4 * 52 * 400 and all(len(k) <= packing.LONGEST for k in encoder.young)
 
 
-@pytest.mark.parametrize("name", ["mixed", "halves", "tiny", "one size", "few"])
-def test_best_fit_needs_few_sequences(spark, name):
+@pytest.mark.parametrize("name, finish", [("mixed", 0), ("mixed", 300), ("halves", 0), ("halves", 10_000), ("tiny", 0), ("one size", 0), ("few", 10)])
+def test_best_fit_needs_few_sequences(spark, name, finish):
     rng = random.Random(1)
     sizes = {"mixed": [rng.randint(1, 100) for _ in range(900)], "halves": [rng.randint(45, 60) for _ in range(500)], "tiny": [rng.randint(1, 3) for _ in range(4000)], "one size": [34] * 500, "few": [100, 1]}[name]
     rows = written(spark.createDataFrame(list(enumerate(sizes)), "uid long, size int"), "sizes")
-    got = packing.best_fit(rows, 100, range_rows=150).withColumn("length", F.lit(0).cast("long")).drop("length").join(rows, "uid").withColumnRenamed("size", "length").collect()
+    got = packing.best_fit(rows, 100, range_rows=150, finish=finish).join(rows, "uid").withColumnRenamed("size", "length").collect()
     assert sorted(r.uid for r in got) == list(range(len(sizes)))
     held = check_packed(got, 100)
     assert len(held) <= best_fit_decreasing(sizes, 100) * 1.02 + 2
