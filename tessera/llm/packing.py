@@ -26,6 +26,7 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,7 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _UNITS = re.compile(f"[ \\n]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: First bytes of white space beyond ASCII.
 _LEADS = frozenset(b"\xc2\xe1\xe2\xe3")
+_MARKS, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
 _STARTS_WHITE = re.compile(f"[{_WHITE}]")
 
 
@@ -77,6 +79,7 @@ class UnitEncoder:
         (self.feed,) = self._library("\n")
         self.young: dict[bytes, bytes | None] = {}
         self.old: dict[bytes, bytes | None] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.size = 0
 
     def _library(self, text: str) -> list[int]:
@@ -135,10 +138,28 @@ class UnitEncoder:
 
     def _encoded(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes | None]]:
         """Keys with their ids, None for those that begin with white space."""
-        plain, rest = [], []
+        plain, rest, tailed = [], [], []
         for key in keys:
-            (plain if key and key[0] > 32 and key[0] not in _LEADS else rest).append(key)
-        names, ids = plain, self._together(b" ", plain)
+            if not key or key[0] <= 32 or key[0] in _LEADS:
+                rest.append(key)
+                continue
+            stem = key.rstrip(_MARKS)
+            if len(stem) == len(key) or not stem or not (stem[-1] in _ALNUM or stem[-1] > 127 and stem.decode()[-1].isalnum()):
+                plain.append(key)
+            else:
+                tailed.append((key, stem, key[len(stem) :]))
+        # a run of marks after a letter or digit is split from it, so its ids follow those of the word
+        tails = list({t for _, _, t in tailed} - self.tails.keys())
+        self.tails.update(zip(tails, self._together(b"", tails), strict=True))
+        stems = {s for _, s, _ in tailed}.difference(plain, self.young)
+        words = {s: self.old[s] for s in stems.intersection(self.old)}
+        plain += stems.difference(words)
+        ids = self._together(b" ", plain)
+        words |= zip(plain, ids, strict=True)
+        names = [*plain, *(k for k, _, _ in tailed)]
+        ids += [(words.get(s) or self.young[s]) + self.tails[t] for _, s, t in tailed]
+        if len(self.tails) > 10_000:
+            self.tails = {}
         bare = []
         for key in rest:
             word = key[1:] if key[:1] in (b" ", b"\n") else key
@@ -337,7 +358,7 @@ def _round(loose: DataFrame, gaps: DataFrame, tasks: int) -> tuple[list[DataFram
         open_ = open_.unionAll(p.where("gap > size").select("bin", (F.col("gap") - F.col("size")).alias("gap")))
     left = sum(r.free for r in counts) - met
     # of what the ranges matched among themselves no gap is wider than before, and no piece smaller
-    least, wide = min((r.least for r in counts if r.least is not None), default=1), max((r.wide for r in counts), default=0)
+    least, wide = min((r.least for r in counts if r.least is not None), default=1), max((r.wide for r in counts if r.wide is not None), default=0)
     return placed, free.select("uid", "size"), open_, left, sum(r.gaps + r.new for r in counts), left > 0 and wide >= least
 
 
