@@ -29,8 +29,7 @@ import re
 import string
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +76,8 @@ class UnitEncoder:
         self.library, self.most = Tokenizer.from_file(path), cache
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         (self.feed,) = self._library("\n")
-        self.young: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
+        self.young: dict[bytes, bytes | bool] = {}
+        self.old: dict[bytes, bytes | bool] = {}
         self.tails: dict[bytes, bytes] = {}
         self.size = 0
 
@@ -86,23 +85,29 @@ class UnitEncoder:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split: list[list[bytes] | None] = []
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        found: list[tuple[list[bytes], list, list[int]] | None] = []
         for text in texts:
-            if any(s in text for s in self.special):
-                split.append(None)
-            elif text:
+            words: list[bytes] = []
+            if text:
                 words = text.replace("\n", " \n").encode().split(b" ")
                 words[0] = b" " + words[0]
-                split.append(words)
-            else:
-                split.append([])
-        extra = self._learn(chain.from_iterable(w for w in split if w))
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
+            if any(s in text for s in self.special):
+                found.append(None)
+                continue
+            ids = list(map(self.young.get, words))
+            found.append((words, ids, [k for k, x in enumerate(ids) if x is None] if None in ids else []))
+        new = self._learn({f[0][k] for f in found if f for k in f[2]})
+        for text, held in zip(texts, found, strict=True):
+            if held is None:
                 yield np.array(self._library(text), "<u4")
                 continue
+            words, ids, holes = held
+            for k in holes:
+                ids[k] = new[words[k]]
             try:
-                raw = b"".join(map(self.young.__getitem__, words)) if not extra else b"".join([extra[w] if w in extra else self.young[w] for w in words])
+                raw = b"".join(ids)
             except TypeError:  # a word that begins with white space has no ids of its own
                 raw = self._by_units(text)
             yield np.frombuffer(raw, "<u4")
@@ -112,32 +117,23 @@ class UnitEncoder:
         units = [u.encode() for u in _UNITS.findall(text)]
         # a blank and its word, or a word alone, has a key; white space and line feeds are encoded as they are
         keys = [u[1:] if u[:1] == b" " and len(u) > 1 else u if u[:1] == b"\n" and len(u) > 1 else b" " + u for u in units]
-        extra = self._learn(keys)
-        found = [extra[k] if k in extra else self.young[k] for k in keys]
-        plain = zip(found, units, strict=True)
-        return b"".join(f if f is not None else np.array(self._library(u.decode()), "<u4").tobytes() for f, u in plain)
-
-    def _learn(self, keys: Iterable[bytes]) -> dict[bytes, bytes | None]:
-        """Make sure that young has the ids of these keys; what is too long to be remembered is returned."""
-        wanted = set(keys)
-        if self.size > self.most:
-            self.old, self.young, self.size = self.young, {}, 0
-        new = wanted.difference(self.young)
-        known = new.intersection(self.old)
-        names, ids = self._encoded(list(new - known))
-        names += known
-        ids += map(self.old.__getitem__, known)
-        extra = {}
-        if names and len(max(names, key=len)) > LONGEST:
-            extra = {k: v for k, v in zip(names, ids, strict=True) if len(k) > LONGEST}
-            kept = [(k, v) for k, v in zip(names, ids, strict=True) if len(k) <= LONGEST]
-            names, ids = [k for k, _ in kept], [v for _, v in kept]
-        self.young.update(zip(names, ids, strict=True))
-        self.size += ENTRY * len(names) + sum(map(len, names)) + sum(map(len, filter(None, ids)))
-        return extra
-
-    def _encoded(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes | None]]:
-        """Keys with their ids, None for those that begin with white space."""
+        found = self._learn(set(keys))
+        return b"".join(found[k] or np.array(self._library(u.decode()), "<u4").tobytes() for k, u in zip(keys, units, strict=True))
+
+    def _learn(self, keys: set[bytes]) -> dict[bytes, bytes | bool]:
+        """The ids of these keys, False for those that have none of their own. All but long ones are remembered."""
+        # an intersection with a dictionary would walk through all of it
+        found = {k: self.young[k] for k in keys if k in self.young}
+        new = {k: self.old[k] for k in keys if k in self.old and k not in found}
+        names, ids = self._encoded([k for k in keys if k not in found and k not in new])
+        new.update(zip(names, ids, strict=True))
+        kept = new if not new or len(max(new, key=len)) <= LONGEST else {k: v for k, v in new.items() if len(k) <= LONGEST}
+        self.young.update(kept)
+        self.size += ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, filter(None, kept.values())))
+        return found | new if found else new
+
+    def _encoded(self, keys: list[bytes]) -> tuple[list[bytes], list[bytes | bool]]:
+        """Keys with their ids, False for those that begin with white space."""
         plain, rest, tailed = [], [], []
         for key in keys:
             if not key or key[0] <= 32 or key[0] in _LEADS:
@@ -152,7 +148,7 @@ class UnitEncoder:
         tails = list({t for _, _, t in tailed} - self.tails.keys())
         self.tails.update(zip(tails, self._together(b"", tails), strict=True))
         stems = {s for _, s, _ in tailed}.difference(plain, self.young)
-        words = {s: self.old[s] for s in stems.intersection(self.old)}
+        words = {s: self.old[s] for s in stems if s in self.old}
         plain += stems.difference(words)
         ids = self._together(b" ", plain)
         words |= zip(plain, ids, strict=True)
@@ -164,7 +160,7 @@ class UnitEncoder:
         for key in rest:
             word = key[1:] if key[:1] in (b" ", b"\n") else key
             if not word or _STARTS_WHITE.match(word.decode()):
-                names, ids = [*names, key], [*ids, None]
+                names, ids = [*names, key], [*ids, False]
             elif word is key:
                 names, ids = [*names, key], [*ids, *self._together(b" ", [key])]
             else:
