@@ -5,15 +5,18 @@ dropped). The model reads character classes, and tags B/I per kind or O. It know
 no base pattern has (telephone numbers without a plus, dotted cards, written-out addresses), and a fifth kind, ``secret``:
 the value of a password, token or key, which only its surroundings tell from any other string. It is trained in numpy by
 exact gradients of the CRF likelihood on labelled spans; ``labelled_examples`` makes them from seeded templates, so the model
-does not depend on the table that is scanned and is the same in every run.
-
-Every kind needs a digit, an @ or a written-out at; windows without any (TRIGGER) are O throughout and texts without any are
-not sent to Python. Windows of WINDOW characters start every STRIDE characters around such characters; each is decoded by
-Viterbi, a span counts in the window whose core holds its centre, and over the whole text the set of non-overlapping spans
-with the highest total margin over O is taken.
-
-What is added. A model span is added if it touches no base span, its margin reaches its kind's threshold, and its
-numbers can be what it says (Luhn's sum of a card, parts of an address, count of a telephone number's digits). Thresholds are
+does not depend on the table that is scanned; rounded gradients and parameters make it the same in every run and on every machine.
+
+Every kind has a digit, an @, a written-out at, or, for secrets, an equals sign or colon before it; windows without any
+(TRIGGER) can hold no span by the kinds' definition, and texts without any are not sent to Python. Windows of WINDOW
+characters start every STRIDE characters around such characters; each is decoded by Viterbi, a span counts in the window
+whose core holds its centre. A span that reaches the end of its window counts there; it, and every secret, goes on to the end
+of its token, of any length; a piece that begins with its window belongs to an earlier one. Over the whole text the set of non-overlapping
+spans with the highest total margin over O is taken.
+
+What is added. A model span is added if it touches no base span (a secret may
+have one within it), its margin reaches its kind's threshold, and its
+body can be what it says (see plausible): so a long word or the address of a page is no email. Thresholds are
 calibrated: the smallest at which PRECISION of the proposals on further labelled examples are exact. Base spans always stay.
 """
 
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 #: The base kinds in the order of ties, then the kinds that the model alone finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
 WINDOW, STRIDE = 128, 64
 HIDDEN = 24
 SEED = 11
 #: Labelled texts of training and of calibration, their characters, passes and batches: documented bounds.
-EXAMPLES, CALIBRATION, LENGTH, EPOCHS, BATCH = 4000, 1000, 112, 3, 20
+EXAMPLES, CALIBRATION, LENGTH, EPOCHS, BATCH = 5000, 1500, 112, 4, 20
 PRECISION = 0.985
 Span = tuple[int, int, int]  # start, kind number, end
 
@@ -50,7 +54,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-TRIGGER = r"[0-9@]|[\[(] ?(?i:at) ?[\])]"
+#: What every span of a kind has in it or right before it: a digit, an @ or a written-out at, the sign before a secret.
+TRIGGER = r"[0-9@=:]|[\[(] ?(?i:at) ?[\])]"
 _TRIGGER = re.compile(TRIGGER)
 
 
@@ -98,14 +103,15 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- labelled examples
 
 _CLASSES = np.full(129, 5, dtype=np.int64)  # 0 pads, 5 is any other control character, 128 stands for all beyond ASCII
-_CLASSES[ord("a") : ord("z") + 1] = 1
-_CLASSES[ord("A") : ord("Z") + 1] = 2
 _CLASSES[ord("0") : ord("9") + 1] = 3
 _CLASSES[ord(" ")] = 4
 for _k, _c in enumerate(string.punctuation):
     _CLASSES[ord(_c)] = 7 + _k
 _CLASSES[128] = 6
-N_CLASSES = 7 + len(string.punctuation)
+# every letter is a class, so that the model can read what stands before a value
+for _k, _c in enumerate(string.ascii_letters):
+    _CLASSES[ord(_c)] = 7 + len(string.punctuation) + _k
+N_CLASSES = 7 + len(string.punctuation) + len(string.ascii_letters)
 N_TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
 
@@ -159,8 +165,8 @@ _OTHER_KEYS = ("commit", "sha1", "md5", "hash", "digest", "checksum", "id", "uui
 
 
 def _value(rng: np.random.Generator, pick) -> str:
-    n = int(rng.integers(12, 41))
-    return pick(_of(rng, _HEX, n), _of(rng, _HEX, n), _of(rng, _MIXED, n), _of(rng, _MIXED, n // 2) + _digits(rng, 2), f"sk-{_of(rng, _MIXED, n)}", f"ghp_{_of(rng, _MIXED, 36)}")
+    n = int(rng.integers(12, 41)) if rng.random() < 0.7 else int(rng.integers(41, 84))
+    return pick(_ascii(rng, 10, 25), _of(rng, _HEX, n), _of(rng, _HEX, n), _of(rng, _MIXED, n), _of(rng, _MIXED, n // 2) + _digits(rng, 2), f"sk-{_of(rng, _MIXED, n)}", f"ghp_{_of(rng, _MIXED, 36)}")
 
 
 def _keyed_value(rng: np.random.Generator, keys: tuple[str, ...], pick) -> tuple[str, str, str]:
@@ -169,7 +175,17 @@ def _keyed_value(rng: np.random.Generator, keys: tuple[str, ...], pick) -> tuple
     return before + quote, _value(rng, pick), quote
 
 
+def _long_word(rng: np.random.Generator, pick) -> str:
+    """Compounds, addresses of pages and files, names in code, runs of one letter: long, and nobody's data."""
+    n = int(rng.integers(14, 90))
+    part = lambda: _ascii(rng, 2, 14)
+    joined = lambda by, most=6: by.join(part() for _ in range(rng.integers(2, most)))
+    return pick("".join(part() for _ in range(rng.integers(2, 9))), _of(rng, string.ascii_lowercase, 1) * n, f"http{pick('', 's')}://www.{part()}.com/{joined('/')}", f"//{part()}.{part()}.org/{joined('-')}.html", f"/{joined('/')}.py", joined("_"), part() + "".join(part().capitalize() for _ in range(3)), f"{joined('.')}({part()})", f"{part()}: {part()}", f"{part()}={joined('_')}", f"{part()}:{part()}/{_digits(rng, 4)}")
+
+
 def _distractor(rng: np.random.Generator, pick) -> str:
+    if rng.random() < 0.35:
+        return _long_word(rng, pick)
     d = lambda n: _digits(rng, n)
     plain = (d(4), d(rng.integers(1, 8)), f"{d(1)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"@{_word(rng)}", f"{d(3)},{d(3)}", _of(rng, _HEX, int(rng.integers(8, 41))), f"#{_of(rng, _HEX, 6)}", f'"{d(rng.integers(1, 12))}"', f"{_ascii(rng)}={d(rng.integers(1, 6))}", "".join(_keyed_value(rng, _OTHER_KEYS, pick)), "".join(_keyed_value(rng, _OTHER_KEYS, pick)))
     return plain[rng.integers(0, len(plain))]
@@ -348,8 +364,15 @@ class Model:
         return part
 
 
+def _on_grid(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.round(x * 2.0**bits) / 2.0**bits
+
+
 def train(examples: Iterable[tuple[str, list[Span]]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.025, seed: int = SEED) -> Model:
-    """Adam on the CRF likelihood of labelled texts, each padded to the longest."""
+    """Adam on the CRF likelihood of labelled texts, each padded to the longest.
+
+    Gradients and parameters are rounded to grids far coarser than the last bits in which sums of two machines differ, so
+    the parameters, which would otherwise drift apart within some hundred steps, come out equal."""
     rows = list(examples)
     length = max(len(t) for t, _ in rows)
     ids, tags = np.zeros((len(rows), length), np.int64), np.zeros((len(rows), length), np.int64)
@@ -368,10 +391,12 @@ def train(examples: Iterable[tuple[str, list[Span]]], epochs: int = EPOCHS, batc
             step += 1
             now = rate * (1 - step / (total + 1)) + 1e-4
             for k, g in grads.items():
-                g = g * min(1.0, 5.0 / (norm + 1e-9))
+                # sums differ in their last bits by machine; what is kept of them does not
+                g = _on_grid(g * min(1.0, 5.0 / (norm + 1e-9)), 30)
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
-                model.p[k] -= now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                change = now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                model.p[k] = _on_grid(model.p[k] - change, 20)
     return model
 
 
@@ -381,13 +406,14 @@ def calibrate(model: Model, examples: Iterable[tuple[str, list[Span]]], precisio
     found: list[list[tuple[float, bool]]] = [[] for _ in KINDS]
     for (text, spans), proposed in zip(rows, model_spans([t for t, _ in rows], model), strict=True):
         for start, kind, end, score in proposed:
-            if plausible(text[start:end], kind):
-                found[kind].append((score, (start, kind, end) in spans))
+            found[kind].append((score, (start, kind, end) in spans))
     for kind, scored in enumerate(found):
         scored.sort(reverse=True)
         right = np.cumsum([ok for _, ok in scored])
         good = np.flatnonzero(right >= precision * np.arange(1, len(scored) + 1))
-        model.threshold[kind] = scored[good[-1]][0] if len(good) else np.inf
+        # where all that is found is precise enough, a smaller margin than any seen is no reason against a span
+        low = 0.0 if len(good) and good[-1] == len(scored) - 1 else np.inf
+        model.threshold[kind] = min(low, np.floor(scored[good[-1]][0] * 1000) / 1000) if len(good) else np.inf
 
 
 @lru_cache(maxsize=1)
@@ -440,8 +466,16 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return sorted(chosen)
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=~%@-]*(?:\.[A-Za-z0-9_+/=~%@-]+)*")
+
+
+def token_end(text: str, at: int) -> int:
+    """Where the run of letters, digits and joints that goes on at this place ends; a full stop at its end is not of it."""
+    return _TOKEN.match(text, at).end()
+
+
 def model_spans(texts: list[str], model: Model, at_once: int = 128) -> list[list[tuple[int, int, int, float]]]:
-    """Globally reconciled spans of each text, with their margins over O."""
+    """Plausible spans of each text, globally reconciled, with their margins over O."""
     codes = [classes_of(t) for t in texts]
     jobs = [(k, w) for k, t in enumerate(texts) for w in windows_of(t)]
     scored: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
@@ -457,32 +491,49 @@ def model_spans(texts: list[str], model: Model, at_once: int = 128) -> list[list
             k, w = part[row]
             size = len(codes[k])
             for start, kind, end, score in _spans_in(tags[row], margin[row]):
-                centre = (start + end) / 2
-                inside = (centre >= edge or w == 0) and (centre < WINDOW - edge or w + WINDOW >= size)
-                if inside and w + end <= size:
-                    scored[k].append((w + start, kind, w + end, score))
+                if start == 0 and w or w + end > size:
+                    continue  # it begins in an earlier window, or ends beyond the text
+                last, centre = w + end, (start + end) / 2
+                cut = end == WINDOW and last < size
+                if cut or kind == SECRET:
+                    # a secret is a whole token, and only tokens are as long as to be cut by a window
+                    last = token_end(texts[k], last)
+                core = (centre >= edge or w == 0) and (centre < WINDOW - edge or w + WINDOW >= size)
+                # what cannot be of its kind must not win over what can
+                if (cut or core) and plausible(texts[k], w + start, kind, last):
+                    scored[k].append((w + start, kind, last, score))
     return [reconcile(x) for x in scored]
 
 
 _NUMBERS = re.compile(r"[0-9]+")
 
 
-def plausible(body: str, kind: int) -> bool:
-    """Whether the numbers in a span can be what the model says; an address or secret is not looked into."""
+_WRITTEN_EMAIL = re.compile(r"[^\s@()\[\]]+(@| ?[\[(] ?at ?[\])] ?)[^\s@()\[\]]+?((\.| ?[\[(] ?dot ?[\])] ?)[^\s@()\[\].]+)+", re.IGNORECASE)
+_BEFORE_SECRET = re.compile(r"[=:] ?[\"']?$")
+
+
+def plausible(text: str, start: int, kind: int, end: int) -> bool:
+    """Whether a span can be what the model says: an address has an at and a dot, in one spelling or the other; numbers have
+    the parts, sum or count of digits that theirs must have; a secret has no white space, and an equals sign or colon before it."""
+    body = text[start:end]
+    if kind == 0:
+        return _WRITTEN_EMAIL.fullmatch(body) is not None
     if kind == 1:
         parts = [p.lstrip("0") for p in _NUMBERS.findall(body)]
         return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     if kind == 2:
         return is_card(body)
-    return kind != 3 or is_phone(body)
+    if kind == 3:
+        return is_phone(body)
+    return len(body) >= 8 and not re.search(r"\s", body) and _BEFORE_SECRET.search(text[max(0, start - 3) : start]) is not None
 
 
-def added_spans(text: str, base: list[Span], proposed: list[tuple[int, int, int, float]], threshold: np.ndarray) -> list[Span]:
-    """Model spans that reach their kind's threshold, touch no base span, and whose numbers are plausible."""
+def added_spans(base: list[Span], proposed: list[tuple[int, int, int, float]], threshold: np.ndarray) -> list[Span]:
+    """Model spans that reach their kind's threshold and touch no base span; a secret may have base spans within it."""
     kept: list[Span] = []
     for start, kind, end, score in proposed:
-        clear = not any(start < e and s < end for s, _, e in base)
-        if clear and score >= threshold[kind] and plausible(text[start:end], kind):
+        clear = not any(start < e and s < end and not (kind == SECRET and start <= s and e <= end) for s, _, e in base)
+        if clear and score >= threshold[kind]:
             kept.append((start, kind, end))
     return kept
 
@@ -493,7 +544,7 @@ def find_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Sp
     found: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
     for k, proposed in zip(full, model_spans([texts[k] for k in full], model), strict=True):
         base = base_spans(texts[k])
-        found[k] = (base, sorted(base + added_spans(texts[k], base, proposed, model.threshold)))
+        found[k] = (base, sorted(base + added_spans(base, proposed, model.threshold)))
     return found
 
 

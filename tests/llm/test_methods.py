@@ -230,6 +230,60 @@ def test_model_adds_and_base_stays():
     assert {"(743) 555-3824", "3d4bc476f7469ffa8a"} <= {text[a:z] for a, _, z in every}
 
 
+CLEAN = [
+    "the 1st Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft of 7",
+    "see 3 at //www.verylongdomainnamewithoutanydigitsinitatall.com/path and https://docs.example.org/a/b/c.html 9",
+    "7 " + "z" * 100 + " 8 " + "y" * 72 + " 5",
+    "x = some_function_name(arg) : 3 items, key: value, commit=3d4bc476f7469ffa8a, ratio: 3/4",
+    "at 10:30 p=q, a@ b, version 1.2.3.4567, 12345678901234",
+]
+
+
+def test_long_words_and_addresses_are_no_personal_data():
+    assert [x[1] for x in pii.find_spans(CLEAN, pii.default_model())] == [[]] * len(CLEAN)
+
+
+@pytest.mark.parametrize("size", [9, 60, 130, 200, 5000])
+@pytest.mark.parametrize("before", ["", "word " * 30, "é" * 77])
+def test_secrets_of_any_length_are_whole(size, before):
+    secret = "".join(random.Random(size).choices("0123456789abcdef", k=size))
+    text = f'{before}a token = "{secret}" and more 4 words'
+    at = text.index(secret)
+    assert (at, pii.SECRET, at + size) in pii.find_spans([text], pii.default_model())[0][1]
+    assert secret[-9:] not in pii.redact(text, pii.find_spans([text], pii.default_model())[0][1])
+
+
+def test_passwords_without_a_digit_are_found():
+    text = "so password=correcthorsebattery it is"
+    assert "correcthorsebattery" in {text[a:z] for a, _, z in pii.find_spans([text], pii.default_model())[0][1]}
+
+
+def test_planted_tokens_are_found(spark):
+    """Recall after thresholds on the tokens that the tables hold, and precision of what is added beside base spans."""
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    planted = found = others = 0
+    for text, (base, every) in zip(rows, pii.find_spans(rows, pii.default_model()), strict=True):
+        want = {m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', text)}
+        new = {(a, z) for a, _, z in set(every) - set(base)}
+        planted, found, others = planted + len(want), found + len(want & new), others + len(new - want)
+    assert planted > 100 and found >= 0.9 * planted and others <= 0.1 * planted
+
+
+def test_training_is_the_same_whatever_the_order_of_sums(monkeypatch):
+    """Gradients that differ in their last bits, as on another machine, give the same parameters."""
+    plain = pii.train(pii.labelled_examples(60), epochs=2)
+    exact = pii.Model.step
+
+    def other(self, ids, tags):
+        loss, grads = exact(self, ids, tags)
+        rng = np.random.default_rng(len(ids))
+        return loss, {k: g * (1 + rng.uniform(-4e-16, 4e-16, g.shape)) for k, g in grads.items()}
+
+    monkeypatch.setattr(pii.Model, "step", other)
+    moved = pii.train(pii.labelled_examples(60), epochs=2)
+    assert all(np.array_equal(plain.p[k], moved.p[k]) for k in plain.p)
+
+
 def test_clean_texts_stay_clean(spark):
     """Texts without a base span, password or token: nothing is added to nearly all of them."""
     rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
