@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import conversation, documents, retrieval
 from tessera.operators.embedding import Embedder, embed_chunks
+from tessera.session import written
 from tessera.sources import files as sources
 
 log = logging.getLogger(__name__)
@@ -71,18 +73,24 @@ def hybrid_search(
 def hybrid_search_or_less(chunks: DataFrame, queries: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 10, principals: DataFrame | None = None, **options) -> tuple[DataFrame, str]:
     """hybrid_search with query vectors from a service that may fail, and how far it came: the rows and the step.
 
-    embed adds a vector to queries. Where it raises, or leaves out all vectors, the search is text-only; where that fails as
-    well, an asker with permissions gets no rows, and one without the error.
+    embed adds a vector to queries. Where it raises, or leaves out all vectors, the search is text-only; where it leaves out
+    some, those queries alone are. Each step's rows are written
+    before they are returned, so a step that fails while it runs gives way to the next one. Where the text-only search
+    fails as well, an asker with permissions gets no rows, and one without the error.
     """
     try:
         asked = embed(queries)
         if "vector" in asked.columns and not asked.where(F.col("vector").isNotNull()).isEmpty():
-            return hybrid_search(chunks, asked, k, principals, **options), "hybrid"
-    except (PySparkException, RuntimeError, OSError) as e:
+            rows = hybrid_search(chunks, asked.where(F.col("vector").isNotNull()), k, principals, **options)
+            without = asked.where(F.col("vector").isNull()).drop("vector")
+            if not without.isEmpty():
+                rows = rows.unionByName(hybrid_search(chunks, without, k, principals, **options))
+            return written(rows, "hybrid"), "hybrid"
+    except (PySparkException, Py4JError, RuntimeError, OSError) as e:
         log.warning("no query vectors, the search is text-only: %s", e)
     try:
-        return hybrid_search(chunks, queries.drop("vector"), k, principals, **options), "text"
-    except PySparkException:
+        return written(hybrid_search(chunks, queries.drop("vector"), k, principals, **options), "text"), "text"
+    except (PySparkException, Py4JError):
         if principals is None:
             raise
         return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank long"), "nothing"

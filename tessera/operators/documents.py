@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,29 +215,41 @@ def plan_sections(elements: list[Element]) -> list[tuple[str | None, list[Elemen
     return [(None, p) for p in packed]
 
 
-def _pieces(text: str, capacity: int) -> list[str]:
-    """Sentences, else words, else characters, packed to the capacity and joined by blanks."""
-    packed: list[str] = []
-
-    def add(part: str) -> None:
-        value = part.strip(_STRIP)
-        if not value:
-            return
-        if estimate(value) > capacity:
-            for word in re.split(r"(?<=\s)|(?=\s)", value):
-                if estimate(word) > capacity:
-                    for character in word:
-                        add(character)
-                else:
-                    add(word)
-        elif packed and estimate(f"{packed[-1]} {value}") <= capacity:
-            packed[-1] = f"{packed[-1]} {value}"
-        else:
-            packed.append(value)
+_SENTENCE_END, _BLANK = re.compile(r"[。！？；.!?;\n]"), re.compile(r"\s")
+
 
-    for sentence in re.split(r"(?<=[。！？；.!?;])|(?<=\n)", text):
-        add(sentence)
-    return packed
+def _atoms(text: str, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets that cut a text into parts of at most the capacity, and the tokens of each part.
+
+    Offsets are of three classes, sentence ends, borders of words and all characters; those of a finer class count only
+    within parts that the coarser ones leave too large. Tokens of a part are a difference of token numbers at its offsets.
+    """
+    starts = np.fromiter((m.start() for m in _RUNS.finditer(text)), np.int64)
+    blanks = np.fromiter((m.start() for m in _BLANK.finditer(text)), np.int64)
+    edges = np.unique(np.concatenate([[0, len(text)], np.fromiter((m.end() for m in _SENTENCE_END.finditer(text)), np.int64)]))
+    for finer in (np.concatenate([blanks, blanks + 1]), np.arange(len(text))):
+        large = np.append(np.diff(np.searchsorted(starts, edges)) > capacity, False)
+        edges = np.union1d(edges, finer[large[np.searchsorted(edges, finer, side="right") - 1]])
+    cost = np.diff(np.searchsorted(starts, edges))
+    # a character alone is a token, also one from the middle of a run
+    single = np.diff(edges) == 1
+    cost[single] = ~np.isin(edges[:-1][single], blanks)
+    return edges, cost
+
+
+def pieces(text: str, capacity: int) -> list[str]:
+    """A text in pieces of at most the capacity: as many of its parts as fit, joined by blanks, from each piece on anew."""
+    edges, cost = _atoms(text, capacity)
+    parts = [text[a:z].strip(_STRIP) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    kept = [k for k, part in enumerate(parts) if part]
+    total = np.cumsum(cost[kept])
+    out: list[str] = []
+    at, before = 0, 0
+    while at < len(kept):
+        end = max(at + 1, int(np.searchsorted(total, before + capacity, side="right")))
+        out.append(" ".join(parts[k] for k in kept[at:end]))
+        at, before = end, int(total[end - 1])
+    return out
 
 
 def _tail(text: str, tokens: int) -> str:
@@ -261,9 +274,9 @@ def split_long(element: Element, capacity: int) -> list[Element]:
                 parts.append([rows[0]])
             parts[-1].append(row)
         return [replace(element, text="\n".join(p)) for p in parts]
-    pieces = _pieces(element.text, max(1, capacity - OVERLAP))
+    cut = pieces(element.text, max(1, capacity - OVERLAP))
     kind = "NARRATIVE" if element.type == "TABLE" else element.type
-    return [replace(element, type=kind, text=p if k == 0 else f"{_tail(pieces[k - 1], OVERLAP)}\n{p}") for k, p in enumerate(pieces)]
+    return [replace(element, type=kind, text=p if k == 0 else f"{_tail(cut[k - 1], OVERLAP)}\n{p}") for k, p in enumerate(cut)]
 
 
 def _draft(prefix: str, elements: list[Element]) -> Chunk:

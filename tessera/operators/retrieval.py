@@ -115,77 +115,84 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL, permissions: bo
 
     A matrix product per Arrow batch; a partition keeps its k best so far per query and gives them once, at its end, so only
     k rows a query and partition cross to the JVM. Queries are collected in
-    blocks of QUERY_BLOCK. Vectors of length 0 or of another dimension have no neighbours. With permissions, vectors also
+    blocks of QUERY_BLOCK. A query meets the vectors of its own dimension; null vectors and those of length 0 have no neighbours. With permissions, vectors also
     have owner_id, is_public and org_tag, and queries user_id and tags: the filter applies before the k best are taken.
     """
-    schema = "query_id long, chunk_id long, score double"
     total = queries.count()
-    found = None
     asked = ["query_id", "vector"] + (["user_id", "tags"] if permissions else [])
     held = ["chunk_id", "vector"] + (["owner_id", "is_public", "org_tag"] if permissions else [])
-    for block in range(max(1, -(-total // QUERY_BLOCK))):
-        part = queries if total <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-total // QUERY_BLOCK))) == block)
-        rows = part.select(*asked).collect()
-        dims = {len(r["vector"]) for r in rows}
-        who = [(r["user_id"], frozenset(r["tags"])) for r in rows] if permissions else None
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64) if len(dims) == 1 else None
-        scored = vectors.select(*held).mapInPandas(_nothing if matrix is None else _nearest([r["query_id"] for r in rows], matrix, k, who), schema)
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.select(*asked).where(F.size("vector") > 0).collect()
+        scored = vectors.select(*held).mapInPandas(_nearest(rows, k, permissions), "query_id long, chunk_id long, score double")
         found = scored if found is None else found.unionByName(scored)
     return top(found.withColumn("score", F.round("score", 9)), k)
 
 
-def _nothing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _ in batches:
-        yield pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-
-
-def _nearest(ids: list[int], matrix: np.ndarray, k: int, who: list[tuple] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    norms = np.linalg.norm(matrix, axis=1)
-    good = norms > 0
-    unit = matrix[good] / norms[good, None]
-    kept = np.array(ids)[good]
-    principals = [w for w, g in zip(who, good, strict=True) if g] if who else None
-
-    def best(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k highest of each row, ties by id: rounded scores and ids, short rows filled with -inf."""
-        order = np.lexsort((np.broadcast_to(chunk, score.shape), -score), axis=1)[:, :k]
-        return np.take_along_axis(score, order, axis=1), np.take_along_axis(np.broadcast_to(chunk, score.shape), order, axis=1)
-
-    def candidates(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if score.shape[1] <= 4 * k:
-            return best(score, chunk)
-        # all columns that hold a value at or above some row's k-th: ties are then broken among them alone
-        kth = np.partition(score, -k, axis=1)[:, -k]
-        width = int((score >= kth[:, None]).sum(axis=1).max())
-        at = np.argpartition(-score, width - 1, axis=1)[:, :width]
-        return best_of(np.take_along_axis(score, at, axis=1), chunk[at])
-
-    def best_of(score: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((chunk, -score), axis=1)[:, :k]
-        return np.take_along_axis(score, order, axis=1), np.take_along_axis(chunk, order, axis=1)
+class _Nearest:
+    """The k best so far of the queries of one dimension, as two arrays with a row a query: scores descending, ids."""
+
+    def __init__(self, rows: list, k: int, permissions: bool):
+        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+        norms = np.linalg.norm(matrix, axis=1)
+        kept = [r for r, n in zip(rows, norms, strict=True) if n > 0]
+        self.unit, self.ids, self.k = matrix[norms > 0] / norms[norms > 0, None], np.array([r["query_id"] for r in kept]), k
+        #: Rows of the queries of each asker.
+        self.askers: dict[tuple, list[int]] = {}
+        for at, r in enumerate(kept if permissions else []):
+            self.askers.setdefault((r["user_id"], frozenset(r["tags"] or ())), []).append(at)
+        self.score, self.chunk = np.full((len(kept), k), -np.inf), np.zeros((len(kept), k), np.int64)
+
+    def see(self, pdf: pd.DataFrame, vectors: np.ndarray) -> None:
+        score = np.round(self.unit @ vectors.T, 9)
+        if self.askers:
+            owner, public, tag = (pdf[c].to_numpy() for c in ("owner_id", "is_public", "org_tag"))
+            classes, which = np.unique(tag.astype(str), return_inverse=True)
+            for (user, tags), rows in self.askers.items():
+                held = np.fromiter((t in tags for t in classes), bool, len(classes))
+                score[np.ix_(rows, np.flatnonzero(~(public.astype(bool) | (owner == user) | held[which])))] = -np.inf
+        # only what reaches a query's k-th score so far can change its k best
+        reach = (score >= self.score[:, -1:]) & (score > -np.inf)
+        count = reach.sum(axis=1)
+        rows = np.flatnonzero(count)
+        if not len(rows):
+            return
+        width = min(int(count.max()), score.shape[1])
+        near = score[rows]
+        at = np.argpartition(-near, width - 1, axis=1)[:, :width]
+        chunk = pdf["chunk_id"].to_numpy().astype(np.int64)
+        near, chunk = np.concatenate([self.score[rows], np.take_along_axis(near, at, axis=1)], axis=1), np.concatenate([self.chunk[rows], chunk[at]], axis=1)
+        order = np.lexsort((chunk, -near), axis=1)[:, : self.k]
+        self.score[rows], self.chunk[rows] = np.take_along_axis(near, order, axis=1), np.take_along_axis(chunk, order, axis=1)
+
+    def found(self) -> pd.DataFrame:
+        good = self.score > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(self.ids, good.sum(axis=1)), "chunk_id": self.chunk[good], "score": self.score[good]})
+
+
+def _nearest(rows: list, k: int, permissions: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    groups: dict[int, list] = {}
+    for r in rows:
+        groups.setdefault(len(r["vector"]), []).append(r)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top_score, top_chunk = np.zeros((len(kept), 0)), np.zeros((len(kept), 0), np.int64)
+        best = {size: _Nearest(group, k, permissions) for size, group in groups.items()}
         for whole in batches:
             for at in range(0, len(whole), BATCH_ROWS):
                 pdf = whole.iloc[at : at + BATCH_ROWS]
-                fits = pdf[pdf["vector"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
-                if not len(fits) or not len(kept):
-                    continue
-                v = np.stack(fits["vector"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(v, axis=1)
-                fits, v = fits[size > 0], v[size > 0] / size[size > 0, None]
-                score = np.round(unit @ v.T, 9)
-                if principals:
-                    owner, public, tag = (fits[c].to_numpy() for c in ("owner_id", "is_public", "org_tag"))
-                    classes, which = np.unique(tag.astype(str), return_inverse=True)
-                    for q, (user, tags) in enumerate(principals):
-                        held = np.fromiter((t in tags for t in classes), bool, len(classes))
-                        score[q, ~(public.astype(bool) | (owner == user) | held[which])] = -np.inf
-                now = candidates(score, fits["chunk_id"].to_numpy().astype(np.int64))
-                top_score, top_chunk = best_of(np.concatenate([top_score, now[0]], axis=1), np.concatenate([top_chunk, now[1]], axis=1))
-        row, col = np.nonzero(np.isfinite(top_score))
-        yield pd.DataFrame({"query_id": kept[row], "chunk_id": top_chunk[row, col], "score": top_score[row, col]})
+                sizes = pdf["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+                for size, near in best.items():
+                    fits = pdf[sizes == size]
+                    if not len(fits) or not len(near.ids):
+                        continue
+                    v = np.stack(fits["vector"].to_numpy()).astype(np.float64)
+                    length = np.linalg.norm(v, axis=1)
+                    if (length > 0).any():
+                        near.see(fits[length > 0], v[length > 0] / length[length > 0, None])
+        for near in best.values():
+            yield near.found()
 
     return run
 

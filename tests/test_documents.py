@@ -1,6 +1,8 @@
 """Sections, chunks and readers."""
 
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -146,3 +148,24 @@ def test_claims_and_corpus(spark, tmp_path):
         G.read_claims(spark, str(tmp_path / "claims.jsonl"), 2)
     rows, bad = G.read_corpus(spark, str(tmp_path / "corpus.jsonl"))
     assert [(r.doc_id, r.title) for r in rows.collect()] == [("d1", "new")] and bad == 1
+
+
+def test_pieces_take_as_many_parts_as_fit():
+    rng = random.Random(7)
+    parts = ["a", "bc1", "漢", "字", "。", " ", "  ", "\n", ".", "!", "x" * 9, "é", "？", "-"]
+    for _ in range(2000):
+        text, capacity = "".join(rng.choice(parts) for _ in range(rng.randint(0, 50))), rng.randint(1, 12)
+        cut = D.pieces(text, capacity)
+        atoms = []
+        for sentence in re.findall(r"[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$", text):
+            words = [sentence.strip()] if D.estimate(sentence) <= capacity else sentence.split()
+            for word in words:
+                atoms += [word] if D.estimate(word) <= capacity else list(word)
+        want, used = [], 0
+        for atom in filter(None, atoms):
+            cost = D.estimate(atom)
+            if want and used + cost <= capacity:
+                want[-1], used = f"{want[-1]} {atom}", used + cost
+            else:
+                want, used = [*want, atom], cost
+        assert cut == want and all(D.estimate(p) <= capacity for p in cut)
