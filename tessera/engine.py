@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import conversation, documents, retrieval
+from tessera.operators import conversation, documents, pruned, retrieval
 from tessera.operators.embedding import Embedder, embed_chunks
 from tessera.session import written
 from tessera.sources import files as sources
@@ -55,15 +55,15 @@ def hybrid_search(
     queries have no vector column the search is text-only; under principals such hits need a score of MIN_SCORE. han: Han
     text is searched by bigrams.
     """
-    keyword = retrieval.bm25(chunks, queries, principals, han)
     if "vector" not in chunks.columns or "vector" not in queries.columns:
-        if principals is not None:
-            keyword = keyword.where(F.col("score") >= retrieval.MIN_SCORE)
-        return retrieval.top(keyword, k).select("query_id", "chunk_id", "rank")
+        # the best are a prefix, so those of a least score among them are too
+        keyword = pruned.bm25_top(chunks, queries, k, principals, han=han)
+        return keyword.where(F.col("score") >= (0.0 if principals is None else retrieval.MIN_SCORE)).select("query_id", "chunk_id", "rank")
+    keyword = pruned.bm25_top(chunks, queries, max(k, retrieval.RECALL), principals, han=han)
     asked = queries if principals is None else queries.join(principals, "query_id")
     vector = retrieval.knn(chunks, asked, max(k, retrieval.RECALL), permissions=principals is not None)
     limit = retrieval.fusion_limit(k, reranker is not None)
-    fused = retrieval.fuse(retrieval.top(keyword, max(k, retrieval.RECALL)), vector, *weights, limit)
+    fused = retrieval.fuse(keyword, vector, *weights, limit)
     if reranker is None:
         return fused.select("query_id", "chunk_id", "rank")
     texts = fused.join(queries.select("query_id", "query_text"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")

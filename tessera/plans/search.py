@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import access as A
 from tessera.operators import conversation as C
 from tessera.operators import evaluation as E
+from tessera.operators import pruned as P
 from tessera.operators import retrieval as R
 from tessera.plans import roles as X
 from tessera.plans.registry import query
@@ -21,7 +22,7 @@ ASKER = "(item_id % 20) + 1"
 
 
 def _keyword(spark: S, sf: str, k: int = R.RECALL) -> DataFrame:
-    return R.top(R.bm25(X.chunks(spark, sf), X.text_queries(spark, sf)), k)
+    return P.bm25_top(X.chunks(spark, sf), X.text_queries(spark, sf), k)
 
 
 def _vector(spark: S, sf: str, k: int = R.RECALL) -> DataFrame:
@@ -101,7 +102,7 @@ FROM fused JOIN (SELECT doc_id AS chunk_id, trim(regexp_replace(regexp_replace(t
 def hybrid_search_topk(spark: S, sf: str) -> DataFrame:
     """Permission-filtered BM25 and cosine top 100, weighted fusion, top 10, with source labels."""
     access, principals = _chunk_access(spark, sf), _principals(spark, sf)
-    keyword = R.top(R.bm25(X.chunks(spark, sf).join(access, "chunk_id"), X.text_queries(spark, sf), principals), R.RECALL)
+    keyword = P.bm25_top(X.chunks(spark, sf), X.text_queries(spark, sf), R.RECALL, principals, access)
     asked = X.vector_queries(spark, sf).join(principals, "query_id")
     vector = R.knn(X.vectors(spark, sf).join(access, "chunk_id"), asked, R.RECALL, permissions=True)
     fused = R.fuse(keyword, vector, R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT, 10)
@@ -118,8 +119,8 @@ def hybrid_search_unfiltered(spark: S, sf: str) -> DataFrame:
 
 @query("text_only_min_score", f"WITH RECURSIVE {_ALLOWED_SQL}, {X.ANALYZED} SELECT * FROM {X.ranked_sql('bm', 10, _MAY + ' WHERE score >= 0.3')}")
 def text_only_min_score(spark: S, sf: str) -> DataFrame:
-    scored = R.bm25(X.chunks(spark, sf).join(_chunk_access(spark, sf), "chunk_id"), X.text_queries(spark, sf), _principals(spark, sf))
-    return R.top(scored.where(F.col("score") >= R.MIN_SCORE), 10).select("query_id", "chunk_id", "score", "rank")
+    hits = P.bm25_top(X.chunks(spark, sf), X.text_queries(spark, sf), 10, _principals(spark, sf), _chunk_access(spark, sf))
+    return hits.where(F.col("score") >= R.MIN_SCORE).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("text_only_unfiltered", f"WITH {X.ANALYZED} SELECT query_id, chunk_id, rank FROM {X.ranked_sql('bm', 10)}")
