@@ -57,6 +57,11 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 _UNITS = re.compile(f"[ \\n]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: First bytes of white space beyond ASCII.
 _LEADS = frozenset(b"\xc2\xe1\xe2\xe3")
+#: Keys of a comma and a full stop that stand after a letter or digit and before a blank: there, too, no token goes on.
+_COMMA, _STOP = b"\x01", b"\x02"
+_SIGNS = {_COMMA: b",", _STOP: b"."}
+#: A comma or full stop and a blank, without an ASCII letter or digit, or a Latin letter beyond ASCII, before them.
+_NO_WORD_BEFORE = re.compile(rb"(?:^|[^0-9A-Za-z\x80-\xff]|[^\xc3][\x80-\xbf]|\xc3[\x97\xb7])[,.] ")
 _MARKS, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
 _STARTS_WHITE = re.compile(f"[{_WHITE}]")
 
@@ -64,9 +69,10 @@ _STARTS_WHITE = re.compile(f"[{_WHITE}]")
 class UnitEncoder:
     """Encodes texts with a byte-level tokenizer, one distinct unit at a time.
 
-    Texts whose only white space is single blanks and line feeds between words are split at those; a key is the word after
-    a blank, the line feed and its word, or, where a text begins, a blank and the word (no other key has a blank). Other
-    texts are split by the pattern of units, and texts with a special token are left to the library. Unknown units are
+    Texts whose only white space is single blanks and line feeds between words are split at those, and before commas and
+    full stops that end a word; a key is the word after a blank, the line feed and its word, the sign's own, or, where a text
+    begins, a blank and the word (no other key has a blank). Other texts are split by the pattern of units, and texts with a
+    special token, or a character that stands for a sign, are left to the library. Unknown units are
     encoded together with line feeds between them. Units are remembered in two generations of CACHE_BYTES at most.
     """
 
@@ -89,13 +95,15 @@ class UnitEncoder:
             self.old, self.young, self.size = self.young, {}, 0
         found: list[tuple[list[bytes], list, list[int]] | None] = []
         for text in texts:
-            words: list[bytes] = []
-            if text:
-                words = text.replace("\n", " \n").encode().split(b" ")
-                words[0] = b" " + words[0]
-            if any(s in text for s in self.special):
+            raw = text.replace("\n", " \n").encode()
+            if _COMMA in raw or _STOP in raw or any(s in text for s in self.special):
                 found.append(None)
                 continue
+            if not _NO_WORD_BEFORE.search(raw):
+                raw = raw.replace(b", ", b" " + _COMMA + b" ").replace(b". ", b" " + _STOP + b" ")
+            words: list[bytes] = raw.split(b" ") if raw else []
+            if raw:
+                words[0] = b" " + words[0]
             ids = list(map(self.young.get, words))
             found.append((words, ids, [k for k, x in enumerate(ids) if x is None] if None in ids else []))
         new = self._learn({f[0][k] for f in found if f for k in f[2]})
@@ -158,6 +166,9 @@ class UnitEncoder:
             self.tails = {}
         bare = []
         for key in rest:
+            if key in _SIGNS:
+                names, ids = [*names, key], [*ids, *self._together(b"", [_SIGNS[key]])]
+                continue
             word = key[1:] if key[:1] in (b" ", b"\n") else key
             if not word or _STARTS_WHITE.match(word.decode()):
                 names, ids = [*names, key], [*ids, False]
