@@ -39,8 +39,8 @@ MOST_PARTITIONS = 100_000
 END_ID = 1
 #: A control character that stands between words which are encoded together.
 MARK = b"\x01"
-#: Words whose ids a Python worker remembers.
-CACHE = 400_000
+#: Words whose ids a Python worker remembers, and the bytes of the longest of them.
+CACHE, LONGEST = 400_000, 64
 
 
 def _planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -94,7 +94,8 @@ class WordEncoder:
     Such tokenizers drop white space before they merge, so the ids of a text are those of its blank-separated words one
     after the other. They also lower-case, so A-Z is lowered first (except in texts that may spell a special token).
     Unknown words of a batch are encoded by the library as one text. Words are remembered in two generations of at most
-    ``cache`` each: when the young one is full it becomes the old one, and words that come again move back.
+    ``cache`` each, of at most LONGEST bytes a word, so memory is bounded whatever the texts: when the young one is full it
+    becomes the old one, and words that come again move back.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -123,10 +124,13 @@ class WordEncoder:
                 missing.append(word)
             else:
                 young[word] = known
-        young.update(self._encoded(missing))
+        fresh = dict(self._encoded(missing))
+        # long words, of which few come again, serve this batch and are not remembered
+        long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > LONGEST]}
+        young.update(fresh)
         for words in split:
-            yield np.frombuffer(b"".join(map(young.__getitem__, words)), "<u4")
-
+            found = map(young.__getitem__, words) if not long else [long[w] if w in long else young[w] for w in words]
+            yield np.frombuffer(b"".join(found), "<u4")
 
     def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words with their ids. Many words are encoded as one text, with a mark between them that is one token."""

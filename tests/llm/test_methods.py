@@ -564,3 +564,11 @@ def test_warc_joins_out_of_order_records(spark):
     assert bytes(got["r1"].request.block) == b"q1"
     assert {(r.capture_id, r.record_id, bytes(r.block)) for r in warc.side_records(records).collect()} == {("r1", "q1", b"q1"), ("r1", "m1", b"m1"), ("r1", "m0", b"m0"), ("r9", "q9", b"q9")}
     assert got["r9"].response is None
+
+
+def test_long_words_are_encoded_and_not_remembered():
+    encoder = tokens.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    texts = [f"some words {'k' * 9000}{n} and {n:070d} end\nof text" for n in range(20)]
+    for text, ids in zip(texts, encoder.batch(texts), strict=True):
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, encoder.young)) <= tokens.LONGEST
