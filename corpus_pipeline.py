@@ -15,25 +15,25 @@ from tessera.session import prepare, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from their language and source go."""
+    """Documents that fail the base rules or lie far from their language and source go; a null or empty text fails them."""
     prepare(spark)
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each class of near-duplicates exactly one row stays, whatever its id; rows of equal ids are told apart."""
     prepare(spark)
     return simhash.one_per_class(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind in brackets."""
+    """Personal data in texts is replaced by its kind in brackets; null and empty texts stay as they are."""
     prepare(spark)
     return pii.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or cut at their source's share, to the target weights."""
+    """Documents are repeated, or cut at their source's share, to the target weights; a null source is a source."""
     prepare(spark)
     return mixing.mixed_documents(docs)
 
