@@ -5,8 +5,11 @@ Base rules: fewer than MIN_WORDS words, or over half of the words in repeated th
 Verdict for the rest: four statistics of a document (log of mean word length, log of symbols per word, share of repeated
 lines, share of words in repeated windows) are compared with a minimum-covariance-determinant estimate for its language
 and source. The estimate starts from quartiles and from classical moments; each concentration step takes the three
-quarters of a group nearest to the last centre and computes their mean and covariance. Steps go on until no group's
-determinant falls by more than one in a thousand; then the start with the smaller determinant is used. A document is rejected if its squared Mahalanobis distance exceeds CUTOFF.
+quarters of a group nearest to the last centre and computes their mean and covariance. A start of a group ends at its first
+step that doesn't lower its determinant by more than one in a thousand, whatever other groups do, and then takes no part in
+further steps; the lower of its last two determinants counts, and the start with the smaller one is used. So every step of
+every start but its last lowers a determinant that FLOORS bound from below, and the steps end, with ties and approximate
+quantiles too. A document is rejected if its squared Mahalanobis distance exceeds CUTOFF.
 
 The statistics have exact values (no repeated lines, no symbols) in most documents, so a group's covariance may be
 singular; FLOORS are standard deviations added to it, the spread that is always allowed.
@@ -18,6 +21,8 @@ Every group is reduced by partial aggregation, so a hot source costs no task mor
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ from tessera.llm.common import SPACE, lookup, written
 
 MIN_WORDS = 50
 MIN_GROUP = 50
-#: Concentration ends when no determinant falls by this factor or more. Determinants are bounded below by FLOORS, so it ends.
+#: Concentration of a start ends when its determinant doesn't fall by this factor.
 SETTLED = 1.001
 NEAR = 0.75
 #: 0.75 over the probability that a chi-square of 6 degrees is below the 0.75 quantile of 4 degrees: makes the covariance
@@ -168,15 +173,22 @@ def estimates(rows: DataFrame) -> DataFrame:
     spread_by = F.xxhash64("x0", "x1", "x3")
 
     def concentrated(params: DataFrame) -> DataFrame:
-        near = lookup(doubled, params, ["_g", "_start"], spread_by).withColumn("_d", _distance()).select("_g", "_start", "_d", *[f"x{i}" for i in range(D)])
+        # rows of starts that have ended find no parameters
+        near = lookup(doubled, params, ["_g", "_start"], spread_by).where("_det is not null").withColumn("_d", _distance()).select("_g", "_start", "_d", *[f"x{i}" for i in range(D)])
         limit = written(near.groupBy("_g", "_start").agg(F.percentile_approx("_d", NEAR, 1000).alias("_limit")), "quality-limit")
         inside = lookup(near, limit, ["_g", "_start"], spread_by).where("_d <= _limit")
         return written(_whitening(_moments(inside, CONSISTENT)), "quality-step")
 
-    params, fall = concentrated(params), SETTLED
-    while fall >= SETTLED:
-        last, params = params.select("_g", "_start", F.col("_det").alias("_was")), concentrated(params)
-        fall = last.join(params, ["_g", "_start"]).agg(F.max(F.col("_was") / F.col("_det"))).first()[0] or 0.0
+    active, ended = concentrated(params), []
+    fields = [c for c in active.columns if c not in ("_g", "_start")]
+    while not active.isEmpty():
+        now = concentrated(active)
+        both = active.select("_g", "_start", F.struct(*fields).alias("_was")).join(now.select("_g", "_start", F.struct(*fields).alias("_now")), ["_g", "_start"])
+        falls = F.col("_was._det") / F.col("_now._det") >= SETTLED
+        step = written(both.select("_g", "_start", F.coalesce(falls, F.lit(False)).alias("_falls"), F.when(F.col("_now._det") <= F.col("_was._det"), F.col("_now")).otherwise(F.col("_was")).alias("_p")), "quality-fall")
+        ended.append(step.where("not _falls").select("_g", "_start", "_p.*"))
+        active = step.where("_falls").select("_g", "_start", "_p.*")
+    params = reduce(DataFrame.unionByName, ended, active)
     best = params.groupBy("_g").agg(F.min_by("_start", F.struct("_det", "_start")).alias("_start"))
     return written(params.join(best, ["_g", "_start"]).drop("_start"), "quality-estimates")
 

@@ -144,6 +144,28 @@ def test_estimate_equals_numpy(spark, seed):
     assert det <= 1.05 * least
 
 
+def test_groups_end_alone(spark):
+    """Groups that settle at once, groups of ties and one row, and a group that takes many steps: each as if it were alone."""
+    rng = np.random.default_rng(5)
+    groups = {
+        "ties": np.repeat(rng.integers(0, 2, (30, 4)), 4, axis=0).astype(float),
+        "same": np.full((60, 4), 0.25),
+        "one": np.array([[1.0, 0.0, 0.5, 0.0]]),
+        "two": np.array([[1.0, 0.0, 0.5, 0.0], [0.0, 1.0, 0.0, 0.5]]),
+        "many": np.concatenate([rng.normal(0, 1, (400, 4)), rng.normal(1.5, 0.7, (300, 4)), rng.normal(-2, 2, (100, 4))]),
+    }
+    schema = "_g string, x0 double, x1 double, x2 double, x3 double"
+    rows = {g: [(g, *map(float, r)) for r in x] for g, x in groups.items()}
+    together = {r["_g"]: r for r in quality.estimates(spark.createDataFrame([r for part in rows.values() for r in part], schema)).collect()}
+    assert set(together) == set(groups)
+    for g in ("ties", "many"):
+        alone = quality.estimates(spark.createDataFrame(rows[g], schema)).first()
+        assert [together[g][c] for c in ("_det", "m0", "m3")] == pytest.approx([alone[c] for c in ("_det", "m0", "m3")], rel=1e-9)
+    least = math.prod(f * f for f in quality.FLOORS)
+    assert together["same"]["_det"] == pytest.approx(least) and together["one"]["_det"] == pytest.approx(least)
+    assert together["many"]["_det"] == pytest.approx(_mcd(groups["many"])[0], rel=0.01)
+
+
 def test_verdicts_equal_numpy(spark, documents):
     """Every document of the table: the stage keeps what the plain version keeps."""
     rows = quality._judged(*quality._fit(documents)).select("doc_id", "lang", "source", "base_failed", "n_words", "x0", "x1", "x2", "x3", "kept").collect()
