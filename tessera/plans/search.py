@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import engine
 from tessera.functions import text as T
 from tessera.operators import access as A
+from tessera.operators import ann as N
 from tessera.operators import conversation as C
 from tessera.operators import evaluation as E
 from tessera.operators import pruned as P
@@ -53,6 +54,26 @@ def knn_cosine_topk(spark: S, sf: str) -> DataFrame:
     return _vector(spark, sf, 10)
 
 
+def _approximate(spark: S, sf: str, k: int) -> DataFrame:
+    vectors = X.vectors(spark, sf)
+    quantizer = N.train(vectors, k)
+    if quantizer is None:
+        return R.knn(vectors, X.vector_queries(spark, sf), k)
+    return N.search(N.index(vectors, quantizer), quantizer, X.vector_queries(spark, sf), k)
+
+
+@query("knn_lists_topk")
+def knn_lists_topk(spark: S, sf: str) -> DataFrame:
+    """The 100 nearest by inverted lists and product codes, with exact scores."""
+    return _approximate(spark, sf, R.RECALL)
+
+
+@query("knn_lists_recall")
+def knn_lists_recall(spark: S, sf: str) -> DataFrame:
+    """Of the 100 exact neighbours of each query, how many the inverted lists find."""
+    return N.recall(_approximate(spark, sf, R.RECALL), _vector(spark, sf))
+
+
 def _fused(spark: S, sf: str, wk: float, wv: float, k: int) -> DataFrame:
     return R.fuse(_keyword(spark, sf), _vector(spark, sf), wk, wv, k)
 
