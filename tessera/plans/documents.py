@@ -9,10 +9,11 @@ from tessera.functions import text as T
 from tessera.operators import conversation as C
 from tessera.operators import documents as D
 from tessera.operators import uploads as U
+from tessera.operators import versions as V
 from tessera.plans import roles as X
 from tessera.plans.registry import query
 from tessera.sources import files as G
-from tessera.session import spread, table
+from tessera.session import shared_path, spread, table
 
 S = SparkSession
 
@@ -447,3 +448,19 @@ def sessions(spark: S, sf: str) -> DataFrame:
     action = F.when(F.col("event_type") == "view", "create").when(F.col("event_type") == "click", "touch").when(F.col("event_type") == "error", "delete").otherwise("other")
     rows = table(spark, sf, "events").select("user_id", F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("session_id"), F.col("ts").alias("at"), action.alias("action"))
     return C.sessions(rows)
+
+
+@query("versioned_replace", """
+WITH marked AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN m.doc_id IS NULL THEN 1 ELSE 2 END AS version,
+       md5(coalesce(d.text, '') || CASE WHEN m.doc_id IS NULL THEN '' ELSE chr(10) || 'quality ' || coalesce(CAST(m.quality AS VARCHAR), '-') END) AS digest
+FROM documents d LEFT JOIN marked m USING (doc_id)""")
+def versioned_replace(spark: S, sf: str) -> DataFrame:
+    """All documents are written, then those with labels are replaced, with their label as last line: the second version."""
+    path = shared_path(spark, "versioned-documents")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    V.replace(docs, path)
+    label = F.concat(F.lit("\nquality "), F.coalesce(F.col("quality").cast("string"), F.lit("-")))
+    V.replace(docs.join(marked, "doc_id").select("doc_id", F.concat("text", label).alias("text")), path)
+    return V.read(spark, path, name="version").select("doc_id", F.col("version").cast("int").alias("version"), F.md5("text").alias("digest"))

@@ -61,18 +61,22 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(cores, *keys) if size < least * cores else rows
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that driver and executors share, and read it back: cuts lineage, survives lost executors.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, which is ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary one; a cluster is refused.
+    Where that is unset a local session gets a temporary folder; a cluster is refused.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
