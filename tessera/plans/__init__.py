@@ -6,11 +6,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import access, documents, lookups, scalars, search
+from tessera.plans import access, documents, lookups, scalars, search, tabled
 from tessera.plans.registry import QUERIES, SQL, Query
 from tessera.session import prepare
 
-__all__ = ["access", "documents", "lookups", "oracle_sql", "queries", "scalars", "search"]
+__all__ = ["access", "documents", "lookups", "oracle_sql", "queries", "scalars", "search", "tabled"]
 
 
 def _prepared(f: Query) -> Query:
