@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import access as A
 from tessera.operators import documents as D
+from tessera.plans import access as PA
 from tessera.plans import documents as PD
 from tessera.plans import lookups as L
 from tessera.plans import scalars as P
@@ -99,6 +101,19 @@ def embedding_text_of_pages(spark: S, sf: str) -> DataFrame:
     return _labeled(spark, sf).select("id", T.embedding_text(c("file_name"), c("title_path"), F.lit("正文")).alias("body"), T.rerank_text(c("title_path"), F.lit("正文")).alias("rerank"))
 
 
+_FOLDERS = ["", "/api/v1/admin", "/api/v1/users/login", "/api/v1/upload", "/api/search/hybrid"]
+_VISITS = f"(SELECT page_id, {_pick_sql(_FOLDERS, 'page_id')} || CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '//[^/]*(/[^?]*)', 1) ELSE '' END, CASE page_id % 3 WHEN 1 THEN 'USER' WHEN 2 THEN 'ADMIN' END FROM pages) AS t(id, path, role)"
+
+
+@_tabled("endpoint_roles_of_pages", "endpoint_roles", PA._CALLS.replace("STRING", "VARCHAR"), _VISITS)
+def endpoint_roles_of_pages(spark: S, sf: str) -> DataFrame:
+    page = F.col("page_id")
+    path = F.concat(_pick(_FOLDERS, page), F.when(page % 2 == 0, F.regexp_extract("url", "//[^/]*(/[^?]*)", 1)).otherwise(""))
+    role = F.when(page % 3 == 1, "USER").when(page % 3 == 2, "ADMIN")
+    rows = table(spark, sf, "pages").select(page.alias("id"), path.alias("path"), role.alias("role"))
+    return rows.select("id", A.endpoint_allowed(F.col("path"), F.col("role")).alias("allowed"))
+
+
 # ------------------------------------------------------------------ lines of documents
 
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL"
