@@ -201,10 +201,16 @@ def needs_context(question: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB."""
-    kb = size / 1024.0
-    mb, gb = kb / 1024.0, kb / (1024.0 * 1024.0)
-    return F.when(size < 1024, F.format_string("%d B", size)).when(kb < 1024, F.format_string("%.1f KB", kb)).when(mb < 1024, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%.1f GB", gb))
+    """Bytes as B, KB, MB or GB with one decimal; null for null.
+
+    Ties are rounded as the queries' SQL has them: up in KB and GB, to an even digit in MB. Rounding comes before the format,
+    whose own is up.
+    """
+    kb, mb, gb = (size / float(1 << k) for k in (10, 20, 30))
+    tenths = lambda x: F.round(x * 10) / 10
+    shown = F.when(size < 1024, F.format_string("%d B", size)).when(size < 1 << 20, F.format_string("%.1f KB", tenths(kb)))
+    shown = shown.when(size < 1 << 30, F.format_string("%.1f MB", F.rint(mb * 10) / 10))
+    return F.when(size.isNotNull(), shown.otherwise(F.format_string("%.1f GB", tenths(gb))))
 
 
 def progress(done: Column, total: Column) -> Column:

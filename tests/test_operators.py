@@ -184,3 +184,10 @@ def test_holders_of_short_and_cut_passages(spark):
     asked = spark.createDataFrame([(1, "one two three four five"), (2, "two"), (3, "ne two three four fi"), (4, "two  three four five six")], "query_id long, passage string")
     got = {(r.query_id, r.chunk_id) for r in E.holders(texts, asked).collect()}
     assert got == {(1, 2), (2, 1), (2, 2), (2, 3), (2, 5), (3, 2), (4, 1)}
+
+
+def test_human_size_ties_and_nulls(spark):
+    """The SQL of human_size rounds ties up in KB and GB and to an even digit in MB; a null size shows nothing."""
+    sizes = [0, 1023, 1024, 1280, 1792, 1048575, 1048576, 1024**2 * 5 // 4, 1024**2 * 7 // 4, 1536**2, 1024**3 - 1, 1024**3 * 5 // 4, 1024**3 * 7 // 4, None]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "k long, size long").select("k", T.human_size(F.col("size")).alias("shown")).orderBy("k").collect()
+    assert [r.shown for r in rows] == ["0 B", "1023 B", "1.0 KB", "1.3 KB", "1.8 KB", "1024.0 KB", "1.0 MB", "1.2 MB", "1.8 MB", "2.2 MB", "1024.0 MB", "1.3 GB", "1.8 GB", None]
