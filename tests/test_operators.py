@@ -191,3 +191,19 @@ def test_human_size_ties_and_nulls(spark):
     sizes = [0, 1023, 1024, 1280, 1792, 1048575, 1048576, 1024**2 * 5 // 4, 1024**2 * 7 // 4, 1536**2, 1024**3 - 1, 1024**3 * 5 // 4, 1024**3 * 7 // 4, None]
     rows = spark.createDataFrame(list(enumerate(sizes)), "k long, size long").select("k", T.human_size(F.col("size")).alias("shown")).orderBy("k").collect()
     assert [r.shown for r in rows] == ["0 B", "1023 B", "1.0 KB", "1.3 KB", "1.8 KB", "1024.0 KB", "1.0 MB", "1.2 MB", "1.8 MB", "2.2 MB", "1024.0 MB", "1.3 GB", "1.8 GB", None]
+
+
+def test_visible_pairs_once_and_without_comparing_pairs(spark):
+    """A file that is public, own and tagged is one pair; repeated rows of files or users repeat it; no pair is compared."""
+    tags = spark.createDataFrame([("DEFAULT", None), ("r", "DEFAULT"), ("n", "r")], "tag_id string, parent_tag string")
+    users = spark.createDataFrame([(1, "n,n"), (2, "x"), (None, "n"), (3, ""), (3, "")], "user_id long, org_tags string")
+    files = spark.createDataFrame(
+        [(10, 1, "n", True), (11, 1, "n", False), (12, 2, "n", False), (13, 2, None, False), (14, None, "r", None), (15, 9, None, None), (15, 9, "DEFAULT", None), (16, 3, "x", False), (16, 3, "x", False)],
+        "file_id long, owner_id long, org_tag string, is_public boolean",
+    )
+    got = A.visible(files, users, tags)
+    want = [(None, 10), (1, 10), (2, 10), (3, 10), (3, 10), (1, 11), (1, 12), (2, 12), (2, 13), (1, 14), (1, 15), (2, 15), (3, 15), (3, 15), (2, 16), (2, 16), *[(3, 16)] * 4]
+    key = lambda r: (r[1], r[0] or 0)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
