@@ -35,12 +35,14 @@ ORDERS = (4, 3, 2, 1)
 CACHE = 400_000
 #: Words times languages that a Python worker remembers.
 CELLS = 80_000_000
+#: Words times languages whose vectors are made together.
+PART_CELLS = 100_000
 
 
-def _ranges(categories: str) -> str:
-    """The code points of general categories that begin with one of the given letters, as ranges of a character class."""
+def _ranges(categories: str, last: int = sys.maxunicode) -> str:
+    """The code points up to last of general categories that begin with one of the given letters, as ranges of a character class."""
     found: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
+    for c in range(last + 1):
         if unicodedata.category(chr(c))[0] in categories:
             if found and found[-1][1] == c - 1:
                 found[-1][1] = c
@@ -49,15 +51,24 @@ def _ranges(categories: str) -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(z))}" for a, z in found)
 
 
-@lru_cache(maxsize=1)
-def _letters() -> re.Pattern:
+@lru_cache(maxsize=2)
+def _letters(last: int = sys.maxunicode) -> re.Pattern:
     # a letter, then letters and marks: vowel signs belong to their word, and superscripts or fractions are no letters
-    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+    return re.compile(f"[{_ranges('L', last)}][{_ranges('LM', last)}]*")
+
+
+#: ASCII letters as they are and a blank for all else: a plain split finds their runs.
+_ASCII = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters with their marks."""
-    return _letters().findall(text.lower())
+    value = text.lower()
+    if value.isascii():
+        return value.encode().translate(_ASCII).decode().split()
+    # classes are tables up to U+FFFF and lists of ranges beyond: each character that is not in them is compared with all
+    return _letters(sys.maxunicode if _ASTRAL.search(value) else 0xFFFF).findall(value)
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -96,15 +107,17 @@ class Table:
         return gram in self.at
 
     def __getitem__(self, gram: str) -> np.ndarray:
-        k = self.at[gram]
-        a, z = self.ends[k], self.ends[k + 1]
-        found = self.unseen.copy()
-        found[self.langs[a:z]] = self.logs[a:z]
+        return self.rows([self.at[gram]])[0]
+
+    def rows(self, at: list[int]) -> np.ndarray:
+        """The log frequencies of grams, given by their places, a row each."""
+        places = np.array(at, dtype=np.int64)
+        starts, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
+        held = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        found = np.tile(self.unseen, (len(places), 1))
+        found[np.repeat(np.arange(len(places)), sizes), self.langs[held]] = self.logs[held]
         return found
 
-    def get(self, gram: str) -> np.ndarray | None:
-        return self[gram] if gram in self.at else None
-
 
 class Model:
     """Log frequency vectors over languages for words and n-grams; its size grows with the entries, not with entries x languages."""
@@ -118,16 +131,35 @@ class Model:
             kinds.setdefault(kind, []).append((at[lang], gram, n))
         self.tables = {kind: Table(found, len(at)) for kind, found in kinds.items()}
 
-    def vector(self, word: str) -> np.ndarray:
-        known = self.tables.get(0, {}).get(word)
-        if known is not None:
-            return known
-        for order in ORDERS:
-            table = self.tables.get(order, {})
-            got = [table[g] for g in grams_of(word, order) if g in table]
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, else the mean of the known grams of the longest order that has any, else zeros."""
+        found = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        known = {kind: table.at.get for kind, table in self.tables.items()}
+        whole = known.get(0, {}.get)
+        orders = [(order, known[order]) for order in ORDERS if order in known]
+        # by kind: the words, the grams of all of them, and how many of these each has
+        held: dict[int, tuple[list[int], list[int], list[int]]] = {kind: ([], [], []) for kind in known}
+        for k, word in enumerate(words):
+            kind, got = 0, [at] if (at := whole(word)) is not None else []
+            if not got:
+                for kind, get in orders:  # noqa: B007
+                    got = [at for gram in grams_of(word, kind) if (at := get(gram)) is not None]
+                    if got:
+                        break
             if got:
-                return sum(got) / len(got)
-        return np.zeros(len(self.langs), dtype=np.float32)
+                rows, places, sizes = held[kind]
+                rows.append(k)
+                places += got
+                sizes.append(len(got))
+        for kind, (rows, places, sizes) in held.items():
+            if rows:
+                n = np.array(sizes)
+                sums = np.add.reduceat(self.tables[kind].rows(places), np.cumsum(n) - n, axis=0)
+                found[rows] = sums / n[:, None].astype(np.float32)
+        return found
+
+    def vector(self, word: str) -> np.ndarray:
+        return self.vectors([word])[0]
 
 
 class Scorer:
@@ -137,13 +169,15 @@ class Scorer:
         self.model, self.most, self.seen = model, min(cache, max(1024, CELLS // max(1, len(model.langs)))), {}
         self.matrix = np.zeros((1024, max(1, len(model.langs))), dtype=np.float32)
 
-    def _row(self, word: str) -> int:
-        k = len(self.seen)
-        if k == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[k] = self.model.vector(word)
-        self.seen[word] = k
-        return k
+    def _add(self, words: list[str]) -> None:
+        part = max(1, PART_CELLS // max(1, len(self.model.langs)))
+        for at in range(0, len(words), part):
+            some = words[at : at + part]
+            k = len(self.seen)
+            while k + len(some) > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[k : k + len(some)] = self.model.vectors(some)
+            self.seen.update(zip(some, range(k, k + len(some)), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text or ""))
@@ -151,8 +185,11 @@ class Scorer:
             return "und", 0.0
         if len(self.seen) + len(counts) > self.most:
             self.seen.clear()
-        get, row = self.seen.get, self._row
-        at = [k if (k := get(w)) is not None else row(w) for w in counts]
+        seen = self.seen
+        new = [w for w in counts if w not in seen]
+        if new:
+            self._add(new)
+        at = [seen[w] for w in counts]
         n = np.fromiter(counts.values(), dtype=np.float32, count=len(at))
         total = n @ self.matrix[at]
         total = (total - total.max()).astype(np.float64) * min(1.0, 20.0 / float(n.sum()))

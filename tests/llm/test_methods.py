@@ -5,6 +5,7 @@ import random
 import re
 import string
 import struct
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -385,6 +386,35 @@ def test_backoff_order():
     assert model.vector("漢").tolist() == [0.0, 0.0]
 
 
+def test_langid_vectors_of_many_words_are_made_at_once():
+    counts = langid.count_grams([("shoe house shoes", "en"), ("schuh haus häuser", "de"), ("dom but", "pl")])
+    model = langid.Model((*k, n) for k, n in counts.items())
+    words = ["shoe", "shoes", "haus", "mauser", "xshx", "漢", "b", "𐐨a"]
+    for word, row in zip(words, model.vectors(words), strict=True):
+        kinds = [(k, [g for g in ([word] if k == 0 else langid.grams_of(word, k)) if g in model.tables[k]]) for k in (0, *langid.ORDERS)]
+        kind, grams = next(((k, g) for k, g in kinds if g), (0, []))
+        assert row.tolist() == pytest.approx(np.mean([model.tables[kind][g] for g in grams], axis=0).tolist() if grams else [0.0] * 3)
+    asked = []
+    model.vectors = lambda some, f=model.vectors: asked.append(list(some)) or f(some)
+    scorer = langid.Scorer(model)
+    once = scorer.score("shoe mauser xshx shoe")
+    assert asked == [["shoe", "mauser", "xshx"]] and scorer.score("Shoe mauser, xshx shoe") == once and len(asked) == 1
+
+
+def test_langid_words_of_any_alphabet():
+    def plain(text):
+        found, inside = [], False
+        for c in text.lower():
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or (inside and kind == "M"):
+                found[-1:] = [found[-1] + c] if inside else [*found[-1:], c]
+            inside = kind == "L" or (inside and kind == "M")
+        return found
+
+    for text in ("", "A b2c_d\x00e\x7f", "Kelvin \u212a x² ½é", "हिन्दी İstanbul ŉ a\u0301", "\U00010400b \U0001f600c 漢\U00020000 \u0301x"):
+        assert langid.words_of(text) == plain(text)
+
+
 # ------------------------------------------------------------------ media, tokens, archives
 
 
