@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: A comma or full stop and a blank, without an ASCII letter or digit, or a Latin letter beyond ASCII, before them.
+#: The search goes from sign to sign and looks back there.
+NO_WORD_BEFORE = re.compile(rb"[,.] (?<![0-9A-Za-z][,.] )(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.] )")
+
 #: Tables of at most this many rows are broadcast; each row of those tables is under 1 KB.
 BROADCAST_ROWS = 100_000
 SALTS = 16

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import NO_WORD_BEFORE, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -60,8 +60,6 @@ _LEADS = frozenset(b"\xc2\xe1\xe2\xe3")
 #: Keys of a comma and a full stop that stand after a letter or digit and before a blank: there, too, no token goes on.
 _COMMA, _STOP = b"\x01", b"\x02"
 _SIGNS = {_COMMA: b",", _STOP: b"."}
-#: A comma or full stop and a blank, without an ASCII letter or digit, or a Latin letter beyond ASCII, before them.
-_NO_WORD_BEFORE = re.compile(rb"(?:^|[^0-9A-Za-z\x80-\xff]|[^\xc3][\x80-\xbf]|\xc3[\x97\xb7])[,.] ")
 _MARKS, _ALNUM = string.punctuation.encode(), frozenset((string.ascii_letters + string.digits).encode())
 _STARTS_WHITE = re.compile(f"[{_WHITE}]")
 
@@ -99,13 +97,16 @@ class UnitEncoder:
             if _COMMA in raw or _STOP in raw or any(s in text for s in self.special):
                 found.append(None)
                 continue
-            if not _NO_WORD_BEFORE.search(raw):
+            if not NO_WORD_BEFORE.search(raw):
                 raw = raw.replace(b", ", b" " + _COMMA + b" ").replace(b". ", b" " + _STOP + b" ")
             words: list[bytes] = raw.split(b" ") if raw else []
             if raw:
                 words[0] = b" " + words[0]
             ids = list(map(self.young.get, words))
-            found.append((words, ids, [k for k, x in enumerate(ids) if x is None] if None in ids else []))
+            holes, at = [], -1
+            for _ in range(ids.count(None)):
+                holes.append(at := ids.index(None, at + 1))
+            found.append((words, ids, holes))
         new = self._learn({f[0][k] for f in found if f for k in f[2]})
         for text, held in zip(texts, found, strict=True):
             if held is None:
@@ -155,7 +156,8 @@ class UnitEncoder:
         # a run of marks after a letter or digit is split from it, so its ids follow those of the word
         tails = list({t for _, _, t in tailed} - self.tails.keys())
         self.tails.update(zip(tails, self._together(b"", tails), strict=True))
-        stems = {s for _, s, _ in tailed}.difference(plain, self.young)
+        # one difference each: a further argument would be walked through
+        stems = {s for _, s, _ in tailed}.difference(plain).difference(self.young)
         words = {s: self.old[s] for s in stems if s in self.old}
         plain += stems.difference(words)
         ids = self._together(b" ", plain)

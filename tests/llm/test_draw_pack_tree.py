@@ -1,6 +1,7 @@
 """Importance resampling, packing and the Merkle manifest against plain versions, and on awkward tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import importance, merkle, packing
-from tessera.llm.common import written
+from tessera.llm.common import NO_WORD_BEFORE, written
 from tessera.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -299,3 +300,13 @@ def test_radix_ranks_over_all_64_bits(spark):
 def test_digits_cover_the_bits_that_differ():
     assert merkle._digits(5, 5) == [] and merkle._digits(0, 3) == [(0, 3)]
     assert merkle._digits(-1, 0) == [(56 - 8 * k, 255) for k in range(8)]
+
+
+def test_signs_without_a_word_before_are_found():
+    """Against the rule in words; all 5-character texts of these, so signs meet texts' ends, signs, blanks and UTF-8 tails."""
+    def plain(text):
+        return any(b in ",." and c == " " and not (a.isascii() and a.isalnum() or "À" <= a <= "ÿ" and a not in "×÷") for a, b, c in zip("\n" + text, text, text[1:], strict=False))
+
+    for x in itertools.product("a9, .é×ā漢", repeat=5):
+        text = "".join(x)
+        assert bool(NO_WORD_BEFORE.search(text.encode())) == plain(text), repr(text)
