@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch
+from tessera.llm.common import NO_WORD_BEFORE, scratch
 
 MAGIC = b"TPLN"
 HEAD = struct.Struct("<4sHHIQII")
@@ -92,7 +92,8 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never looks across ASCII blanks and line feeds, one distinct word at a time.
 
     Such tokenizers drop white space before they merge, so the ids of a text are those of its blank-separated words one
-    after the other. They also lower-case, so A-Z is lowered first (except in texts that may spell a special token).
+    after the other. They also lower-case, so A-Z is lowered first (except in texts that may spell a special token), and they
+    part letters and digits from marks, so a comma or full stop that ends a word is a word of its own.
     Unknown words of a batch are encoded by the library as one text. Words are remembered in two generations of at most
     ``cache`` each, of at most LONGEST bytes a word, so memory is bounded whatever the texts: when the young one is full it
     becomes the old one, and words that come again move back.
@@ -102,16 +103,23 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), cache
-        alone = self.library.encode(MARK.decode(), add_special_tokens=False).ids
+        alone = self._library(MARK)
         self.mark = alone[0] if len(alone) == 1 else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _library(self, raw: bytes) -> list[int]:
+        return self.library.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids
+
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = []
         for text in texts:
             raw = text.encode().replace(b"\n", b" ")
-            split.append((raw if b"<|" in raw else raw.lower()).split(b" "))
+            if b"<|" not in raw:
+                raw = raw.lower()
+                if not NO_WORD_BEFORE.search(raw):
+                    raw = raw.replace(b", ", b" , ").replace(b". ", b" . ")
+            split.append(raw.split(b" "))
         new = set(chain.from_iterable(split)).difference(self.young)
         if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {}
@@ -124,7 +132,7 @@ class WordEncoder:
                 missing.append(word)
             else:
                 young[word] = known
-        fresh = dict(self._encoded(missing))
+        fresh = self._encoded(missing)
         # long words, of which few come again, serve this batch and are not remembered
         long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > LONGEST]}
         young.update(fresh)
@@ -132,21 +140,21 @@ class WordEncoder:
             found = map(young.__getitem__, words) if not long else [long[w] if w in long else young[w] for w in words]
             yield np.frombuffer(b"".join(found), "<u4")
 
-    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words with their ids. Many words are encoded as one text, with a mark between them that is one token."""
         odd = [w for w in words if MARK in w or self.mark is None]
-        for word in odd:
-            yield word, array("I", self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        found = {word: array("I", self._library(word)).tobytes() for word in odd}
         plain = words if not odd else [w for w in words if MARK not in w and self.mark is not None]
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
-            ids = np.array(self.library.encode((b" " + MARK + b" ").join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._library((b" " + MARK + b" ").join(part)), "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep the mark between words")
             raw = ids.tobytes()
             starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            yield from ((w, raw[a:z]) for w, a, z in zip(part, starts, ends, strict=True))
+            found.update(zip(part, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+        return found
 
 
 #: Encoders of this Python worker, by path: loading one takes longer than many tasks.

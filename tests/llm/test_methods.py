@@ -602,3 +602,14 @@ def test_long_words_are_encoded_and_not_remembered():
     for text, ids in zip(texts, encoder.batch(texts), strict=True):
         assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
     assert max(map(len, encoder.young)) <= tokens.LONGEST
+
+
+def test_signs_that_end_words_are_words_of_their_own():
+    encoder = tokens.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    texts = ["Alpha, beta. gamma,\nalpha beta, 1. 2, é. Ü, it's, end.", "x), y", ", a. b", "a ,, b. c", "<|endoftext|> a, b. C", "× , ×, a", "漢, a. b", "a.́ b, c", "́, a, b", "a\x01, b. c"]
+    for text in texts:
+        (ids,) = encoder.batch([text])
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids, repr(text)
+    fresh = tokens.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    list(fresh.batch(["alpha, beta. gamma"]))
+    assert set(fresh.young) == {b"alpha", b",", b"beta", b".", b"gamma"}
